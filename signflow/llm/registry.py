@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from signflow.llm import simhash
+from signflow.llm import quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality.op3_quality,
         "op4_simhash": simhash.op4_simhash,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op3_quality": quality.ORACLE,
+    }
