@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from signflow.llm import quality, simhash
+from signflow.llm import packing, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op4_simhash": simhash.op4_simhash,
     }
