@@ -28,8 +28,8 @@ from signflow.llm.components import components
 
 SEED = 42
 LEVELS = 8
-#: Fingerprints that a shard should hold as its own.
-SHARD_ROWS = 16_384
+#: Fingerprints that a shard should hold as its own, and the fewest shards of any input.
+SHARD_ROWS, MIN_SHARDS = 65_536, 8
 #: Fingerprints looked at to choose vantage points and shell bounds; a bound that does not grow with the input.
 SAMPLE_ROWS = 2_048
 LEAF_PAIRS = 1 << 16
@@ -92,7 +92,7 @@ def choose_tree(sample: np.ndarray, total: int, shard_rows: int = SHARD_ROWS) ->
         var = np.bitwise_count(octets[:, i][None, :] ^ cand[:, None]).var(axis=1)
         vantage[i], spread[i] = cand[int(var.argmax())], var.max()
     d = level_distances(sample, vantage.view(np.uint64))
-    need = max(1.0, total / shard_rows)
+    need = max(MIN_SHARDS, total / shard_rows)
     shells = 2
     while shells < 6 and shells**LEVELS < need:
         shells += 1
