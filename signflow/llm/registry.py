@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signflow.llm import packing, quality, simhash
+from signflow.llm import langid, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op4_simhash": simhash.op4_simhash,
+        "op5_langid": langid.op5_langid,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
