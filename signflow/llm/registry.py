@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from signflow.llm import langid, packing, quality, simhash, toxicity
+from signflow.llm import chat, decontaminate, langid, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op4_simhash": simhash.op4_simhash,
         "op5_langid": langid.op5_langid,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_toxicity": toxicity.op8_toxicity,
     }
 
@@ -18,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_quality": quality.ORACLE,
+        "op6_decontaminate": decontaminate.ORACLE,
     }
