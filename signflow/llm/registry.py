@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signflow.llm import chat, decontaminate, langid, packing, quality, simhash, toxicity
+from signflow.llm import chat, decontaminate, langid, licenses, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash": simhash.op4_simhash,
         "op5_langid": langid.op5_langid,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_licenses": licenses.op7_licenses,
         "op8_toxicity": toxicity.op8_toxicity,
     }
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict:
     return {
         "op3_quality": quality.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
+        "op7_licenses": licenses.ORACLE,
     }
