@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signflow.llm import chat, decontaminate, langid, licenses, packing, quality, simhash, toxicity
+from signflow.llm import chat, decontaminate, html, langid, licenses, packing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_licenses": licenses.op7_licenses,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_warc": warc.op9_warc,
+        "op10_html": html.op10_html,
     }
 
 
@@ -23,4 +25,5 @@ def oracle_sql() -> dict:
         "op3_quality": quality.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
         "op7_licenses": licenses.ORACLE,
+        "op9_warc": warc.ORACLE,
     }
