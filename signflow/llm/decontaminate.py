@@ -139,6 +139,24 @@ def _indexed(docs: DataFrame, items: DataFrame, threshold: float, words: int) ->
     return docs.mapInArrow(run, SCHEMA)
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no test item; rows with a null or wordless text stay."""
+    t = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = t.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > 8 * max_index_words:
+        found = contained_items(docs, items, threshold, words, max_index_words).select("doc_id").distinct()
+        return docs.join(found, "doc_id", "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in t.collect()], words, threshold))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            yield b.filter(pa.array([not index.value.search(x, hashes) for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _joined(docs: DataFrame, items: DataFrame, threshold: float, words: int) -> DataFrame:
     """The same search where the items are too many to broadcast: sketch hashes and shingles are joined."""
     kind = "row_id long, size int, n long, rank int, sketch boolean, h long, shingle string"

@@ -160,9 +160,9 @@ class _Links:
                 self.add(a[at + i], b[j])
 
 
-def shard_links(fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: int) -> np.ndarray:
-    """Root position of each fingerprint of a shard, over all links of which one end is at home."""
-    links, d = _Links(len(fp)), level_distances(fp, vantage)
+def descend(links: _Links, fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: int) -> None:
+    """Dual-tree join of a shard: home rows with each other and with the guests."""
+    d = level_distances(fp, vantage)
 
     def split(x: np.ndarray, level: int) -> list[tuple[int, np.ndarray]]:
         v = d[x, level]
@@ -187,6 +187,12 @@ def shard_links(fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: i
         join(own, own, 0, radius, True)
         if len(guest):
             join(own, guest, 0, radius, False)
+
+
+def shard_links(fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: int) -> np.ndarray:
+    """Root position of each fingerprint of a shard, over all links of which one end is at home."""
+    links = _Links(len(fp))
+    descend(links, fp, home, vantage, radius)
     return links.root(np.arange(len(fp)))
 
 
@@ -241,3 +247,149 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- similar texts, verified --------------------------------------------------
+
+SKETCH = 64
+_MIX = np.random.default_rng(2024).integers(1, 1 << 63, (2, SKETCH), np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(raw: bytes | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; a text with fewer words is one shingle, a wordless one has none."""
+    parts = (raw or b"").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def minhash_sketch(h: np.ndarray) -> np.ndarray:
+    """SKETCH least values under as many mixes of the hashes, 16 bits of each."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1 << 12):
+        x = h[at : at + (1 << 12), None] * _MIX[0][None] + _MIX[1][None]
+        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
+    return (least & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _profiles(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, n, sketch): fingerprint, number of distinct shingles and MinHash sketch of each text with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            fp = np.fromiter((fingerprint_bytes(x, words) for x in raw), np.uint64, len(raw))
+            h = [shingle_hashes(x, words) for x in raw]
+            cols = [b.column(0), pa.array(fp.view(np.int64)), pa.array([len(x) for x in h], pa.int64()), pa.array([minhash_sketch(x).tobytes() for x in h], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, fp long, n long, sketch binary").where("n > 0 and doc_id is not null")
+
+
+class _Forest(_Links):
+    """Union-find that keeps, for each union, the pair of rows that brought it about."""
+
+    def __init__(self, n: np.ndarray, sketch: np.ndarray, threshold: float) -> None:
+        super().__init__(len(n))
+        self.n, self.sketch, self.threshold = n, sketch, threshold
+        #: four standard errors of the sketch's estimate below the threshold
+        self.least = threshold - 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+        self.kept: list[tuple[int, int]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        lo, hi = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        near = (lo >= self.threshold * hi) & (a != b)
+        a, b = a[near], b[near]
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            like = (self.sketch[x] == self.sketch[y]).mean(axis=1)
+            order = np.argsort(-like, kind="stable")
+            order = order[like[order] >= self.least]
+            self._join(x[order], y[order])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        ra, rb = self.root(a), self.root(b)
+        open_ = np.flatnonzero(ra != rb)
+        for i in open_.tolist():
+            x, y = int(a[i]), int(b[i])
+            rx, ry = self._find(x), self._find(y)
+            if rx != ry:
+                self.up[max(rx, ry)] = min(rx, ry)
+                self.kept.append((x, y))
+
+    def _find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = int(self.up[x])
+        return x
+
+
+def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 12, band_rows: int = 4 * SHARD_ROWS) -> DataFrame:
+    """(doc_id, component_id) of every document with words: groups of texts whose shingle sets have a Jaccard similarity of ``threshold``.
+
+    Candidates are fingerprints within ``radius`` bits whose numbers of shingles
+    don't already rule the similarity out, and whose MinHash sketches don't
+    either.  Sizes deal the texts out: a band of sizes meets itself and the next.
+    Of each shard a spanning forest of likely pairs is returned, likeliest first,
+    and the similarity of each of its pairs is verified on all shingles.
+    Documents with a null id or no words are left out, copies meet once.
+    """
+    prof = materialise(_profiles(docs, words), "profiles")
+    distinct = prof.groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("node"))
+    distinct = materialise(distinct.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold))).cast("long")), "profile-groups")
+    total = distinct.count()
+    parts = max(1, -(-total // band_rows))
+    own = distinct.withColumn("home", F.lit(True))
+    guest = distinct.withColumns({"band": F.col("band") + 1, "home": F.lit(False)})
+    # a band is cut into blocks of its own rows; each block also sees every row of the band as a guest of later blocks
+    block = F.pmod(F.xxhash64("node"), F.lit(parts))
+    own = own.withColumn("block", block)
+    inside = own.withColumns({"at": F.explode(F.sequence(F.col("block"), F.lit(parts - 1)))}).withColumn("home", F.col("at") == F.col("block"))
+    across = guest.withColumn("block", block).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    cols = ["band", "at", "home", "fp", "n", "sketch", "node"]
+    dealt = inside.select(cols).unionByName(across.select(cols))
+
+    def search(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("node").to_numpy(), kind="stable")
+        node, home = t.column("node").to_numpy()[order], t.column("home").to_numpy()[order]
+        fp, n = t.column("fp").to_numpy()[order].view(np.uint64), t.column("n").to_numpy()[order]
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)[order]
+        forest = _Forest(n, sketch, threshold)
+        octets = fp.view(np.uint8).reshape(-1, LEVELS)
+        vantage = np.array([np.bincount(octets[:, i], minlength=256).argmax() for i in range(LEVELS)], np.uint8).view(np.uint64)
+        descend(forest, fp, home, vantage, radius)
+        pairs = np.array(forest.kept, np.int64).reshape(-1, 2)
+        return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
+
+    likely = materialise(dealt.groupBy("band", "at").applyInArrow(search, "u long, v long").distinct(), "likely")
+    sure = materialise(_verified(docs, likely, words, threshold), "sure")
+    roots = components(sure)
+    placed = distinct.join(roots, "node", "left").select(F.col("fp").alias("gfp"), F.col("n").alias("gn"), F.col("sketch").alias("gsketch"), F.coalesce("root", "node").alias("component_id"))
+    same = (F.col("fp") == F.col("gfp")) & (F.col("n") == F.col("gn")) & (F.col("sketch") == F.col("gsketch"))
+    return prof.join(placed, same).select("doc_id", "component_id")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Those pairs (u, v) of ids whose texts have the similarity."""
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [shingle_hashes(x, words).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["id", "h"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("raw")).join(wanted, "id", "left_semi")
+    found = materialise(texts.mapInArrow(sets, "id long, h binary").dropDuplicates(["id"]), "shingle-sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = found.select(F.col("id").alias("u"), F.col("h").alias("hu")), found.select(F.col("id").alias("v"), F.col("h").alias("hv"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "hu", "hv").mapInArrow(compare, "u long, v long")
