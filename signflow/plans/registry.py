@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES: list[str] = ["graph_queries"]
 
 
 def queries() -> dict:
