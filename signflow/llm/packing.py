@@ -27,7 +27,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Tokens that a shard should hold, so that its task's memory is bounded.
 SHARD_TOKENS = 2_000_000
-CACHE_WORDS = 200_000
+#: Words, and parts of words, that a worker keeps the ids of.
+CACHE_WORDS = 900_000
 #: Tokens that a packed sequence may lack before a remainder is cut to fill it.
 SLACK = 8
 
@@ -35,42 +36,76 @@ SLACK = 8
 # --- tokens -------------------------------------------------------------------
 
 
-class Encoder(dict):
-    """Ids (little-endian unsigned 32-bit) of a text, put together from those of its words.
+#: Words of which lower-casing and the tokenizer's pattern are the same here and there.
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
+class Encoder:
+    """Ids (little-endian unsigned 32-bit) of texts, put together from those of their words.
 
     The tokenizer's own pattern never crosses white space, so a text's ids are
-    those of its white-space-separated parts, one after the other.  White space
-    of Python that the tokenizer doesn't treat as such is found out once, and
-    texts with it are encoded whole.  The cache is bounded: two generations.
+    those of its white-space-separated words, one after the other.  A word of
+    plain letters and signs is looked up by its parts; any other is encoded by
+    itself.  White space of Python that the tokenizer doesn't treat as such is
+    found out once, and texts with it are encoded whole.  Both caches are bounded.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tok, self.old = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
+        # fixed values: the byte-level alphabet, in which printable bytes stand for themselves
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [x for x in range(256) if x not in shown]
+        self.spelling = {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(hidden)}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         plain = self._whole("a b")
         space = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-        odd = [c for c in space if self._whole(f"a{c}b") != plain]
-        self.odd = re.compile("[" + re.escape("".join(odd)) + "]") if odd else None
+        self.odd = [c for c in space if self._whole(f"a{c}b") != plain]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self._whole(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if self.odd and self.odd.search(text):
-            return self._whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def _part(self, part: str) -> bytes:
+        """The ids of one part, straight from the tokenizer's model, to which bytes are spelled as characters."""
+        spelled = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.spelling)
+        return np.array([t.id for t in self.tok.model.tokenize(spelled)], "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        split, known, fits = PART.findall, self.parts, PLAIN.fullmatch
+        for w in words:
+            if not (w.isascii() or fits(w)) or "<|" in w:
+                self.words[w] = self._whole(w)
+                continue
+            stem = w.rstrip(".,!?;:")
+            if stem.isalpha():
+                parts = [stem.lower(), w[len(stem) :]] if len(stem) < len(w) else [w.lower()]
+            else:
+                parts = split(w.lower())
+            ids = []
+            for p in parts:
+                got = known.get(p)
+                if got is None:
+                    known[p] = got = self._part(p)
+                ids.append(got)
+            self.words[w] = b"".join(ids)
+        if len(known) > CACHE_WORDS:
+            self.parts = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 512):
+            split = [None if any(c in x for c in self.odd) else x.split() for x in texts[at : at + 512]]
+            seen = set().union(*(words for words in split if words))
+            new = seen - self.words.keys()
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self.words, new = {}, seen
+            self._learn(new)
+            of = self.words.__getitem__
+            out += [self._whole(x) if words is None else b"".join(map(of, words)) for x, words in zip(texts[at : at + 512], split)]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -85,7 +120,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer_path)
         for b in batches:
-            tokens = [enc.encode(x or "") + end for x in b.column(1).to_pylist()]
+            tokens = [x + end for x in enc.encode([x or "" for x in b.column(1).to_pylist()])]
             n = pa.array([len(x) // 4 for x in tokens], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.binary()), n], names=["doc_id", "tokens", "n_tokens"])
 
