@@ -4,12 +4,14 @@ The learner sees confirmed toxic texts and unlabelled texts.  Its risk is
 ``prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])`` with the
 logistic loss, where the unlabelled part is corrected by the class prior and
 kept from falling below zero.  The model is linear on the words and the word
-beginnings that a text has.
+beginnings that a text has, and its bias is set so that the mean score over the
+unlabelled sample is the prior.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,7 +83,7 @@ class Model:
         return score
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 400, l2: float = 1e-3, rate: float = 0.1, limit: int = MAX_FEATURES) -> Model:
+def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 400, l2: float = 3e-5, rate: float = 0.1, limit: int = MAX_FEATURES) -> Model:
     """Fit the non-negative PU risk with full-batch Adam on the features that set the two samples apart most.
 
     Without positive texts nothing is toxic; without unlabelled texts, or
@@ -132,6 +134,11 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, roun
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = np.where(use, w - step[:-1], 0.0), b - step[-1]
+    # the mean posterior over the unlabelled sample is the prior; a small sample can leave the bias elsewhere
+    z, low, high = np.bincount(ru, w[cu], n_u), -50.0, 50.0
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (low, b) if sig(z + b).mean() > prior else (b, high)
     kept = np.flatnonzero(use.reshape(-1, LEVELS).any(axis=1))
     return Model({names[f]: i for i, f in enumerate(kept)}, w.reshape(-1, LEVELS)[kept].ravel(), float(b))
 
@@ -161,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words], names=["pos", "draw", "words"])
 
     for pos, drawn, words in picked.mapInArrow(run, "pos boolean, draw boolean, words string").orderBy(F.xxhash64("words"), "words").toLocalIterator():
-        got = set(words.split())
+        got = set(map(sys.intern, words.split()))
         if pos:
             positive.append(got)
         if drawn:

@@ -160,6 +160,10 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Write each row of ``pages`` (page_id, url, html) as a record into archives under ``path``; returns their number."""
+    # tables without rows have no tasks that could make the folder
+    spark = pages.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     count = max(1, -(-total // archive_bytes))
     dealt = revisits(pages).repartition(count, F.xxhash64("page_id", "url"))
