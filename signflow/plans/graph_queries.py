@@ -300,3 +300,85 @@ def rwr(s, d):
     from signflow.operators.numeric import random_walk
 
     return random_walk(D.arcs(s, d, tier=True), D.seeds(s, d), alpha=0.85, rounds=25)
+
+
+SEP_XYZ = """x as (select p_brand as q, min(p_partkey) as node from part group by p_brand), y as (select p_brand as q, max(p_partkey) as node from part group by p_brand),
+z as (select q, node from (select p_brand as q, min(p_partkey) as node from part where p_size > 25 group by p_brand) t where not exists (select 1 from x where x.q = t.q and x.node = t.node) and not exists (select 1 from y where y.q = t.q and y.node = t.node))"""
+
+
+@query("sigma_separation", f"""with recursive {TIER_SQL}, {SCC}, {SEP_XYZ}, anc(q, node) as (select * from x union select * from y union select * from z union select q, src from anc join arc on dst = node),
+comp as (select node, scc from scc union select p_partkey, p_partkey from part where p_partkey not in (select node from scc)),
+fam as (select node, scc as family from comp union select arc.src, comp.scc from arc join comp on comp.node = arc.dst), own as (select distinct q, scc as family from anc join comp using (node)),
+walk as (select anc.q, anc.node, fam.family from anc join fam using (node) join own on own.q = anc.q and own.family = fam.family where not exists (select 1 from z where z.q = anc.q and z.node = anc.node)),
+o(q, node) as (select q, node from x union select o.q, w2.node from o join walk w1 on w1.q = o.q and w1.node = o.node join walk w2 on w2.q = w1.q and w2.family = w1.family)
+select x.q, not exists (select 1 from o join y on y.q = o.q and y.node = o.node where o.q = x.q) as separated from x""")
+def sigma_separation(s, d):
+    """Per brand: its first and last part, given a third, over the cyclic graph."""
+    from signflow.operators.separation import separated
+
+    a = store(D.arcs(s, d, tier=True), "arcs")
+    part = D.table(s, d, "part").select(F.col("p_brand").alias("q"), F.col("p_partkey").alias("node"), "p_size")
+    x, y = part.groupBy("q").agg(F.min("node").alias("node")), part.groupBy("q").agg(F.max("node").alias("node"))
+    z = part.where("p_size > 25").groupBy("q").agg(F.min("node").alias("node")).join(x.unionByName(y), ["q", "node"], "left_anti")
+    comp = S.components_of(a)
+    comp = store(comp.unionByName(part.select("node").join(comp, "node", "left_anti").select("node", F.col("node").alias("scc"))), "sccs")
+    return separated(a, comp, x, y, z)
+
+
+@query("asp_cautious")
+def asp_cautious(s, d):
+    from signflow.operators.consistency import consistent
+
+    return consistent(D.arcs(s, d, tier=True), D.seeds(s, d))
+
+
+@query("abduction")
+def abduction(s, d):
+    from signflow.operators.consistency import abduction as run
+
+    seen = D.table(s, d, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"), F.lit(1).alias("mask"))
+    return run(D.arcs(s, d, tier=True), D.seeds(s, d), seen)
+
+
+@query("sign_permutation_null")
+def sign_permutation_null(s, d):
+    from signflow.operators.nulls import permute_signs
+
+    return permute_signs(D.arcs(s, d), 7)
+
+
+@query("rewired_null")
+def rewired_null(s, d):
+    from signflow.operators.nulls import rewired
+
+    return rewired(D.arcs(s, d, tier=True), 4)
+
+
+
+
+@query("numeric_validate")
+def numeric_validate(s, d):
+    """Predicted signs over a chain of nations with feedback, against sampled stable systems: nothing is contradicted."""
+    from signflow.operators.numeric import validate
+
+    n = D.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("r"))
+    ring = n.select("src", ((F.col("src") + 1) % 25).alias("dst"), F.when(F.col("r") < 3, 1).otherwise(2).cast("int").alias("m"))
+    back = n.where("src % 6 = 5").select("src", (F.col("src") - 3).alias("dst"), F.lit(2).alias("m"))
+    arcs = store(ring.unionByName(back), "nations")
+    iv = n.where("r = 0").select(F.concat(F.lit("n"), F.col("src").cast("string")).alias("iv_id"), F.col("src").alias("node"), F.lit(1).alias("mask"))
+    return validate(arcs, iv, S.solve(arcs, iv), draws=200, parts=4)
+
+
+@query("induced_subgraph", f"with {ALL_SQL} select src, dst, m from arc where src in (select p_partkey from part where p_size > 25) and dst in (select p_partkey from part where p_size > 25)")
+def induced_subgraph(s, d):
+    from signflow.operators.traces import induced
+
+    return induced(D.arcs(s, d), D.table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("node")))
+
+
+@query("traces")
+def traces(s, d):
+    from signflow.operators.traces import traces as run
+
+    a = store(D.arcs(s, d, tier=True), "arcs")
+    return run(a, _hub(a), D.table(s, d, "part").select(F.col("p_partkey").alias("node")), max_hops=5)
