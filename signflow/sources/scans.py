@@ -161,3 +161,29 @@ def turtle(arcs: DataFrame, base: str = "http://example.org/") -> DataFrame:
     s, t = (F.concat(F.lit(f"<{base}"), F.url_encode(F.col(c).cast("string")), F.lit(">")) for c in ("src", "dst"))
     line = F.concat(F.lit("[] a <"), F.lit(base), F.lit("Influence> ; <"), F.lit(base), F.lit("source> "), s, F.lit(" ; <"), F.lit(base), F.lit("target> "), t, F.lit(" ; <"), F.lit(base), F.lit('sign> "'), escape_literal(decode(F.col("m"))), F.lit('" .'))
     return arcs.select(line.alias("line")).orderBy("line")
+
+
+def write_catalog(nodes: DataFrame, path: str) -> None:
+    """The nodes in order of their id, as JSON lines and as a tab-separated table."""
+    ordered = nodes.select("id", "label", "scale", "entity_iri", "quality_iri").repartitionByRange("id").sortWithinPartitions("id")
+    ordered.write.json(f"{path}/json")
+    ordered.write.option("sep", "\t").option("header", True).csv(f"{path}/tsv")
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the files under a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_checksums(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """(name, problem) of files that are missing, unexpected or changed; ``expected`` has (name, sha256)."""
+    have = checksums(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("got"))
+    j = expected.select("name", "sha256").join(have, "name", "full")
+    problem = F.when(F.col("got").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.col("got") != F.col("sha256"), "changed")
+    return j.select("name", problem.alias("problem")).where("problem is not null")
+
+
+def stale(rows: DataFrame, published: DataFrame) -> bool:
+    """Whether a published table differs from what it should hold now, repeats counted."""
+    return not (rows.exceptAll(published).isEmpty() and published.exceptAll(rows).isEmpty())

@@ -53,3 +53,16 @@ def test_sharded_round_trip(spark, tmp_path):
 def test_turtle_lines(spark):
     out = scans.turtle(spark.createDataFrame([("a b", "c", 2)], "src string, dst string, m int")).collect()
     assert out[0].line.count("<") == 6 and out[0].line.endswith('"-" .')
+
+
+def test_catalog_and_checksums(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", "B", "organ", None, None), ("a", "A", "organ", None, None)], "id string, label string, scale string, entity_iri string, quality_iri string")
+    scans.write_catalog(nodes, str(tmp_path / "cat"))
+    back = spark.read.csv(str(tmp_path / "cat/tsv"), sep="\t", header=True).select("id", "label")
+    assert not scans.stale(back, nodes.select("id", "label")) and scans.stale(back.limit(1), nodes.select("id", "label"))
+    (tmp_path / "in").mkdir()
+    for n in "xy":
+        (tmp_path / "in" / n).write_text(n)
+    sums = {r.path.rsplit("/", 1)[1]: r.sha256 for r in scans.checksums(spark, str(tmp_path / "in")).collect()}
+    expected = spark.createDataFrame([("x", sums["x"]), ("y", "0"), ("z", "0")], "name string, sha256 string")
+    assert {tuple(r) for r in scans.verify_checksums(spark, str(tmp_path / "in"), expected).collect()} == {("y", "changed"), ("z", "missing")}
