@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.llm.common import new_path, table
+from signflow.llm.common import materialise, new_path, table
 
 #: Payloads from this size on are written once; equal ones are revisits.
 MIN_REVISIT_BYTES = 1_000
-#: Payload bytes that an archive should hold.
-ARCHIVE_BYTES = 24_000_000
+#: Payload bytes that an archive should hold at most, on average.
+ARCHIVE_BYTES = 128_000_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
@@ -153,6 +153,8 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.when(F.length("payload") >= min_bytes, F.sha1("payload")))
     most = p.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("most"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "most")
+    # stored first, so that its size is known and payloads aren't shuffled to meet a small table
+    most = materialise(most, "payload-repeats")
     out = p.join(most, F.col("digest") == F.col("same"), "left")
     first = F.coalesce(F.col("page_id") == F.col("most"), F.lit(False))
     return out.select("page_id", "url", "payload", F.when(~first, F.col("most")).alias("refers_to"))
@@ -165,8 +167,10 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
-    count = max(1, -(-total // archive_bytes))
-    dealt = revisits(pages).repartition(count, F.xxhash64("page_id", "url"))
+    count = -(-total // archive_bytes)
+    dealt = revisits(pages)
+    if count > pages.rdd.getNumPartitions():
+        dealt = dealt.repartition(count, F.xxhash64("page_id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
