@@ -16,6 +16,7 @@ exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -288,31 +289,27 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
 
 
 class _Forest(_Links):
-    """Union-find that keeps, for each union, the pair of rows that brought it about."""
+    """Union-find over candidate pairs, that keeps the pair of rows that brought each union about."""
 
     def __init__(self, n: np.ndarray, sketch: np.ndarray, threshold: float) -> None:
         super().__init__(len(n))
         self.n, self.sketch, self.threshold = n, sketch, threshold
-        #: four standard errors of the sketch's estimate below the threshold
-        self.least = threshold - 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+        self.least, _ = candidate_bounds(threshold)
         self.kept: list[tuple[int, int]] = []
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         lo, hi = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
-        near = (lo >= self.threshold * hi) & (a != b)
+        near = lo >= self.threshold * hi
         a, b = a[near], b[near]
         for at in range(0, len(a), 1 << 16):
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            like = (self.sketch[x] == self.sketch[y]).mean(axis=1)
-            order = np.argsort(-like, kind="stable")
-            order = order[like[order] >= self.least]
-            self._join(x[order], y[order])
+            open_ = self.root(x) != self.root(y)
+            x, y = x[open_], y[open_]
+            like = (self.sketch[x] == self.sketch[y]).mean(axis=1) >= self.least
+            self._join(x[like], y[like])
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
-        ra, rb = self.root(a), self.root(b)
-        open_ = np.flatnonzero(ra != rb)
-        for i in open_.tolist():
-            x, y = int(a[i]), int(b[i])
+        for x, y in zip(a.tolist(), b.tolist()):
             rx, ry = self._find(x), self._find(y)
             if rx != ry:
                 self.up[max(rx, ry)] = min(rx, ry)
@@ -325,14 +322,75 @@ class _Forest(_Links):
         return x
 
 
-def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 12, band_rows: int = 4 * SHARD_ROWS) -> DataFrame:
+def candidate_bounds(threshold: float) -> tuple[float, int]:
+    """The least share of equal sketch values, and the most differing low bits of them, of a candidate pair.
+
+    Both lie six standard errors from what a pair at the threshold has on average.
+    """
+    p = (1 - threshold) / 2
+    return threshold - 6 * (threshold * (1 - threshold) / SKETCH) ** 0.5, int(np.ceil(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5))
+
+
+def candidates(forest: _Forest, home: np.ndarray) -> None:
+    """Give the forest all pairs of a home row and another row whose sizes and sketch bits allow the similarity."""
+    word = np.packbits((forest.sketch & 1).astype(np.uint8), axis=1).view(np.uint64).ravel()
+    n, t, radius = forest.n, forest.threshold, candidate_bounds(forest.threshold)[1]
+    own, guest = (x[np.argsort(n[x], kind="stable")] for x in (np.flatnonzero(home), np.flatnonzero(~home)))
+    for other in (own, guest):
+        sizes, at = n[other], 0
+        while at < len(own) and len(other):
+            first = int(np.searchsorted(sizes, np.floor(n[own[at]] * t)))
+            # as many rows as keep the compared strip within bounds; among home rows it widens with the step
+            wide = at - first if other is own else len(other) - first
+            step = max(1, (isqrt(wide * wide + 16 * LEAF_PAIRS) - wide) // 2 if other is own else LEAF_PAIRS * 4 // max(1, wide))
+            a = own[at : at + step]
+            last = at + len(a) if other is own else int(np.searchsorted(sizes, np.ceil(n[a[-1]] / t), side="right"))
+            b = other[first:last]
+            i, j = np.nonzero(np.bitwise_count(word[a, None] ^ word[None, b]) <= radius)
+            if other is own:
+                # each pair once: with the rows before it
+                i, j = i[before := first + j < at + i], j[before]
+            if len(i):
+                forest.add(a[i], b[j])
+            at += len(a)
+
+
+def verified_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs, of a home row and another row, whose sets have the Jaccard similarity.
+
+    Any pair whose ends are still apart is compared on the whole sets before it
+    joins them, so no failing pair keeps another from being looked at.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    n, home = np.array([len(sets[i]) for i in order], np.int64), home[order]
+    token = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    start = np.concatenate([[0], np.cumsum(n)])
+    mark, label, kept = np.zeros(len(token) and int(token.max()) + 1, bool), np.arange(len(n)), []
+    for x in np.flatnonzero(home)[::-1].tolist():
+        y = np.arange(np.searchsorted(n, n[x] * threshold - 1e-9), np.searchsorted(n, n[x] / threshold + 1e-9, side="right"))
+        y = y[~home[y] | (y < x)][::-1]
+        mark[mine := token[start[x] : start[x + 1]]] = True
+        while len(y := y[label[y] != label[x]]):
+            some, y = y[:256], y[256:]
+            ends = np.cumsum(n[some])
+            both = np.add.reduceat(mark[token[np.arange(ends[-1]) + np.repeat(start[some] - ends + n[some], n[some])]], ends - n[some], dtype=np.int64)
+            some = some[both >= threshold * (n[x] + n[some] - both) - 1e-9]
+            if len(some):
+                labels, at = np.unique(label[some], return_index=True)
+                kept += [(int(order[x]), int(order[k])) for k in some[at]]
+                label[np.isin(label, labels)] = label[x]
+        mark[mine] = False
+    return kept
+
+
+def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, band_rows: int = 4 * SHARD_ROWS, group_rows: int = 16_384) -> DataFrame:
     """(doc_id, component_id) of every document with words: groups of texts whose shingle sets have a Jaccard similarity of ``threshold``.
 
-    Candidates are fingerprints within ``radius`` bits whose numbers of shingles
-    don't already rule the similarity out, and whose MinHash sketches don't
-    either.  Sizes deal the texts out: a band of sizes meets itself and the next.
-    Of each shard a spanning forest of likely pairs is returned, likeliest first,
-    and the similarity of each of its pairs is verified on all shingles.
+    Candidates are pairs whose numbers of shingles and MinHash sketches don't
+    rule the similarity out (see ``candidate_bounds``).  Sizes deal the texts
+    out: a band of sizes meets itself and the next.  What candidates connect is
+    brought together with all its shingles, in blocks of ``group_rows``, and
+    only pairs that have the similarity are joined.
     Documents with a null id or no words are left out, copies meet once.
     """
     prof = materialise(_profiles(docs, words), "profiles")
@@ -347,49 +405,56 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, radi
     own = own.withColumn("block", block)
     inside = own.withColumns({"at": F.explode(F.sequence(F.col("block"), F.lit(parts - 1)))}).withColumn("home", F.col("at") == F.col("block"))
     across = guest.withColumn("block", block).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    cols = ["band", "at", "home", "fp", "n", "sketch", "node"]
+    cols = ["band", "at", "home", "n", "sketch", "node"]
     dealt = inside.select(cols).unionByName(across.select(cols))
 
     def search(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("node").to_numpy(), kind="stable")
-        node, home = t.column("node").to_numpy()[order], t.column("home").to_numpy()[order]
-        fp, n = t.column("fp").to_numpy()[order].view(np.uint64), t.column("n").to_numpy()[order]
+        node, home, n = (t.column(c).to_numpy()[order] for c in ("node", "home", "n"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)[order]
         forest = _Forest(n, sketch, threshold)
-        octets = fp.view(np.uint8).reshape(-1, LEVELS)
-        vantage = np.array([np.bincount(octets[:, i], minlength=256).argmax() for i in range(LEVELS)], np.uint8).view(np.uint64)
-        descend(forest, fp, home, vantage, radius)
+        candidates(forest, home)
         pairs = np.array(forest.kept, np.int64).reshape(-1, 2)
         return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
     likely = materialise(dealt.groupBy("band", "at").applyInArrow(search, "u long, v long").distinct(), "likely")
-    sure = materialise(_verified(docs, likely, words, threshold), "sure")
+    sure = materialise(_verified(docs, components(likely), words, threshold, group_rows), "sure")
     roots = components(sure)
     placed = distinct.join(roots, "node", "left").select(F.col("fp").alias("gfp"), F.col("n").alias("gn"), F.col("sketch").alias("gsketch"), F.coalesce("root", "node").alias("component_id"))
     same = (F.col("fp") == F.col("gfp")) & (F.col("n") == F.col("gn")) & (F.col("sketch") == F.col("gsketch"))
     return prof.join(placed, same).select("doc_id", "component_id")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Those pairs (u, v) of ids whose texts have the similarity."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+def _verified(docs: DataFrame, roots: DataFrame, words: int, threshold: float, group_rows: int) -> DataFrame:
+    """Edges (u, v) that span what pairs with the similarity connect, inside each group of candidates (node, root).
+
+    Small groups share tasks; of a group of more than ``group_rows`` each two blocks meet in a task.
+    """
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    sizes = roots.groupBy("root").agg(F.count("*").alias("m"))
+    tasks = max(1, -(-roots.count() // 2048))
+    member = roots.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / group_rows).cast("long"))
+    member = member.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")), "task": F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks)))})
+    member = materialise(member.select("node", "root", "task", "blocks", "block"), "candidate-groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [shingle_hashes(x, words).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["id", "h"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("raw")).join(wanted, "id", "left_semi")
-    found = materialise(texts.mapInArrow(sets, "id long, h binary").dropDuplicates(["id"]), "shingle-sets")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["node", "h"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("raw")).join(member.select("node"), "node", "left_semi")
+    found = member.join(texts.mapInArrow(sets, "node long, h binary").where("length(h) > 0").dropDuplicates(["node"]), "node")
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = found.withColumn("at", F.explode(pair)).select("blocks", "task", "at.i", "at.j", (F.col("block") == F.col("at.i")).alias("home"), "root", "node", "h")
+
+    def verify(t: pa.Table) -> pa.Table:
+        root, node, home = (t.column(c).to_numpy() for c in ("root", "node", "home"))
+        h = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+        order = np.lexsort((node, root))
+        edges = []
+        for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            edges += [(int(part[x]), int(part[y])) for x, y in verified_links([h[k] for k in part], home[part], threshold)]
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    a, b = found.select(F.col("id").alias("u"), F.col("h").alias("hu")), found.select(F.col("id").alias("v"), F.col("h").alias("hv"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "hu", "hv").mapInArrow(compare, "u long, v long")
+    return dealt.groupBy((F.col("blocks") > 1).alias("big"), "task", "i", "j").applyInArrow(verify, "u long, v long")
