@@ -144,8 +144,10 @@ def clean_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     t = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = t.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > 8 * max_index_words:
-        found = contained_items(docs, items, threshold, words, max_index_words).select("doc_id").distinct()
-        return docs.join(found, "doc_id", "left_anti")
+        # rows are told apart by a key of their own: ids may be null or shared
+        keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
+        found = _joined(keyed.select(F.col("__row").alias("doc_id"), "text"), t, threshold, words).select(F.col("doc_id").alias("__row")).distinct()
+        return keyed.join(found, "__row", "left_anti").select(*docs.columns)
     index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in t.collect()], words, threshold))
     at = docs.columns.index("text")
 
