@@ -15,13 +15,12 @@ exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import isqrt
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signflow.llm.common import materialise, table
@@ -162,7 +161,7 @@ class _Links:
 
 
 def descend(links: _Links, fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: int) -> None:
-    """Dual-tree join of a shard: home rows with each other and with the guests."""
+    """Dual-tree join of a task: home rows with the guests or, where it has none, with each other."""
     d = level_distances(fp, vantage)
 
     def split(x: np.ndarray, level: int) -> list[tuple[int, np.ndarray]]:
@@ -184,10 +183,11 @@ def descend(links: _Links, fp: np.ndarray, home: np.ndarray, vantage: np.ndarray
                     join(xa, xb, level + 1, left - abs(da - db), same and i == j)
 
     own, guest = np.flatnonzero(home), np.flatnonzero(~home)
-    if len(own):
-        join(own, own, 0, radius, True)
-        if len(guest):
+    if len(guest):
+        if len(own):
             join(own, guest, 0, radius, False)
+    elif len(own):
+        join(own, own, 0, radius, True)
 
 
 def shard_links(fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: int) -> np.ndarray:
@@ -200,9 +200,12 @@ def shard_links(fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: i
 def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (u, v) that connect what is linked among distinct fingerprints.
 
-    ``distinct`` has one row per fingerprint (fp long).  Of each shard a
-    spanning star per group is returned, not all its pairs: a group of n takes
-    n - 1 edges and no link between different fingerprints is lost.
+    ``distinct`` has one row per fingerprint (fp long).  The rows at home in a
+    shard, and its guests, are cut into blocks of about ``shard_rows`` by a hash;
+    a task holds two blocks, whatever a shard holds: two home blocks, or a home
+    block and a block of guests.  Of each task a spanning star per group is
+    returned, not all its pairs: a group of n takes n - 1 edges and no link
+    between different fingerprints is lost.
     """
     total = distinct.count()
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()], np.int64).view(np.uint64)
@@ -224,8 +227,19 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROW
         i = np.flatnonzero(root != np.arange(len(fp)))
         return pa.table({"u": fp[i].view(np.int64), "v": fp[root[i]].view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "u long, v long")
+    dealt = materialise(distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean"), "dealt")
+    blocks = dealt.groupBy("shard").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(of) / shard_rows)).cast("long").alias(name) for of, name in ((F.col("home"), "home_blocks"), (~F.col("home"), "guest_blocks"))])
+    placed = dealt.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), F.when(F.col("home"), F.col("home_blocks")).otherwise(F.col("guest_blocks"))))
+
+    def tasks(of: str, pair: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(of) - 1), pair)
+
+    # kind 0: two home blocks; kind 1: a home block and a block of guests
+    own = tasks("home_blocks", lambda k: F.struct(F.lit(0).alias("kind"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    met = tasks("guest_blocks", lambda k: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), k.alias("j")))
+    visits = tasks("home_blocks", lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), F.col("block").alias("j")))
+    spread = placed.select("shard", "fp", "home", F.explode(F.when(F.col("home"), F.concat(own, met)).otherwise(visits)).alias("at"))
+    return spread.groupBy("shard", "at.kind", "at.i", "at.j").applyInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -252,7 +266,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- similar texts, verified --------------------------------------------------
 
-SKETCH = 64
+#: MinHash values of a text, one byte of each; BANDS runs of ROWS of them are the keys under which texts meet.
+BANDS, ROWS = 32, 5
+SKETCH = BANDS * ROWS
 _MIX = np.random.default_rng(2024).integers(1, 1 << 63, (2, SKETCH), np.uint64) | np.uint64(1)
 
 
@@ -266,93 +282,88 @@ def shingle_hashes(raw: bytes | None, words: int) -> np.ndarray:
 
 
 def minhash_sketch(h: np.ndarray) -> np.ndarray:
-    """SKETCH least values under as many mixes of the hashes, 16 bits of each."""
+    """The least values under SKETCH mixes of the hashes, the low byte of each."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1 << 12):
-        x = h[at : at + (1 << 12), None] * _MIX[0][None] + _MIX[1][None]
+    for at in range(0, len(h), 1 << 11):
+        x = h[at : at + (1 << 11), None] * _MIX[0][None] + _MIX[1][None]
         least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
-    return (least & np.uint64(0xFFFF)).astype(np.uint16)
+    return (least & np.uint64(0xFF)).astype(np.uint8)
+
+
+def least_agreement(threshold: float) -> float:
+    """The share of equal sketch values below which a pair isn't looked at: six standard errors under what a pair at the threshold has on average."""
+    return threshold - 6 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, raw): ``node`` tells equal texts by 64 bits of hash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), F.col("text").cast("binary").alias("raw"))
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, n, sketch): fingerprint, number of distinct shingles and MinHash sketch of each text with words."""
+    """(doc_id, node, n, sketch): number of distinct shingles and MinHash sketch of each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(1).to_pylist()
-            fp = np.fromiter((fingerprint_bytes(x, words) for x in raw), np.uint64, len(raw))
-            h = [shingle_hashes(x, words) for x in raw]
-            cols = [b.column(0), pa.array(fp.view(np.int64)), pa.array([len(x) for x in h], pa.int64()), pa.array([minhash_sketch(x).tobytes() for x in h], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n", "sketch"])
+            h = [shingle_hashes(x, words) for x in b.column(2).to_pylist()]
+            cols = [b.column(0), b.column(1), pa.array([len(x) for x in h], pa.int64()), pa.array([minhash_sketch(x).tobytes() for x in h], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "n", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, fp long, n long, sketch binary").where("n > 0 and doc_id is not null")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n long, sketch binary").where("n > 0")
 
 
-class _Forest(_Links):
-    """Union-find over candidate pairs, that keeps the pair of rows that brought each union about."""
+def agreeing_links(n: np.ndarray, sketch: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches allow the similarity.
 
-    def __init__(self, n: np.ndarray, sketch: np.ndarray, threshold: float) -> None:
-        super().__init__(len(n))
-        self.n, self.sketch, self.threshold = n, sketch, threshold
-        self.least, _ = candidate_bounds(threshold)
-        self.kept: list[tuple[int, int]] = []
+    A group is found from its first row outwards; each of its rows is compared
+    with the rows that no group has yet, so that close copies cost one pass.
+    """
+    least, open_, kept = least_agreement(threshold) * SKETCH, np.arange(len(n)), []
+    while len(open_) > 1:
+        front, open_ = [int(open_[0])], open_[1:]
+        while front and len(open_):
+            x = front.pop()
+            fits = np.flatnonzero(np.minimum(n[open_], n[x]) >= threshold * np.maximum(n[open_], n[x]) - 1e-9)
+            found = fits[(sketch[open_[fits]] == sketch[x]).sum(axis=1) >= least]
+            if len(found):
+                got = open_[found].tolist()
+                kept += [(x, y) for y in got]
+                front += got
+                open_ = np.delete(open_, found)
+    return kept
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        lo, hi = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
-        near = lo >= self.threshold * hi
-        a, b = a[near], b[near]
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            open_ = self.root(x) != self.root(y)
-            x, y = x[open_], y[open_]
-            like = (self.sketch[x] == self.sketch[y]).mean(axis=1) >= self.least
-            self._join(x[like], y[like])
-
-    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            rx, ry = self._find(x), self._find(y)
-            if rx != ry:
-                self.up[max(rx, ry)] = min(rx, ry)
-                self.kept.append((x, y))
-
-    def _find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = int(self.up[x])
-        return x
-
-
-def candidate_bounds(threshold: float) -> tuple[float, int]:
-    """The least share of equal sketch values, and the most differing low bits of them, of a candidate pair.
-
-    Both lie six standard errors from what a pair at the threshold has on average.
+
+def _likely(distinct: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """Edges (u, v) that span, within each bucket, what sizes and sketches don't rule out.
+
+    A text is in a bucket for each run of ROWS sketch values.  Buckets with the
+    same members count once.  Small buckets share tasks; one of more than
+    ``block_rows`` members is cut into blocks, and each two blocks meet in a task.
     """
-    p = (1 - threshold) / 2
-    return threshold - 6 * (threshold * (1 - threshold) / SKETCH) ** 0.5, int(np.ceil(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5))
-
-
-def candidates(forest: _Forest, home: np.ndarray) -> None:
-    """Give the forest all pairs of a home row and another row whose sizes and sketch bits allow the similarity."""
-    word = np.packbits((forest.sketch & 1).astype(np.uint8), axis=1).view(np.uint64).ravel()
-    n, t, radius = forest.n, forest.threshold, candidate_bounds(forest.threshold)[1]
-    own, guest = (x[np.argsort(n[x], kind="stable")] for x in (np.flatnonzero(home), np.flatnonzero(~home)))
-    for other in (own, guest):
-        sizes, at = n[other], 0
-        while at < len(own) and len(other):
-            first = int(np.searchsorted(sizes, np.floor(n[own[at]] * t)))
-            # as many rows as keep the compared strip within bounds; among home rows it widens with the step
-            wide = at - first if other is own else len(other) - first
-            step = max(1, (isqrt(wide * wide + 16 * LEAF_PAIRS) - wide) // 2 if other is own else LEAF_PAIRS * 4 // max(1, wide))
-            a = own[at : at + step]
-            last = at + len(a) if other is own else int(np.searchsorted(sizes, np.ceil(n[a[-1]] / t), side="right"))
-            b = other[first:last]
-            i, j = np.nonzero(np.bitwise_count(word[a, None] ^ word[None, b]) <= radius)
-            if other is own:
-                # each pair once: with the rows before it
-                i, j = i[before := first + j < at + i], j[before]
-            if len(i):
-                forest.add(a[i], b[j])
-            at += len(a)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * ROWS + 1, F.lit(ROWS))))
+    rows = distinct.select("node", F.explode(keys).alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.min("node").alias("least")).where("m > 1")
+    once = shared.groupBy("m", "mark", "least").agg(F.min("key").alias("key")).select("key", "m")
+    member = materialise(rows.join(once, "key"), "buckets")
+    tasks = max(1, -(-member.count() // 8192))
+    blocks = F.ceil(F.col("m") / block_rows).cast("long")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    cut = member.withColumn("blocks", blocks).withColumn("block", block).withColumn("at", F.explode(F.when(F.col("blocks") == 1, others).otherwise(F.filter(others, lambda x: x.i < x.j))))
+    cut = cut.withColumn("task", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(tasks))))
+    dealt = cut.select((F.col("blocks") > 1).alias("big"), "task", "at.i", "at.j", "key", "node").join(distinct, "node")
+
+    def search(t: pa.Table) -> pa.Table:
+        key, node, n = (t.column(c).to_numpy() for c in ("key", "node", "n"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        order = np.lexsort((node, key))
+        pairs = []
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            pairs += [(int(part[x]), int(part[y])) for x, y in agreeing_links(n[part], sketch[part], threshold)]
+        pairs = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
+
+    return dealt.groupBy("big", "task", "i", "j").applyInArrow(search, "u long, v long").distinct()
 
 
 def verified_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -383,46 +394,48 @@ def verified_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) -
     return kept
 
 
-def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, band_rows: int = 4 * SHARD_ROWS, group_rows: int = 16_384) -> DataFrame:
-    """(doc_id, component_id) of every document with words: groups of texts whose shingle sets have a Jaccard similarity of ``threshold``.
+def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block_rows: int = 4_096, group_rows: int = 16_384) -> DataFrame:
+    """(doc_id, node, component_id) of every row with words: groups of texts whose shingle sets have a Jaccard similarity of ``threshold``.
+
+    Texts meet in buckets of MinHash runs, where a pair at 0.8 is missed about
+    three times in a million and a likelier one far less.  Pairs that sizes and
+    sketches don't rule out (see ``least_agreement``) connect candidates; what
+    they connect is brought together with all its shingles, in blocks of
+    ``group_rows``, and only pairs that have the similarity are joined.
 
-    Candidates are pairs whose numbers of shingles and MinHash sketches don't
-    rule the similarity out (see ``candidate_bounds``).  Sizes deal the texts
-    out: a band of sizes meets itself and the next.  What candidates connect is
-    brought together with all its shingles, in blocks of ``group_rows``, and
-    only pairs that have the similarity are joined.
-    Documents with a null id or no words are left out, copies meet once.
+    ``component_id`` is the smallest doc_id of the group, null ids left aside,
+    ``node`` a hash of the text: rows of equal text meet once.  Rows without
+    words are left out; repeated rows and shared ids are rows of their own; an
+    empty table gives an empty table.
     """
     prof = materialise(_profiles(docs, words), "profiles")
-    distinct = prof.groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("node"))
-    distinct = materialise(distinct.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold))).cast("long")), "profile-groups")
-    total = distinct.count()
-    parts = max(1, -(-total // band_rows))
-    own = distinct.withColumn("home", F.lit(True))
-    guest = distinct.withColumns({"band": F.col("band") + 1, "home": F.lit(False)})
-    # a band is cut into blocks of its own rows; each block also sees every row of the band as a guest of later blocks
-    block = F.pmod(F.xxhash64("node"), F.lit(parts))
-    own = own.withColumn("block", block)
-    inside = own.withColumns({"at": F.explode(F.sequence(F.col("block"), F.lit(parts - 1)))}).withColumn("home", F.col("at") == F.col("block"))
-    across = guest.withColumn("block", block).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    cols = ["band", "at", "home", "n", "sketch", "node"]
-    dealt = inside.select(cols).unionByName(across.select(cols))
-
-    def search(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("node").to_numpy(), kind="stable")
-        node, home, n = (t.column(c).to_numpy()[order] for c in ("node", "home", "n"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)[order]
-        forest = _Forest(n, sketch, threshold)
-        candidates(forest, home)
-        pairs = np.array(forest.kept, np.int64).reshape(-1, 2)
-        return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
-
-    likely = materialise(dealt.groupBy("band", "at").applyInArrow(search, "u long, v long").distinct(), "likely")
+    distinct = materialise(prof.select("node", "n", "sketch").distinct(), "profile-groups")
+    likely = materialise(_likely(distinct, threshold, block_rows), "likely")
     sure = materialise(_verified(docs, components(likely), words, threshold, group_rows), "sure")
     roots = components(sure)
-    placed = distinct.join(roots, "node", "left").select(F.col("fp").alias("gfp"), F.col("n").alias("gn"), F.col("sketch").alias("gsketch"), F.coalesce("root", "node").alias("component_id"))
-    same = (F.col("fp") == F.col("gfp")) & (F.col("n") == F.col("gn")) & (F.col("sketch") == F.col("gsketch"))
-    return prof.join(placed, same).select("doc_id", "component_id")
+    own = prof.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("group"))
+    own = materialise(own, "groups")
+    return own.join(own.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "node", "group", "component_id")
+
+
+def one_per_group(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns: of each group of similar texts the row with the smallest doc_id.
+
+    A null id comes after all others.  Where rows of that id and text repeat,
+    the least by all its columns stays.  Rows without words stay, each of them.
+    """
+    got = similar_groups(docs, **how)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    first = materialise(got.groupBy("group").agg(F.min(order).alias("best")).select("best.doc_id", "best.node"), "firsts")
+    here = first.join(got.select("doc_id", "node"), (first.node == got.node) & first.doc_id.eqNullSafe(got.doc_id)).groupBy(first.doc_id, first.node).agg(F.count("*").alias("rows"))
+    chosen = materialise(here.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.col("rows").alias("__rows")), "chosen")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\x0b\f]")
+    key = F.xxhash64("text")
+    kept = docs.where(~wordless).withColumn("__key", key)
+    kept = kept.join(chosen, (F.col("__key") == F.col("__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    single = kept.where("__rows = 1").select(*docs.columns)
+    repeated = kept.where("__rows > 1").select(*docs.columns, "__node", "__id").groupBy("__node", "__id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return docs.where(wordless).unionByName(single).unionByName(repeated)
 
 
 def _verified(docs: DataFrame, roots: DataFrame, words: int, threshold: float, group_rows: int) -> DataFrame:
@@ -438,11 +451,17 @@ def _verified(docs: DataFrame, roots: DataFrame, words: int, threshold: float, g
     member = materialise(member.select("node", "root", "task", "blocks", "block"), "candidate-groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            h = [shingle_hashes(x, words).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["node", "h"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("raw")).join(member.select("node"), "node", "left_semi")
+            # copies in the same task are worked out once; the set is bounded, what it forgets is only repeated work
+            node = b.column(0).to_pylist()
+            new = [i for i, x in enumerate(node) if not (x in seen or seen.add(x))]
+            if len(seen) > 1 << 20:
+                seen.clear()
+            h = [shingle_hashes(b.column(1)[i].as_py(), words).tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array(h, pa.binary())], names=["node", "h"])
+
+    texts = _texts(docs).select("node", "raw").join(member.select("node"), "node", "left_semi")
     found = member.join(texts.mapInArrow(sets, "node long, h binary").where("length(h) > 0").dropDuplicates(["node"]), "node")
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     dealt = found.withColumn("at", F.explode(pair)).select("blocks", "task", "at.i", "at.j", (F.col("block") == F.col("at.i")).alias("home"), "root", "node", "h")

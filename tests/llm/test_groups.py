@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from signflow.llm.simhash import shingle_hashes, similar_groups
+from signflow.llm.simhash import fingerprints, near_duplicates, one_per_group, shingle_hashes, similar_groups
 
 
 def brute(texts):
@@ -46,10 +46,49 @@ def test_copies_that_only_their_base_connects(spark, group_rows):
 def test_short_texts_and_ties(spark):
     # one word more at the end, of few shingles: simhash bits tie, similarities of 0.8 and a little less
     texts = {10 * n + k: " ".join([f"n{n}w{i}" for i in range(n + 4 - k)]) for n in range(1, 40) for k in range(4)}
-    got = grouped(spark, texts, band_rows=20)
+    got = grouped(spark, texts, block_rows=20)
     assert got == brute(texts)
 
 
 def test_documents(spark, sf_dir):
     texts = dict(tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     assert grouped(spark, texts) == brute(texts)
+
+
+def test_pairs_near_the_threshold(spark):
+    # chains of texts, each a bit over or under 0.8 from the last, in one bucket cut into many blocks
+    rng, texts = np.random.default_rng(11), {}
+    for g in range(30):
+        cur = [f"g{g}w{i}" for i in range(120)]
+        for k in range(6):
+            texts[100 * g + k] = " ".join(cur)
+            for at in rng.choice(np.arange(3, 117), 2 + int(rng.integers(0, 3)), replace=False):
+                cur[at] = f"n{rng.integers(1 << 40)}"
+    want = brute(texts)
+    assert grouped(spark, texts, block_rows=4, group_rows=4) == want
+    assert 30 < len(set(want.values())) < len(texts)
+
+
+def test_one_row_of_a_group_stays(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "en"), (1, a, "de"), (1, a, "de"), (1, b, None), (2, b, "en"), (None, a, "fr"), (None, "only here, without an id", "x"), (3, None, "a"), (4, None, "a"), (5, " \t", "a"), (None, "", None)]
+    got = one_per_group(spark.createDataFrame(rows, "doc_id long, text string, node string"))
+    assert got.columns == ["doc_id", "text", "node"]
+    want = [(1, a, "de"), (1, b, None), (None, rows[6][1], "x"), *rows[7:]]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert one_per_group(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_cut_into_blocks_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 9)))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fp = {r.doc_id: r.fp & (1 << 64) - 1 for r in fingerprints(docs).collect()}
+    up = {i: i for i in fp}
+    for i in sorted(fp):
+        for j in range(i):
+            if up[i] != up[j] and (fp[i] ^ fp[j]).bit_count() <= 4:
+                keep, gone = sorted((up[i], up[j]))
+                up = {k: keep if r == gone else r for k, r in up.items()}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, shard_rows=40).collect()} == up
