@@ -63,13 +63,12 @@ def unescape(text: Column, t: ChatTemplate) -> Column:
 
 
 def escape_role(role: Column, t: ChatTemplate) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), t)
+    # every backslash of the result is followed by b or n, so taking the two apart again has one reading
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")), t)
 
 
 def unescape_role(role: Column, t: ChatTemplate) -> Column:
-    # a pair of backslashes is set aside while the line breaks are put back
-    aside = F.replace(unescape(role, t), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role, t), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def format_chats(rows: DataFrame, template: ChatTemplate | None = None, block_turns: int = 256) -> DataFrame:
@@ -82,7 +81,8 @@ def format_chats(rows: DataFrame, template: ChatTemplate | None = None, block_tu
 
     Turns are ordered by turn, then role, then text, so ties and repeated rows
     have a fixed order; null texts and roles are empty, a null turn comes first,
-    a null conv_id is a conversation.  A conversation is first put together in
+    a null conv_id is a conversation, an empty table gives an empty table, other
+    columns are not read.  A conversation is first put together in
     blocks of turns, so a very long one is spread over tasks until its blocks,
     each with the machine's moves from every state, are joined up.
     """

@@ -2,8 +2,10 @@
 
 Every node of the page's tree has a density: characters per tag, lowered by the
 share of its characters and tags that are links.  A node's density sum adds up
-the densities of its children; the node with the greatest sum that isn't below
-the path's threshold is the article.
+the densities of its children.  The least density on the way from the node with
+the greatest sum up to the body is the threshold, and from the body down, every
+node that reaches it gives its subtree of the greatest sum to the article.
+Where the page marks articles, the density says which of them is meant.
 """
 
 from __future__ import annotations
@@ -46,7 +48,11 @@ DROPPED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|paywall|popup|modal|overlay|share|sharing|social|comments?|commentlist|disqus|respond|sidebar|side-bar|rail|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|related|recommended|recommendations|footer|masthead|skip-link|toolbar|login|signup|tags|widget\w*)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: Elements that hold parts of a page, and may be dropped by their names; paragraphs and headings are not.
+HOLDERS = frozenset("div section ul ol dl table details figure fieldset center ins".split())
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[^\s/>]+")
+EDGE = re.compile(r">|=\s*[\"']")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -58,6 +64,8 @@ class Page:
         self.tag, self.parent, self.attrs = ["#root"], [0], [""]
         #: (node, text) in page order; a None text is a block's edge
         self.flow: list[tuple[int, str | None]] = []
+        #: how many elements of a name are open
+        self.open: dict[str, int] = {}
         self._parse(html)
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
@@ -74,6 +82,8 @@ class Page:
             ended, scope = {"p"}, P_SCOPE
         else:
             return
+        if not any(self.open.get(x) for x in ended):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             name = names[stack[depth]]
             if name in scope:
@@ -90,43 +100,67 @@ class Page:
 
     def _leave(self, stack: list[int]) -> None:
         node = stack.pop()
+        self.open[self.tag[node]] -= 1
         if self.tag[node] in BLOCK:
             self.flow.append((node, None))
 
+    @staticmethod
+    def _end_of_tag(html: str, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends, quoted values passed over; -1 if it never does."""
+        while m := EDGE.search(html, at):
+            if m[0] == ">":
+                return m.start()
+            at = html.find(m[0][-1], m.end()) + 1
+            if not at:
+                return -1
+        return -1
+
     def _parse(self, html: str) -> None:
+        """One pass; a comment or a tag that never ends takes the rest of the page, as in a browser."""
         stack, at, size, lower = [0], 0, len(html), None
         while at < size:
-            m = TOKEN.search(html, at)
+            m = MARKUP.search(html, at)
             if not m:
                 self.flow.append((stack[-1], html[at:]))
                 break
             if m.start() > at:
                 self.flow.append((stack[-1], html[at : m.start()]))
-            at = m.end()
-            if m[1] is not None:
-                self.flow.append((stack[-1], m[1]))
-            if m[3] is None:
-                continue
-            tag = m[3].lower()
-            if m[2]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        for _ in range(len(stack) - depth):
+            kind, at = m[0], m.end()
+            if kind == "<!--":
+                end = at - 2 if html.startswith(">", at) or html.startswith("->", at) else html.find("-->", at)
+                end = html.find(">", end) if end >= 0 else -1
+                at = size if end < 0 else end + 1
+            elif kind == "<![CDATA[":
+                end = html.find("]]>", at)
+                self.flow.append((stack[-1], html[at : size if end < 0 else end]))
+                at = size if end < 0 else end + 3
+            elif kind[1] in "!?":
+                at = html.find(">", at) + 1 or size
+            else:
+                name = NAME.match(html, at - 1)
+                end = self._end_of_tag(html, name.end())
+                if end < 0:
+                    break
+                at, tag, attrs = end + 1, name[0].lower(), html[name.end() : end]
+                if kind[1] == "/":
+                    if self.open.get(tag):
+                        while self.tag[stack[-1]] != tag:
                             self._leave(stack)
-                        break
-                continue
-            self._close_implied(tag, stack)
-            node = self._open(tag, m[4], stack)
-            if tag == "br":
-                self.flow.append((node, " "))
-            if tag in BLOCK:
-                self.flow.append((node, None))
-            if tag in RAW:
-                lower = lower if lower is not None else html.lower()
-                end = lower.find("</" + tag, at)
-                at = size if end < 0 else (lower.find(">", end) + 1 or size)
-            elif tag not in VOID and not m[4].endswith("/"):
-                stack.append(node)
+                        self._leave(stack)
+                    continue
+                self._close_implied(tag, stack)
+                node = self._open(tag, attrs, stack)
+                if tag == "br":
+                    self.flow.append((node, " "))
+                if tag in BLOCK:
+                    self.flow.append((node, None))
+                if tag in RAW:
+                    lower = lower if lower is not None else html.lower()
+                    end = lower.find("</" + tag, at)
+                    at = size if end < 0 else (html.find(">", end) + 1 or size)
+                elif tag not in VOID and not attrs.endswith("/"):
+                    stack.append(node)
+                    self.open[tag] = self.open.get(tag, 0) + 1
         while len(stack) > 1:
             self._leave(stack)
 
@@ -166,10 +200,10 @@ class Page:
                 density[i] = c / t * max(0.0, log(max(1.0, c / max(1, lc) * t / lt)) / max(log(base) if base > e else 1.0, 1.0))
                 if i:
                     total[parent[i]] += density[i]
-        best = self._select(density, total, drop)
+        chosen = self._select(density, total, drop)
         inside = [False] * n
         for i in range(n):
-            inside[i] = i == best or i > 0 and inside[parent[i]]
+            inside[i] = i in chosen or i > 0 and inside[parent[i]]
         blocks, own = [], []
         for node, text in self.flow:
             if text is None:
@@ -189,37 +223,57 @@ class Page:
         if tag == "header":
             # a header of the page goes; an article's own header with its heading stays
             return not (in_article and i in headed)
-        if self.attrs[i] and tag not in ("html", "body", "article", "main"):
+        if self.attrs[i]:
             for m in ATTR.finditer(self.attrs[i]):
                 name, value = m[1].lower(), (m[2] or "").strip("\"'")
-                # a layout wrapper named after its sidebar still holds the article
-                if name in ("class", "id") and not holds and DROPPED_NAMES.search(value):
+                # a layout wrapper named after its sidebar still holds the article; a paragraph's name says nothing
+                if name in ("class", "id") and tag in HOLDERS and not holds and DROPPED_NAMES.search(value):
                     return True
                 if name == "role" and value.lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     return True
         return False
 
-    def _select(self, density: list[float], total: list[float], drop: list[bool]) -> int:
-        """The node of the greatest density sum; where others wrap it, the nearest article whose density reaches the path's threshold."""
-        n = len(self.tag)
+    def _select(self, density: list[float], total: list[float], drop: list[bool]) -> set[int]:
+        """The nodes whose subtrees are the article.
+
+        Where a marked article or main part reaches the threshold: of those
+        around the node of the greatest density sum the nearest, else of those
+        inside it the one of the greatest sum.  On other pages: from the body
+        down, of every node that reaches the threshold the subtree of the
+        greatest sum.
+        """
+        n, parent = len(self.tag), self.parent
         best = max(range(n), key=lambda i: (total[i], -i))
-        threshold, at = density[best], best
-        while at:
-            at = self.parent[at]
+        body = next((i for i in range(n) if self.tag[i] == "body"), 0)
+        threshold, at = density[best] or max(density), best
+        while at and at != body:
+            at = parent[at]
             threshold = min(threshold, density[at] or threshold)
-        marked = [i for i in range(n) if self.tag[i] in ("article", "main") and not drop[i] and density[i] >= threshold > 0]
+        reach = [d >= threshold > 0 and not drop[i] for i, d in enumerate(density)]
+        marked = {i for i in range(n) if self.tag[i] in ("article", "main") and reach[i]}
         up = best
         while up:
             if up in marked:
-                return up
-            up = self.parent[up]
-        below = [i for i in marked if self._under(i, best)]
-        return max(below, key=lambda i: (total[i], -i)) if below else best
-
-    def _under(self, i: int, top: int) -> bool:
-        while i > top:
-            i = self.parent[i]
-        return i == top
+                return {up}
+            up = parent[up]
+        # parents come before children: the greatest sum of every subtree in one backward pass
+        top = list(range(n))
+        under = [i == best for i in range(n)]
+        for i in range(1, n):
+            under[i] |= under[parent[i]]
+        for i in range(n - 1, 0, -1):
+            if not drop[i] and density[i] and (total[top[i]], -top[i]) > (total[top[parent[i]]], -top[parent[i]]):
+                top[parent[i]] = top[i]
+        if below := [i for i in marked if under[i]]:
+            return {max(below, key=lambda i: (total[i], -i))}
+        chosen, seen = {best}, [False] * n
+        for i in range(n):
+            # a node is looked at if its parent was and reached the threshold too
+            seen[i] = reach[i] and (i in (0, body) or seen[parent[i]])
+            if seen[i]:
+                # a subtree without element children has no sum: its own text counts
+                chosen.add(top[i] if total[top[i]] else i)
+        return chosen
 
 
 def main_text(html: str | None) -> str:

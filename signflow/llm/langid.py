@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ from signflow.llm.common import held_out, table
 BITS = 15
 #: Rows of each language that the classifier is fitted on, about; it doesn't grow with the corpus.
 ROWS_PER_LANG = 1_000
+#: Rows of all languages together that the classifier is fitted on, about.
+MAX_ROWS = 20_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SPACES = re.compile(r"\s+")
 
 
@@ -108,12 +111,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs:
     return model
 
 
-def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
+def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_rows: int = MAX_ROWS) -> Model:
     """Learn from text and non-null lang of the rows outside the held-out quarter.
 
     Document frequencies are counted over all those rows; about
-    ``rows_per_lang`` rows of each language, drawn by a hash of their id, are
-    sent to the driver as n-gram counts.
+    ``rows_per_lang`` rows of each language, and ``max_rows`` of all, drawn by a
+    hash of their id, are sent to the driver as n-gram counts.  Rows that share
+    an id and a language count as one, that of the least text; rows with a null
+    id, text or lang teach nothing; without rows the model knows no language.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     per = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -134,9 +139,10 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
         df[bucket] = n
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    rates = {k: min(1.0, rows_per_lang / n) for k, n in per.items()}
+    most = min(rows_per_lang, max_rows / max(1, len(per)))
+    rates = {k: min(1.0, most / n) for k, n in per.items()}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(v * (1 << 30)))) for k, v in sorted(rates.items())], F.lit(0))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < share)
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < share).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +156,7 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for each row's whole text."""
+    """(doc_id, lang_pred, score) for each row's whole text; null ids and repeated rows stay, an empty table gives an empty table."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,72 +13,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signflow.llm.common import table
+from signflow.llm.license_texts import known, openings
 
-#: Fixed values: (written form, canonical form), as regular expressions on lower-cased text.
+#: Fixed values: (written form, canonical form) in lower-cased text with its signs, and in single-spaced words.
+SIGNS = (("&", " and "), ("http:", "https:"))
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
-    ("non-infringement", "noninfringement"),
+    ("sub license", "sublicense"),
+    ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"),
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
     ("organisation", "organization"),
     ("acknowledgement", "acknowledgment"),
-    ("fulfil ", "fulfill "),
     ("judgement", "judgment"),
     ("favour", "favor"),
     ("per cent", "percent"),
-    ("http:", "https:"),
-    ("&", " and "),
-)
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(copyright\b|\(c\)|©|all rights reserved).*$"
-
-#: Texts and notices of public licences.
-KNOWN = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "MIT",
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    ),
-    (
-        "ISC",
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    ),
-    (
-        "Zlib",
-        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution.""",
-    ),
 )
+#: A copyright statement: its mark with a year, a sign or a placeholder, up to the line's end or the opening words of a licence.
+COPYRIGHT = r"(?:copyright\s*(?:\(c\)|©|[<\[{]|\d{4})|\(c\)\s*(?:copyright|\d{4}|[<\[])|©|all rights reserved).*?((?:" + "|".join(openings()) + r").*)?$"
+
 #: Rows of known licences up to which their digests are broadcast.
 MAX_BROADCAST_ROWS = 100_000
 
 
-def canonical_line(line: Column) -> Column:
-    """The canonical form of one line; empty for a copyright line."""
+def canonical_words(line: Column) -> Column:
+    """The words of one line, lower-cased and single-spaced, with copyright statements cut out."""
     x = F.lower(line)
-    for written, form in SPELLINGS:
+    for written, form in SIGNS:
         x = F.replace(x, F.lit(written), F.lit(form))
-    return F.when(F.regexp_like(x, F.lit(COPYRIGHT_LINE)), F.lit("")).otherwise(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, COPYRIGHT, "$1"), r"[^\p{L}\p{N}]+", " "))
+
+
+def spelt(words: Column) -> Column:
+    """Equivalent spellings made one; on words, so that it doesn't matter where a line ended."""
+    for written, form in SPELLINGS:
+        words = F.replace(words, F.lit(written), F.lit(form))
+    return words
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text that aren't empty; a null text has none."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), canonical_line), lambda x: x != "")
+    """The words of a text's lines, but for lines without words; a null text has none."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), canonical_words), lambda x: x != "")
+
+
+def canonical_text(lines: Column) -> Column:
+    return spelt(F.array_join(lines, " "))
 
 
 def digest(text: Column) -> Column:
@@ -87,12 +67,12 @@ def digest(text: Column) -> Column:
 
 def known_digests(licenses: DataFrame) -> DataFrame:
     """(license_digest, license_id) of (license_id, text) rows; of equal canonical texts the least id stays, empty ones are left out."""
-    whole = F.array_join(canonical_lines(F.col("text")), " ")
+    whole = canonical_text(canonical_lines(F.col("text")))
     return licenses.where("license_id is not null").select("license_id", whole.alias("whole")).where("whole <> ''").groupBy(digest(F.col("whole")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame(known(), "license_id string, text string")
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -101,20 +81,25 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id",
     ``license_id`` is the licence whose text the whole document is, else null.
     ``notices`` is the sorted array of licences of which a single line of the
     document is the whole text.  Empty and null texts have the digest of the
-    empty text and no licence.  Rows with equal ids (also null ones) share the
-    notices of all of them.  Lines are matched before any shuffle while the
-    known digests are few enough to broadcast; beyond that they are joined on
-    the digest.
+    empty text and no licence.  Null ids, shared ids and repeated rows are rows
+    of their own; an empty table gives an empty table; other columns are not
+    read.  Texts are made canonical once; the digests of the whole and of the
+    lines are matched before any shuffle while the known ones are few enough to
+    broadcast, beyond that they are joined on the digest.
     """
-    known = known_digests(licenses)
+    known_ones = known_digests(licenses)
     small = licenses.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    known = F.broadcast(known) if small else known
-    d = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
-    whole = d.select("doc_id", digest(F.array_join("lines", " ")).alias("text_digest")).join(known, F.col("text_digest") == F.col("license_digest"), "left").drop("license_digest")
-    lines = d.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).select("doc_id", digest(F.col("line")).alias("line_digest"))
-    found = lines.join(known, F.col("line_digest") == F.col("license_digest")).groupBy(F.col("doc_id").alias("found_id")).agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
-    out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").drop("found_id")
-    return out.withColumn("notices", F.coalesce("notices", F.array().cast("array<string>")))
+    known_ones = F.broadcast(known_ones) if small else known_ones
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
+    parts = F.array_distinct(F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), digest(spelt(x)).alias("digest"))))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), digest(canonical_text(F.col("lines"))).alias("digest")))
+    rows = d.select("row", "doc_id", F.explode(F.concat(whole, parts)).alias("p")).select("row", "doc_id", "p.whole", "p.digest")
+    met = rows.join(known_ones, F.col("digest") == F.col("license_digest"), "left").where("whole or license_id is not null")
+    found = met.groupBy("row").agg(
+        F.max(F.when(F.col("whole"), F.struct("doc_id", "digest", "license_id"))).alias("all"),
+        F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))).alias("notices"),
+    )
+    return found.select("all.doc_id", F.col("all.digest").alias("text_digest"), "all.license_id", "notices")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,19 +111,24 @@ def _oracle() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    line = "lower(x)"
-    for written, form in SPELLINGS:
-        line = f"replace({line}, {quoted(written)}, {quoted(form)})"
-    canon = f"list_filter(list_transform(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: {line}), lambda y: case when regexp_matches(y, {quoted(COPYRIGHT_LINE)}) then '' else trim(regexp_replace(y, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) end), lambda z: z <> '')"
-    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
+    def replaced(x: str, pairs: tuple[tuple[str, str], ...]) -> str:
+        for written, form in pairs:
+            x = f"replace({x}, {quoted(written)}, {quoted(form)})"
+        return x
+
+    words = f"trim(regexp_replace(regexp_replace({replaced('lower(x)', SIGNS)}, {quoted(COPYRIGHT)}, '\\1'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    canon = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: {words}), lambda z: z <> '')"
+    whole, one = replaced("array_to_string(lines, ' ')", SPELLINGS), replaced("line", SPELLINGS)
+    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in known())
     return f"""
 with l(license_id, text) as (values {rows}),
-k as (select sha256(array_to_string({canon}, ' ')) as dg, min(license_id) as license_id from l group by 1),
+kl as (select license_id, {canon} as lines from l),
+k as (select sha256({whole}) as dg, min(license_id) as license_id from kl group by 1),
 d as (select doc_id, {canon} as lines from documents),
 n as (select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices
-      from (select doc_id, unnest(lines) as line from d) join k on sha256(line) = dg group by doc_id)
-select d.doc_id, sha256(array_to_string(lines, ' ')) as text_digest, k.license_id, coalesce(notices, '') as notices
-from d left join k on sha256(array_to_string(lines, ' ')) = dg left join n on n.doc_id = d.doc_id
+      from (select doc_id, unnest(lines) as line from d) join k on sha256({one}) = dg group by doc_id)
+select d.doc_id, sha256({whole}) as text_digest, k.license_id, coalesce(notices, '') as notices
+from d left join k on sha256({whole}) = dg left join n on n.doc_id = d.doc_id
 """
 
 

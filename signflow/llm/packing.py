@@ -38,6 +38,8 @@ SLACK = 8
 
 #: Words of which lower-casing and the tokenizer's pattern are the same here and there.
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Texts that tell whether a tokenizer works word by word: cases, contractions, digits, signs, accents, spaces, other scripts.
+PROBES = ("", "a", "Hello World", " two  spaces ", "It's WE'LL i'm don't THEY'VE", "x1y22 3.14 1,000", "foo_bar __init__ a_b", "caf\u00e9 \u00dcber na\u00efve \u00c9COLE stra\u00dfe", "wait... what?! (yes) [no] {so}", "a-b--c e.g. U.S.A.", "tab\tline\nbreak\r\nend", "\u4e2d\u6587 \u65e5\u672c \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \U0001f600", "$5 #tag @you 50% a&b <b>x</b> http://x.y/z?q=1", "\u201cquoted\u201d \u2014 dash\u2026")
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
@@ -45,7 +47,9 @@ class Encoder:
     """Ids (little-endian unsigned 32-bit) of texts, put together from those of their words.
 
     The tokenizer's own pattern never crosses white space, so a text's ids are
-    those of its white-space-separated words, one after the other.  A word of
+    those of its white-space-separated words, one after the other; a tokenizer
+    for which that isn't so is told by its ids of probe texts and of its own
+    vocabulary, and used on whole texts.  A word of
     plain letters and signs is looked up by its parts; any other is encoded by
     itself.  White space of Python that the tokenizer doesn't treat as such is
     found out once, and texts with it are encoded whole.  Both caches are bounded.
@@ -64,6 +68,19 @@ class Encoder:
         plain = self._whole("a b")
         space = [chr(c) for c in range(0x3001) if chr(c).isspace()]
         self.odd = [c for c in space if self._whole(f"a{c}b") != plain]
+        self.by_words = self._fits()
+
+    def _fits(self) -> bool:
+        """Whether the tokenizer splits, lower-cases and spells as this class does; if not, texts are encoded whole."""
+        from itertools import islice
+
+        probes = [*PROBES, *islice(self.tok.get_vocab(), 4096)]
+        try:
+            return all(self._by_words([x])[0] == self._whole(x) for x in probes)
+        except Exception:  # a model without byte spelling may refuse a part
+            return False
+        finally:
+            self.words, self.parts = {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -95,6 +112,9 @@ class Encoder:
             self.parts = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return self._by_words(texts) if self.by_words else [self._whole(x) for x in texts]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 512):
             split = [None if any(c in x for c in self.odd) else x.split() for x in texts[at : at + 512]]
@@ -114,7 +134,11 @@ def _encoder(path: str) -> Encoder:
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens binary, n_tokens long): little-endian unsigned 32-bit ids and then ``end_id``; a null text is empty."""
+    """(doc_id, tokens binary, n_tokens long): little-endian unsigned 32-bit ids and then ``end_id``.
+
+    A null text is empty; null ids and repeated rows stay, an empty table gives
+    an empty table, other columns are not read.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
     The prior is the share of toxic rows among all labelled ones.  Positive ids
     are a sample of at most ``max_positive``, so that they may be broadcast;
-    about ``max_unlabelled`` texts are drawn by a hash of their id.
+    about ``max_unlabelled`` texts are drawn by a hash of their id.  Rows that
+    share an id count as one, rows with a null id teach nothing; without
+    labels, or without texts, the model knows only the prior.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
@@ -159,15 +161,17 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     total = rest.count()
     share = min(1.0, max_unlabelled / max(1, total))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(share * (1 << 30))
-    picked = rest.join(F.broadcast(ids), F.col("doc_id") == F.col("pos_id"), "left").withColumn("draw", draw).where("pos or draw").select("pos", "draw", "text")
+    picked = rest.join(F.broadcast(ids), F.col("doc_id") == F.col("pos_id"), "left").withColumn("draw", draw).where("pos or draw").select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "draw", "text")
     positive, unlabelled = [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = pa.array([" ".join(sorted(text_words(x))) for x in b.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words], names=["pos", "draw", "words"])
+            words = pa.array([" ".join(sorted(text_words(x))) for x in b.column(3).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), words], names=["doc_id", "pos", "draw", "words"])
 
-    for pos, drawn, words in picked.mapInArrow(run, "pos boolean, draw boolean, words string").orderBy(F.xxhash64("words"), "words").toLocalIterator():
+    told = picked.mapInArrow(run, "doc_id long, pos boolean, draw boolean, words string")
+    once = told.groupBy("doc_id", "pos", "draw").agg(F.min("words").alias("words")).select("pos", "draw", "words")
+    for pos, drawn, words in once.orderBy(F.xxhash64("words"), "words").toLocalIterator():
         got = set(map(sys.intern, words.split()))
         if pos:
             positive.append(got)
@@ -177,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): whole texts; a null or empty text gets the score of a text without words."""
+    """(doc_id, score): whole texts; a null or empty text gets the score of a text without words; null ids and repeated rows stay."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

@@ -1,9 +1,9 @@
 """WARC archives: one gzip member per record, written by tasks and read back in sequence.
 
-The writer makes one archive per partition, under a name that depends on the
-partition alone, and moves it into place when it is complete: a task that runs
-again replaces its own archive.  The reader decompresses member by member,
-frames each record by its content length and verifies its digests.
+The writer's tasks make archives of a bounded size, and the archives of the
+attempts that succeeded are committed together as an index.  The reader streams
+an archive, decompresses member by member, frames each record by its content
+length and verifies its digests.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from signflow.llm.common import materialise, new_path, table
 
 #: Payloads from this size on are written once; equal ones are revisits.
 MIN_REVISIT_BYTES = 1_000
-#: Payload bytes that an archive should hold at most, on average.
+#: Bytes from which on an archive is closed and another begun.
 ARCHIVE_BYTES = 128_000_000
+#: Table, in the archives' folder, of those that count.
+INDEX = "_index"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
@@ -94,10 +96,9 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def pages_of(data: bytes) -> Iterator[tuple]:
+def pages_of(chunks: Iterable[bytes]) -> Iterator[tuple]:
     """The page records of an archive, as rows of READ_SCHEMA; other records are passed over."""
-    view = memoryview(data)
-    for raw in members(bytes(view[i : i + CHUNK]) for i in range(0, len(view), CHUNK)):
+    for raw in members(chunks):
         fields, block = parse(raw)
         kind = fields.get("warc-type")
         if kind not in ("response", "revisit"):
@@ -112,33 +113,59 @@ def pages_of(data: bytes) -> Iterator[tuple]:
         yield page_of(fields["warc-record-id"]), kind, size, digest, refers, fields.get("warc-target-uri"), payload if kind == "response" else None
 
 
+def filesystem(uri: str):
+    """(file system, path) of a URI; Hadoop's names of object stores are put into their common form."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/(?!/)", "file:///", uri)))
+
+
+def _chunks(uri: str) -> Iterator[bytes]:
+    store, name = filesystem(uri)
+    with store.open_input_stream(name) as stream:
+        while chunk := stream.read(CHUNK):
+            yield chunk
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(uri) of the archives of a folder: those its index lists or, where it has none, all ``*.warc.gz`` files."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{INDEX}")
+    if jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+        return spark.read.schema("name string, records long").parquet(f"{path}/{INDEX}").where("records > 0").select(F.concat(F.lit(f"{path}/"), "name").alias("uri"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.col("path").alias("uri"))
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All page records of the ``*.warc.gz`` files in a folder, from any file system that Spark reads."""
+    """All page records of a folder's archives, streamed: a task holds one record and a bounded batch of rows.
+
+    A folder without archives gives an empty table.
+    """
+    keep = 7 if payloads else 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
         names = ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "payload")
-        keep = 7 if payloads else 6
-        for b in batches:
-            for data in b.column(0):
-                rows: list[tuple] = []
-                held = 0
+        rows: list[tuple] = []
+        held = 0
 
-                def full() -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds[:keep])], names=names[:keep])
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds[:keep])], names=names[:keep])
 
-                for row in pages_of(data.as_py()):
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                for row in pages_of(_chunks(uri)):
                     rows.append(row[:keep])
                     held += len(row[6] or b"") if payloads else 0
                     if len(rows) >= 4096 or held > 8_000_000:
                         yield full()
                         rows, held = [], 0
-                if rows:
-                    yield full()
+        if rows:
+            yield full()
 
     schema = READ_SCHEMA if payloads else READ_SCHEMA.removesuffix(", payload binary")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return files.select("content").mapInArrow(run, schema)
+    files = archives(spark, path)
+    # one archive a task, as far as tasks go round
+    return files.repartition(max(1, min(files.count(), 4_096)), "uri").mapInArrow(run, schema)
 
 
 # --- writing ------------------------------------------------------------------
@@ -155,43 +182,42 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     most = p.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("most"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "most")
     # stored first, so that its size is known and payloads aren't shuffled to meet a small table
     most = materialise(most, "payload-repeats")
-    out = p.join(most, F.col("digest") == F.col("same"), "left")
+    # payloads without a digest get keys of their own, so that they don't meet under null where the join shuffles
+    key = F.coalesce("digest", F.concat(F.lit("small:"), F.xxhash64("page_id", "url").cast("string")))
+    out = p.withColumn("key", key).join(most, F.col("key") == F.col("same"), "left")
     first = F.coalesce(F.col("page_id") == F.col("most"), F.lit(False))
     return out.select("page_id", "url", "payload", F.when(~first, F.col("most")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Write each row of ``pages`` (page_id, url, html) as a record into archives under ``path``; returns their number."""
-    # tables without rows have no tasks that could make the folder
-    spark = pages.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
-    count = -(-total // archive_bytes)
-    dealt = revisits(pages)
-    if count > pages.rdd.getNumPartitions():
-        dealt = dealt.repartition(count, F.xxhash64("page_id", "url"))
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write each row of ``pages`` (page_id, url, html) as a record into archives under ``path``, and an index of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    A task begins a new archive once one has ``archive_bytes``, so an archive is
+    larger by one record at most.  Names hold the attempt, and the index, a
+    table that Spark commits as a whole, lists the archives of attempts that
+    succeeded: a task that runs again, or twice, adds nothing.  Null payloads
+    are empty, null ids and urls are kept as such, repeated rows are records of
+    their own, an empty table gives an empty index.
+    """
 
-        store, root = fs.FileSystem.from_uri(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = filesystem(path)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
-        name = f"{root}/pages-{task.partitionId():06d}.warc.gz"
-        part = f"{root}/_{task.partitionId():06d}-{task.taskAttemptId()}.part"
-        n = 0
-        with store.open_output_stream(part) as out:
-            for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns)):
-                    out.write(member(*row))
-                    n += 1
-        if store.get_file_info(name).type != fs.FileType.NotFound:
-            store.delete_file(name)
-        store.move(part, name)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    return dealt.mapInArrow(run, "n long").agg(F.count("*")).first()[0]
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        row, k = next(rows, None), 0
+        while row is not None:
+            name, n, size = f"pages-{task.partitionId():06d}-{k:04d}-{task.taskAttemptId()}.warc.gz", 0, 0
+            with store.open_output_stream(f"{root}/{name}") as out:
+                while row is not None and size < archive_bytes:
+                    data = member(*row)
+                    out.write(data)
+                    size += len(data)
+                    n, row = n + 1, next(rows, None)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([n], pa.int64())], names=["name", "records"])
+            k += 1
+
+    revisits(pages).mapInArrow(run, "name string, records long").write.parquet(f"{path}/{INDEX}")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

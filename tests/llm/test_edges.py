@@ -38,7 +38,7 @@ def test_simhash(spark, docs, none):
     assert by[4] == by[7] == by[None] and {c for _, c in by[4]} == {4}
     assert simhash.near_duplicates(none).count() == 0
     groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
-    assert groups == {3: 3, 4: 4, 6: 6, 7: 4}
+    assert groups == {3: 3, 4: 4, 6: 6, 7: 4, None: 4}
     assert simhash.similar_groups(none).count() == 0
 
 
@@ -105,7 +105,7 @@ def test_decontaminate(spark, docs, none):
 
 
 def test_licenses(spark, none):
-    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 100)
+    mit = next(t for i, t in licenses.known() if i == "MIT" and len(t) > 100)
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,"), None, None), (2, None, None, None), (3, "", None, None), (4, "text\nreleased under the MIT Licence!!\nmore " + LONG, None, None), (5, "x Released under the MIT License.", None, None), (None, "Released under the MIT License.", None, None), (4, "other", None, None)]
     known = licenses.known_licenses(spark)
     for limit in (100, 0):
@@ -115,7 +115,7 @@ def test_licenses(spark, none):
             by.setdefault(r.doc_id, []).append((r.license_id, list(r.notices)))
         assert len(got) == 7
         assert by[1] == [("MIT", [])] and by[2] == by[3] == [(None, [])]
-        assert by[4] == [(None, ["MIT"])] * 2 and by[5] == [(None, [])] and by[None] == [("MIT", ["MIT"])]
+        assert sorted(by[4], key=str) == sorted([(None, ["MIT"]), (None, [])], key=str) and by[5] == [(None, [])] and by[None] == [("MIT", ["MIT"])]
     assert licenses.scan_licenses(none, known).count() == 0
 
 
@@ -165,14 +165,14 @@ def test_warc(spark, tmp_path):
 
 def test_damaged_archives_raise():
     data = warc.member(1, "u", b"hello") + warc.member(2, "u", b"world")
-    assert [r[0] for r in warc.pages_of(data)] == [1, 2]
+    assert [r[0] for r in warc.pages_of([data])] == [1, 2]
     with pytest.raises(ValueError):
-        list(warc.pages_of(data[:-5]))
+        list(warc.pages_of([data[:-5]]))
     plain = zlib.decompress(warc.member(1, "u", b"hello"), 31)
     for bad in (plain.replace(b"hello", b"hallo"), plain.replace(b"Content-Length: 5", b"Content-Length: 6")):
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
         with pytest.raises(ValueError):
-            list(warc.pages_of(pack.compress(bad) + pack.flush()))
+            list(warc.pages_of([pack.compress(bad) + pack.flush()]))
 
 
 def test_sketches_tell_similar_sets():
