@@ -85,7 +85,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs:
     order = rng.permutation(len(rows))
     hold = order[:: 5] if len(rows) >= 50 else order[:0]
     train = np.setdiff1d(order, hold)
-    data = [(langs.index(r[0]), np.append(r[1], d), np.append(weigh(r[1], r[2], idf), 1.0)) for r in rows]
+    data = [(langs.index(lang), np.append(at, d).astype(np.int32), np.append(weigh(at, n, idf), 1.0).astype(np.float32)) for lang, at, n in rows]
 
     def solve(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
@@ -104,7 +104,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs:
     w = solve(z, g2)
     model = Model(langs, w[:-1], w[-1], idf)
     if len(hold):
-        scores = [(data[i][0], model.logits(rows[i][1], rows[i][2])) for i in hold]
+        scores = [(y, x @ w[at]) for y, at, x in (data[i] for i in hold)]
         grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
         loss = [sum(-np.log(max(1e-12, softmax(s / t)[y])) for y, s in scores) for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -152,7 +152,7 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_rows: int = M
 
     got = drawn.mapInArrow(take, "doc_id long, lang string, at binary, n binary").collect()
     sample = sorted((r for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-    return fit([(r[1], np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<u4")) for r in sample], idf)
+    return fit([(r[1], np.frombuffer(r[2], "<u2"), np.frombuffer(r[3], "<u4")) for r in sample], idf)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

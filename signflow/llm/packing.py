@@ -28,7 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Tokens that a shard should hold, so that its task's memory is bounded.
 SHARD_TOKENS = 2_000_000
 #: Words, and parts of words, that a worker keeps the ids of.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 400_000
 #: Tokens that a packed sequence may lack before a remainder is cut to fill it.
 SLACK = 8
 

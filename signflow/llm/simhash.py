@@ -394,14 +394,14 @@ def verified_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) -
     return kept
 
 
-def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block_rows: int = 4_096, group_rows: int = 16_384) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block_rows: int = 4_096, group_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, node, component_id) of every row with words: groups of texts whose shingle sets have a Jaccard similarity of ``threshold``.
 
     Texts meet in buckets of MinHash runs, where a pair at 0.8 is missed about
     three times in a million and a likelier one far less.  Pairs that sizes and
     sketches don't rule out (see ``least_agreement``) connect candidates; what
-    they connect is brought together with all its shingles, in blocks of
-    ``group_rows``, and only pairs that have the similarity are joined.
+    they connect is brought together with all its shingles, in blocks of about
+    ``group_shingles``, and only pairs that have the similarity are joined.
 
     ``component_id`` is the smallest doc_id of the group, null ids left aside,
     ``node`` a hash of the text: rows of equal text meet once.  Rows without
@@ -411,7 +411,7 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, bloc
     prof = materialise(_profiles(docs, words), "profiles")
     distinct = materialise(prof.select("node", "n", "sketch").distinct(), "profile-groups")
     likely = materialise(_likely(distinct, threshold, block_rows), "likely")
-    sure = materialise(_verified(docs, components(likely), words, threshold, group_rows), "sure")
+    sure = materialise(_verified(docs, distinct, components(likely), words, threshold, group_shingles), "sure")
     roots = components(sure)
     own = prof.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("group"))
     own = materialise(own, "groups")
@@ -438,15 +438,16 @@ def one_per_group(docs: DataFrame, **how) -> DataFrame:
     return docs.where(wordless).unionByName(single).unionByName(repeated)
 
 
-def _verified(docs: DataFrame, roots: DataFrame, words: int, threshold: float, group_rows: int) -> DataFrame:
+def _verified(docs: DataFrame, distinct: DataFrame, roots: DataFrame, words: int, threshold: float, group_shingles: int) -> DataFrame:
     """Edges (u, v) that span what pairs with the similarity connect, inside each group of candidates (node, root).
 
-    Small groups share tasks; of a group of more than ``group_rows`` each two blocks meet in a task.
+    Small groups share tasks; of a group of more than ``group_shingles`` each
+    two blocks meet in a task, so that a task holds about two blocks' shingles.
     """
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    sizes = roots.groupBy("root").agg(F.count("*").alias("m"))
-    tasks = max(1, -(-roots.count() // 2048))
-    member = roots.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / group_rows).cast("long"))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(distinct.select("node", "n").distinct(), "node")
+    sizes = materialise(roots.groupBy("root").agg(F.sum("n").alias("m")), "candidate-sizes")
+    tasks = max(1, -(-(sizes.where(F.col("m") <= group_shingles).agg(F.sum("m")).first()[0] or 0) * 4 // group_shingles))
+    member = roots.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / group_shingles).cast("long"))
     member = member.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")), "task": F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks)))})
     member = materialise(member.select("node", "root", "task", "blocks", "block"), "candidate-groups")
 

@@ -11,7 +11,6 @@ unlabelled sample is the prior.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.llm.common import held_out, table
+from signflow.llm.common import held_out, materialise, table
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7)
@@ -52,7 +51,7 @@ class Found(dict):
         self.index = index
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = got = tuple(self.index[f] for f in word_features(word) if f in self.index)
         return got
@@ -83,27 +82,37 @@ class Model:
         return score
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 400, l2: float = 3e-5, rate: float = 0.1, limit: int = MAX_FEATURES) -> Model:
+def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, **how) -> Model:
+    """``fit_slots`` on texts given as sets of words."""
+    least, seen = least_texts(len(positive)), {}
+    for words in positive:
+        for f in {f for w in words for f in word_features(w)}:
+            seen[f] = seen.get(f, 0) + 1
+    names = sorted(f for f, k in seen.items() if k >= least)
+    found = Found({f: i for i, f in enumerate(names)})
+    return fit_slots(names, *([np.array(found.slots(words), np.int32) for words in docs] for docs in (positive, unlabelled)), prior, **how)
+
+
+def least_texts(positive: int) -> int:
+    """Positive texts that a feature must be in."""
+    return max(3, positive // 100)
+
+
+def fit_slots(names: list[str], positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, l2: float = 3e-5, rate: float = 0.1, limit: int = MAX_FEATURES) -> Model:
     """Fit the non-negative PU risk with full-batch Adam on the features that set the two samples apart most.
 
-    Without positive texts nothing is toxic; without unlabelled texts, or
-    features that tell, the model knows only the prior.
+    ``names`` are the candidate features, a text is the array of its slots (see
+    ``Found.slots``).  Without positive texts nothing is toxic; without
+    unlabelled texts, or features that tell, the model knows only the prior.
     """
     odds = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model({}, np.zeros(0), odds if positive else -50.0)
     n_p, n_u = len(positive), len(unlabelled)
-    least = max(3, n_p // 100)
-    seen: dict[str, int] = {}
-    for words in positive:
-        for f in {f for w in words for f in word_features(w)}:
-            seen[f] = seen.get(f, 0) + 1
-    names = sorted(f for f, k in seen.items() if k >= least)
-    found = Found({f: i for i, f in enumerate(names)})
+    least = least_texts(n_p)
 
-    def matrix(docs: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        got = [np.array(found.slots(words), np.int64) for words in docs]
-        return np.repeat(np.arange(len(got)), [len(g) for g in got]), np.concatenate(got)
+    def matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(docs), dtype=np.int32), [len(g) for g in docs]), np.concatenate(docs)
 
     (rp, cp), (ru, cu) = matrix(positive), matrix(unlabelled)
     d = LEVELS * len(names)
@@ -150,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     are a sample of at most ``max_positive``, so that they may be broadcast;
     about ``max_unlabelled`` texts are drawn by a hash of their id.  Rows that
     share an id count as one, rows with a null id teach nothing; without
-    labels, or without texts, the model knows only the prior.
+    labels, or without texts, the model knows only the prior.  The sample's
+    features are counted on Spark; the driver gets the numbers of those that
+    enough positive texts have.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
@@ -161,8 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     total = rest.count()
     share = min(1.0, max_unlabelled / max(1, total))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(share * (1 << 30))
-    picked = rest.join(F.broadcast(ids), F.col("doc_id") == F.col("pos_id"), "left").withColumn("draw", draw).where("pos or draw").select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "draw", "text")
-    positive, unlabelled = [], []
+    picked = rest.join(F.broadcast(ids), F.col("doc_id") == F.col("pos_id"), "left").withColumn("draw", draw).where("pos or draw").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("pos", F.lit(False)).alias("pos"), "draw", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,14 +180,27 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), words], names=["doc_id", "pos", "draw", "words"])
 
     told = picked.mapInArrow(run, "doc_id long, pos boolean, draw boolean, words string")
-    once = told.groupBy("doc_id", "pos", "draw").agg(F.min("words").alias("words")).select("pos", "draw", "words")
-    for pos, drawn, words in once.orderBy(F.xxhash64("words"), "words").toLocalIterator():
-        got = set(map(sys.intern, words.split()))
-        if pos:
-            positive.append(got)
-        if drawn:
-            unlabelled.append(got)
-    return fit(positive, unlabelled, prior)
+    once = materialise(told.groupBy("doc_id", "pos", "draw").agg(F.min("words").alias("words")).select("pos", "draw", "words"), "toxicity-sample")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({f for w in words.split() for f in word_features(w)}), pa.string())], names=["f"])
+
+    positive = once.where("pos")
+    enough = least_texts(positive.count())
+    names = [r[0] for r in positive.select("words").mapInArrow(features, "f string").groupBy("f").count().where(F.col("count") >= enough).select("f").orderBy("f").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found(shared.value)
+        for b in batches:
+            got = [np.array(found.slots(set(words.split())), "<i4").tobytes() for words in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["pos", "draw", "slots"])
+
+    # in an order of their own, so that sums of floats don't depend on how the rows were spread
+    rows = [(r[0], r[1], np.frombuffer(r[2], "<i4")) for r in once.mapInArrow(slots, "pos boolean, draw boolean, slots binary").orderBy(F.xxhash64("slots"), "slots").collect()]
+    return fit_slots(names, [x for pos, _, x in rows if pos], [x for _, drawn, x in rows if drawn], prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,8 +27,8 @@ def grouped(spark, texts, **how):
     return {r.doc_id: r.component_id for r in got.collect()}
 
 
-@pytest.mark.parametrize("group_rows", [16_384, 16])
-def test_copies_that_only_their_base_connects(spark, group_rows):
+@pytest.mark.parametrize("group_shingles", [2_000_000, 3_000])
+def test_copies_that_only_their_base_connects(spark, group_shingles):
     # each copy has 0.818 in common with the base, and far less than 0.8 with the other copies
     rng, texts = np.random.default_rng(5), {}
     for g in range(4):
@@ -39,7 +39,7 @@ def test_copies_that_only_their_base_connects(spark, group_rows):
             for at in rng.choice(np.arange(5, 200, 5), 4, replace=False):
                 copy[at] = f"c{c}"
             texts[1000 * g + c] = " ".join(copy)
-    got = grouped(spark, texts, group_rows=group_rows)
+    got = grouped(spark, texts, group_shingles=group_shingles)
     assert got == {i: i // 1000 * 1000 for i in texts}
 
 
@@ -65,7 +65,7 @@ def test_pairs_near_the_threshold(spark):
             for at in rng.choice(np.arange(3, 117), 2 + int(rng.integers(0, 3)), replace=False):
                 cur[at] = f"n{rng.integers(1 << 40)}"
     want = brute(texts)
-    assert grouped(spark, texts, block_rows=4, group_rows=4) == want
+    assert grouped(spark, texts, block_rows=4, group_shingles=500) == want
     assert 30 < len(set(want.values())) < len(texts)
 
 

@@ -128,7 +128,7 @@ def test_wrapped_licences_keep_their_digest(spark):
     rows = []
     for k, (i, titles, text) in enumerate(TEXTS):
         for width in range(40, 121, 8):
-            whole = "\n".join(textwrap.wrap(" ".join(text.split()), width))
+            whole = "\n".join(textwrap.wrap(" ".join(text.split()), width, break_long_words=False))
             title = titles[width % len(titles)] if titles else ""
             rows.append((k, i, f"{title}\n\nCopyright (c) 2021 Some Body <a@b.c>\nAll rights reserved.\n\n{whole}\n"))
         rows.append((k, i, "Copyright \u00a9 2020-2024 Some Body. " + " ".join(text.split())))
