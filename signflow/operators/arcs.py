@@ -68,12 +68,21 @@ def layered(causal: DataFrame, production: DataFrame, quantitative: DataFrame) -
     return best.select("src", "dst", "x.m", "x.kind")
 
 
-def surgery(arcs: DataFrame, interventions: DataFrame) -> DataFrame:
-    """Per intervention, the arcs that do not enter a clamped node: (iv_id, src, dst, m)."""
-    ivs = interventions.select("iv_id").distinct()
-    cut = interventions.select("iv_id", F.col("node").alias("dst"))
-    # interventions are the outer side of the product; each gets a graph of its own
-    return ivs.join(arcs).join(cut, ["iv_id", "dst"], "left_anti").select("iv_id", "src", "dst", "m")
+def surgery(cone: DataFrame, interventions: DataFrame) -> DataFrame:
+    """Per intervention (iv_id, src, dst, m), without the arcs that enter a clamped node.
+
+    Interventions and arcs are never multiplied: a search cuts arcs as it meets
+    them, and this does so for arcs that already belong to an intervention.
+    """
+    return cone.join(interventions.select("iv_id", F.col("node").alias("dst")).distinct(), ["iv_id", "dst"], "left_anti").select("iv_id", "src", "dst", "m")
+
+
+def surgery_sizes(arcs: DataFrame, interventions: DataFrame) -> DataFrame:
+    """(iv_id, arcs_left, sum_m) after surgery on the whole graph, from the arcs that each intervention cuts."""
+    cut = interventions.select("iv_id", F.col("node").alias("dst")).distinct().join(arcs, "dst", "left").groupBy("iv_id").agg(F.count("m").alias("cut"), F.coalesce(F.sum("m"), F.lit(0)).alias("cut_m"))
+    # one row
+    whole = arcs.agg(F.count("*").alias("n"), F.sum("m").alias("s"))
+    return cut.join(F.broadcast(whole), F.lit(True)).select("iv_id", (F.col("n") - F.col("cut")).alias("arcs_left"), (F.col("s") - F.col("cut_m")).alias("sum_m"))
 
 
 def opposing_pairs(edges: DataFrame) -> DataFrame:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signflow.operators.solve import solve
+from signflow.functions.storage import store
+from signflow.operators.second_order import gain_changes, interaction_signs, synergies
+from signflow.operators.solve import components_of, solve
+
+
+def first_terms(index: DataFrame) -> DataFrame:
+    """(node, sign, label): of several terms for a node and sign, the one with the smallest ``ord`` (then label)."""
+    return index.where("sign in (1, 2)").groupBy("node", "sign").agg(F.min_by("label", F.struct("ord", "label")).alias("label"))
 
 
 def phenotypes(predictions: DataFrame, index: DataFrame) -> DataFrame:
@@ -13,27 +22,55 @@ def phenotypes(predictions: DataFrame, index: DataFrame) -> DataFrame:
     return predictions.join(index, "node").where(F.col("mask") == F.col("sign")).select("iv_id", "node", "mask", "label")
 
 
-def affected(predictions: DataFrame, index: DataFrame) -> DataFrame:
-    """(iv_id, node, label) of indexed nodes that are reached without a determinate sign."""
-    return predictions.where("mask = 3").join(index.select("node", "label"), "node").select("iv_id", "node", "label")
+def affected(predictions: DataFrame, index: DataFrame, neutral: DataFrame | None = None) -> DataFrame:
+    """(iv_id, node, label) of indexed nodes that are reached without a determinate sign, with their neutral term (node, label), null without one."""
+    hit = predictions.where("mask = 3").join(index.select("node").distinct(), "node", "left_semi").select("iv_id", "node")
+    return hit.join(neutral.select("node", "label"), "node", "left").select("iv_id", "node", "label") if neutral is not None else hit.withColumn("label", F.lit(None).cast("string"))
 
 
-def first_terms(index: DataFrame) -> DataFrame:
-    """Of several terms for a node and sign, the one with the smallest ``ord`` (then label)."""
-    return index.groupBy("node", "sign").agg(F.min_by("label", F.struct("ord", "label")).alias("label"))
+def largest_component(sccs: DataFrame) -> DataFrame:
+    """(node) of the largest component of two or more nodes; of equally large ones the least."""
+    size = sccs.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
+    big = size.agg(F.min_by("scc", F.struct(-F.col("n"), "scc")).alias("scc"))
+    return sccs.join(F.broadcast(big), "scc", "left_semi").select("node")
 
 
-def knockout(arcs: DataFrame, interventions: DataFrame, index: DataFrame, constitutive: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(phenotypes, affected, errors) of each intervention; those that clamp unknown nodes become error rows."""
-    known = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct()
-    bad = interventions.join(known, "node", "left_anti").select("iv_id", F.concat(F.lit("unknown node "), F.col("node").cast("string")).alias("error"))
-    good = interventions.join(bad.select("iv_id").distinct(), "iv_id", "left_anti")
-    predicted = solve(arcs, good, constitutive)
-    return phenotypes(predicted, index), affected(predicted, index), bad
+def in_largest(rows: DataFrame, sccs: DataFrame) -> DataFrame:
+    """``rows`` with ``in_largest``, by which, and then by label without case, a report is ordered."""
+    inside = largest_component(sccs).withColumn("in_largest", F.lit(True))
+    return rows.join(inside, "node", "left").withColumn("in_largest", F.coalesce("in_largest", F.lit(False)))
+
+
+@dataclass
+class Knockout:
+    predicted: DataFrame
+    phenotypes: DataFrame
+    affected: DataFrame
+    summary: DataFrame
+    errors: DataFrame
+    gains: DataFrame | None = None
+    synergies: DataFrame | None = None
 
 
-def largest_component_last(rows: DataFrame, sccs: DataFrame) -> DataFrame:
-    """Phenotypes in the order of a report: those inside the largest component last, then by label without case."""
-    big = sccs.groupBy("scc").agg(F.count("*").alias("n")).agg(F.max_by("scc", F.struct("n", F.negate("scc"))).alias("scc"))
-    inside = sccs.join(F.broadcast(big), "scc", "left_semi").select("node", F.lit(True).alias("inside"))
-    return rows.join(inside, "node", "left").withColumn("inside", F.coalesce("inside", F.lit(False))).orderBy("inside", F.lower("label"), "node")
+def knockout(arcs: DataFrame, interventions: DataFrame, index: DataFrame, neutral: DataFrame | None = None, constitutive: DataFrame | None = None, modulations: DataFrame | None = None, nodes: DataFrame | None = None) -> Knockout:
+    """The report of each intervention on solved signs, of one clamp or several.
+
+    An intervention that clamps an unknown node becomes an error row.  Clamps
+    are not phenotypes of themselves.  With ``modulations``, gain changes and
+    synergies follow from the same solution.
+    """
+    known = nodes.select("node") if nodes is not None else arcs.select(F.col("src").alias("node")).union(arcs.select("dst"))
+    bad = interventions.join(known.distinct(), "node", "left_anti")
+    errors = bad.groupBy("iv_id").agg(F.concat(F.lit("unknown nodes: "), F.array_join(F.array_sort(F.collect_set(F.col("node").cast("string"))), ", ")).alias("error"))
+    good = interventions.join(bad.select("iv_id").distinct(), "iv_id", "left_anti")
+    predicted = store(solve(arcs, good, constitutive), "predicted")
+    moved = predicted.join(good.select("iv_id", "node"), ["iv_id", "node"], "left_anti")
+    sccs = store(components_of(arcs), "sccs")
+    hits = in_largest(phenotypes(moved, first_terms(index)), sccs)
+    open_ = in_largest(affected(moved, index, neutral), sccs)
+    summary = good.select("iv_id").distinct().join(predicted.groupBy("iv_id").agg(F.count("*").alias("predicted"), F.count_if(F.col("mask") != 3).alias("determinate")), "iv_id", "left")
+    out = Knockout(predicted, hits, open_, summary, errors)
+    if modulations is not None:
+        out.gains = gain_changes(modulations, predicted)
+        out.synergies = synergies(interaction_signs(modulations, arcs), predicted)
+    return out

@@ -2,55 +2,70 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signflow.functions.storage import numbered, store
+
 
 def permute_signs(arcs: DataFrame, seed: int) -> DataFrame:
-    """The same arcs with their signs in another order: as many of each sign as before, by ranks of two hashes.
+    """The same arcs with their signs in another order: as many of each sign as before.
+
+    Any sign can go to any arc: arcs and signs are put in two orders by two
+    hashes, and meet by their numbers.
+    """
+    a = store(arcs.select("src", "dst", "m"), "permute")
+    left = numbered(a.select("src", "dst", F.xxhash64("src", "dst", F.lit(seed)).alias("h")), "h", "src", "dst")
+    right = numbered(a.select("m", F.xxhash64("dst", "src", F.lit(seed + 1)).alias("h"), "src", "dst"), "h", "src", "dst").select("m", "number")
+    return left.join(right, "number").select("src", "dst", "m")
+
+
+def rewire(arcs: DataFrame, rounds: int = 8, seed: int = 1, movable: DataFrame | None = None) -> DataFrame:
+    """(src, dst, m) with the ends of pairs of arcs exchanged, round by round.
 
-    Both orders are dealt out by buckets of a hash, so no task sorts all arcs;
-    signs move within a bucket.
+    Each node keeps its in- and out-degree, each arc its source and sign.  In a
+    round all arcs are paired by a random order; a pair exchanges its ends if
+    that makes neither a self-loop nor an arc that exists or that another pair
+    makes.  ``movable`` (node) confines this to arcs between such nodes.
     """
-    bucket = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(64))
-    a = arcs.withColumn("b", bucket)
-    one = Window.partitionBy("b").orderBy(F.xxhash64("src", "dst", F.lit(seed + 1)), "src", "dst")
-    two = Window.partitionBy("b").orderBy(F.xxhash64("dst", "src", F.lit(seed + 2)), "src", "dst")
-    left = a.select("b", "src", "dst", F.row_number().over(one).alias("k"))
-    right = a.select("b", "m", F.row_number().over(two).alias("k"))
-    return left.join(right, ["b", "k"]).select("src", "dst", "m")
-
-
-def rewire(arcs: list[tuple], swaps: int, seed: int) -> list[tuple]:
-    """Swap ends of pairs of arcs, keeping in- and out-degrees and making neither loops nor repeats."""
-    rng, out = random.Random(seed), list(arcs)
-    have = {(s, d) for s, d, _ in out}
-    for _ in range(swaps):
-        i, j = rng.randrange(len(out)), rng.randrange(len(out))
-        (a, b, m), (c, d, k) = out[i], out[j]
-        if a == d or c == b or (a, d) in have or (c, b) in have or i == j:
-            continue
-        have -= {(a, b), (c, d)}
-        have |= {(a, d), (c, b)}
-        out[i], out[j] = (a, d, m), (c, b, k)
-    return out
-
-
-def rewired(arcs: DataFrame, replicates: int, swaps_per_arc: int = 4, seed: int = 1, max_arcs: int = 2_000_000) -> DataFrame:
-    """(replicate, src, dst, m): so many rewired graphs, one task each."""
-    if arcs.count() > max_arcs:
-        raise ValueError(f"more than {max_arcs} arcs")
-    spark = arcs.sparkSession
-    rows = sorted(tuple(r) for r in arcs.select("src", "dst", "m").collect())
-    shared = spark.sparkContext.broadcast(rows)
-    kind = dict(arcs.dtypes)["src"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf.replicate.iloc[0])
-        got = rewire(shared.value, swaps_per_arc * len(shared.value), seed * 1_000 + k)
-        return pd.DataFrame([(k, *r) for r in got], columns=["replicate", "src", "dst", "m"])
-
-    return spark.range(replicates).select(F.col("id").alias("replicate")).groupBy("replicate").applyInPandas(run, f"replicate long, src {kind}, dst {kind}, m int")
+    cur = store(arcs.select("src", "dst", "m"), "rewire")
+    still = cur.limit(0)
+    if movable is not None:
+        ok = store(movable.select("node").distinct(), "movable")
+        free = cur.join(ok.withColumnRenamed("node", "src"), "src", "left_semi").join(ok.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        cur, still = store(free.select("src", "dst", "m"), "rewire"), store(cur.exceptAll(free.select("src", "dst", "m")), "still")
+    for k in range(rounds):
+        n = numbered(cur.withColumn("h", F.xxhash64("src", "dst", F.lit(seed), F.lit(k))), "h", "src", "dst").withColumn("pair", F.floor(F.col("number") / 2))
+        p = n.groupBy("pair").agg(F.min_by(F.struct("src", "dst", "m"), "number").alias("a"), F.max_by(F.struct("src", "dst", "m"), "number").alias("b"), F.count("*").alias("n"))
+        p = store(p, "pairs")
+        want = p.where("n = 2 and a.src <> b.dst and b.src <> a.dst and a.src <> a.dst and b.src <> b.dst")
+        made = want.select("pair", F.explode(F.array(F.struct("a.src", "b.dst"), F.struct("b.src", "a.dst"))).alias("x")).select("pair", "x.src", "x.dst")
+        taken = made.join(cur.select("src", "dst").union(still.select("src", "dst")).distinct(), ["src", "dst"], "left_semi").select("pair")
+        double = made.groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1").join(made, ["src", "dst"]).select("pair")
+        good = store(want.select("pair").join(taken.union(double), "pair", "left_anti").withColumn("good", F.lit(True)), "good")
+        q = p.join(good, "pair", "left")
+        one = q.select("a.src", F.when(F.col("good"), F.col("b.dst")).otherwise(F.col("a.dst")).alias("dst"), "a.m")
+        two = q.where("n = 2").select("b.src", F.when(F.col("good"), F.col("a.dst")).otherwise(F.col("b.dst")).alias("dst"), "b.m")
+        cur = store(one.unionByName(two), "rewire")
+    return cur.unionByName(still)
+
+
+def rewired(arcs: DataFrame, replicates: int, rounds: int = 8, seed: int = 1, movable: DataFrame | None = None, acyclic: DataFrame | None = None, tries: int = 20) -> DataFrame:
+    """(replicate, src, dst, m): so many rewired graphs.
+
+    With ``acyclic``, constitutive pairs (micro, macro), a graph in which causal
+    components and determination form a cycle is drawn anew.
+    """
+    from functools import reduce
+
+    from signflow.operators.gates import cross_scale_cycle
+
+    out, k = [], 0
+    while len(out) < replicates:
+        if k >= replicates * tries:
+            raise RuntimeError("too many rewired graphs have a cycle across scales")
+        got = rewire(arcs, rounds, seed * 1_000 + k, movable)
+        k += 1
+        if acyclic is None or cross_scale_cycle(got, acyclic).isEmpty():
+            out.append(got.select(F.lit(len(out)).alias("replicate"), "src", "dst", "m"))
+    return reduce(DataFrame.unionByName, out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signflow.functions.signs import MINUS, PLUS
 from signflow.functions.storage import fixpoint, store
+from signflow.operators.compact import MAX_ARCS, Compact, by_broadcast, small
 
 
 def double_cover(arcs: DataFrame) -> DataFrame:
@@ -15,15 +16,31 @@ def double_cover(arcs: DataFrame) -> DataFrame:
     return arcs.where("src <> dst").select("src", "dst", F.explode(flips).alias("flip")).distinct()
 
 
-def signed_reach(arcs: DataFrame, interventions: DataFrame) -> DataFrame:
+def signed_reach(arcs: DataFrame, interventions: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
     """(iv_id, node, mask): the least fixpoint of sign propagation from the clamps.
 
     ``interventions`` has (iv_id, node, mask).  Arcs into clamped nodes are cut
     for that intervention.  The operator is monotone, so its fixpoint is
     reachability of (node, polarity) pairs; what is reached both ways is
-    undetermined.  Work is the size of the frontier times its out-degree, for
-    all interventions at once.
+    undetermined.  Graphs within ``max_arcs`` are broadcast and searched by
+    tasks of many interventions; beyond that, a frontier of all interventions
+    is joined with the arcs, round by round.
     """
+    arcs = store(arcs.select("src", "dst", "m"), "arcs")
+    if small(arcs, max_arcs):
+        iv, kind = dict(interventions.dtypes)["iv_id"], dict(arcs.dtypes)["src"]
+
+        def run(graph: Compact, _: Compact | None, clamps: dict) -> list[tuple]:
+            at, mask = graph.reach(clamps)
+            known = dict(zip(graph.names[at].tolist(), mask.tolist()))
+            return list((clamps | known).items())
+
+        return by_broadcast(arcs, interventions, run, f"iv_id {iv}, node {kind}, mask int")
+    return joined_reach(arcs, interventions)
+
+
+def joined_reach(arcs: DataFrame, interventions: DataFrame) -> DataFrame:
+    """``signed_reach`` by joins alone, at any size: work is the frontier times its out-degree."""
     cover = store(double_cover(arcs), "cover")
     clamps = interventions.select("iv_id", F.col("node").alias("dst"))
     seed = interventions.select("iv_id", "node", F.explode(F.when(F.col("mask") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("mask") == MINUS, 1).otherwise(0)))).alias("minus"))

@@ -1,4 +1,4 @@
-"""Entity reconciliation: exact, normalised and fuzzy layers, the best one counting."""
+"""Entity reconciliation: known ids, equal labels, equal identifiers and like labels, the first that tells counting."""
 
 from __future__ import annotations
 
@@ -9,38 +9,79 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signflow.functions.storage import store
 from signflow.functions.text import normalise_label
 
-#: Score of each layer and the least score of a fuzzy match.
-EXACT, NORMALISED, FUZZY = 1.0, 0.95, 0.86
+#: Scores of an equal label, one whose quality differs, equal identifiers, and the least score of a like label and what an equal quality adds.
+LABEL, LABEL_ONLY, IDENTIFIERS, FUZZY, SAME_QUALITY = 0.95, 0.84, 0.6, 0.86, 0.03
+#: Like labels that are kept for a review.
+REVIEWS = 5
 
 
-def reconcile(wanted: DataFrame, catalog: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
-    """(label, id, layer, score) of each wanted label: its best match, or layer ``novel``.
+def classify(proposed: DataFrame, catalog: DataFrame, synonyms: dict[str, str] | None = None, fuzzy: float = FUZZY) -> DataFrame:
+    """(id, status, match, score) of proposed nodes (id, label, entity_iri, quality_iri) against a catalog of the same columns.
 
-    Fuzzy candidates meet on shared letter triples of their normalised labels,
-    of which a match as close as ``fuzzy`` has some; each pair of distinct
-    labels is compared once with the Ratcliff-Obershelp ratio.
+    ``existing`` where the id is known; ``duplicate`` where a label is equal in
+    normal form and its quality doesn't differ; ``review`` where it differs, or
+    else the identifiers are the same, or else labels are like; else ``novel``.
+    ``match`` is the best of the layer, of equal ones the first id.
+
+    Like labels meet on their rarest letter triples: a pair as close as
+    ``fuzzy`` shares most triples, so of each label only as many of the rarest
+    are used as it could lack, and one more.
     """
-    w = wanted.select("label").distinct().withColumn("norm", normalise_label(F.col("label")))
-    c = catalog.select(F.col("label").alias("c_label"), "id").withColumn("norm", normalise_label(F.col("c_label")))
-    exact = w.join(c, F.col("label") == F.col("c_label")).select("label", "id", F.lit("exact").alias("layer"), F.lit(EXACT).alias("score"))
-    norm = w.join(c, "norm").select("label", "id", F.lit("normalised").alias("layer"), F.lit(NORMALISED).alias("score"))
+    p = store(proposed.select("id", "entity_iri", "quality_iri", normalise_label(F.col("label"), synonyms).alias("norm")), "proposed")
+    c = store(catalog.select(F.col("id").alias("match"), F.col("entity_iri").alias("ce"), F.col("quality_iri").alias("cq"), normalise_label(F.col("label"), synonyms).alias("cnorm")), "catalog")
+    known = p.join(c.select(F.col("match").alias("id")), "id", "left_semi").select("id", F.lit("existing").alias("status"), F.col("id").alias("match"), F.lit(1.0).alias("score"))
+    left = store(p.join(known.select("id"), "id", "left_anti"), "reconcile")
+    best = lambda df: df.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b")).select("id", "b.match", (-F.col("b.s")).alias("score"))
+    differs = F.coalesce(F.col("quality_iri") != F.col("cq"), F.lit(False))
+    label = store(best(left.join(c, F.col("norm") == F.col("cnorm")).withColumn("score", F.when(differs, LABEL_ONLY).otherwise(LABEL))), "reconcile")
+    rest = left.join(label.select("id"), "id", "left_anti")
+    same = store(best(rest.join(c, F.col("entity_iri").eqNullSafe(F.col("ce")) & F.col("quality_iri").eqNullSafe(F.col("cq"))).withColumn("score", F.lit(IDENTIFIERS))), "reconcile")
+    rest = store(rest.join(same.select("id"), "id", "left_anti"), "reconcile")
+    like = best(alike(rest, c, fuzzy))
+    out = known.unionByName(label.select("id", F.when(F.col("score") >= 0.9, "duplicate").otherwise("review").alias("status"), "match", "score"))
+    out = out.unionByName(same.select("id", F.lit("review").alias("status"), "match", "score")).unionByName(like.select("id", F.lit("review").alias("status"), "match", "score"))
+    out = store(out, "reconcile")
+    novel = p.join(out.select("id"), "id", "left_anti").select("id", F.lit("novel").alias("status"), F.lit(None).cast(dict(out.dtypes)["match"]).alias("match"), F.lit(0.0).alias("score"))
+    return out.unionByName(novel)
+
 
-    def triples(x: str):
-        padded = F.concat(F.lit("  "), F.col(x), F.lit("  "))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+def alike(left: DataFrame, catalog: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
+    """(id, match, score) of labels at least as like as ``fuzzy`` by matching blocks, the best ``REVIEWS`` of each id.
+
+    Labels meet on shared letters in place of a product: a pair with ratio r has
+    r / 2 of both lengths in common characters, so it shares one of the rarest
+    of its distinct (character, occurrence) pairs, as many of which are used as
+    the label could lack.
+    """
+    def marks(x: str):
+        # the k-th occurrence of a character is a mark of its own; marks in common bound the matching blocks from above
+        chars = F.split(F.col(x), "")
+        return F.transform(F.filter(chars, lambda c: c != ""), lambda c, i: F.concat(c, F.size(F.filter(F.slice(F.filter(chars, lambda d: d != ""), 1, i + 1), lambda d: d == c)).cast("string")))
 
-    a = w.select("label", "norm", F.explode(triples("norm")).alias("t"))
-    b = c.select("id", F.col("norm").alias("c_norm"), F.explode(triples("norm")).alias("t"))
-    close = F.least(F.length("norm"), F.length("c_norm")) * 2 >= fuzzy * (F.length("norm") + F.length("c_norm"))
-    pairs = a.join(b, "t").where("norm <> c_norm").where(close).groupBy("label", "norm", "id", "c_norm").agg(F.count("*").alias("shared")).where("shared >= 2")
+    a = left.select(F.col("norm").alias("a")).where("norm <> ''").distinct().withColumn("marks", marks("a"))
+    b = catalog.select(F.col("cnorm").alias("b")).where("cnorm <> ''").distinct().withColumn("marks", marks("b"))
+    often = a.select(F.explode("marks").alias("t")).unionAll(b.select(F.explode("marks"))).groupBy("t").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.select(name, F.size("marks").alias("len"), F.explode("marks").alias("t")).join(often, "t").groupBy(name, "len").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
+        # a match has at least f = fuzzy / (2 - fuzzy) of the label's own marks
+        lacking = F.floor(F.col("len") * (1 - fuzzy / (2 - fuzzy)) + 1e-9) + 1
+        return ranked.select(name, F.col("len").alias(f"{name}_len"), F.explode(F.slice("r", F.lit(1), F.least(lacking, F.col("len")).cast("int"))).alias("x")).select(name, f"{name}_len", F.col("x.t").alias("t"))
+
+    close = 2 * F.least("a_len", "b_len") >= fuzzy * (F.col("a_len") + F.col("b_len")) - 1e-9
+    pairs = rarest(a, "a").join(rarest(b, "b"), "t").where(close).select("a", "b").distinct()
 
     def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pdf = pdf.assign(score=[SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf.norm, pdf.c_norm)])
-            yield pdf[["label", "id", "score"]]
+            yield pdf.assign(ratio=[SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf.a, pdf.b)])
+
+    near = pairs.mapInPandas(ratio, "a string, b string, ratio double").where(F.col("ratio") >= fuzzy)
+    j = left.join(near, F.col("norm") == F.col("a")).join(catalog, F.col("cnorm") == F.col("b"))
+    score = F.round(F.when(F.col("quality_iri") == F.col("cq"), F.least(F.lit(1.0), F.col("ratio") + SAME_QUALITY)).otherwise(F.col("ratio")), 3)
+    from pyspark.sql import Window
 
-    like = pairs.mapInPandas(ratio, "label string, id long, score double").where(F.col("score") >= fuzzy).select("label", "id", F.lit("fuzzy").alias("layer"), "score")
-    found = exact.unionByName(norm).unionByName(like).groupBy("label").agg(F.max_by(F.struct("id", "layer", "score"), F.struct("score", F.negate("id"))).alias("best"))
-    return w.select("label").join(found, "label", "left").select("label", "best.id", F.coalesce("best.layer", F.lit("novel")).alias("layer"), F.round(F.coalesce("best.score", F.lit(0.0)), 6).alias("score"))
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "match")
+    return j.select("id", "match", score.alias("score")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= REVIEWS).drop("k")

@@ -1,9 +1,7 @@
-"""Comparative statics per intervention: the exact tier, one task per group of interventions.
+"""Comparative statics per intervention, each on its own surgered graph.
 
-The arcs of a map are sent to every task only while they are few (checked);
-each intervention is then solved on its own surgered graph: singletons by
-propagation, small strongly connected components by sign determinants, large
-ones by the loop fixpoint, in topological order.
+Singletons are solved by propagation, small strongly connected components by
+sign determinants, large ones by the loop fixpoint, in topological order.
 """
 
 from __future__ import annotations
@@ -14,11 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signflow.functions.signs import mul, neg
+from signflow.functions.signs import mul, neg, times
+from signflow.functions.storage import fixpoint, store
+from signflow.operators.compact import MAX_ARCS, MAX_CONE, Compact, by_broadcast, by_cone, clamped, cones, small
+from signflow.operators.reach import double_cover, levels
 
 EXACT_MAX = 16
-#: Arcs up to which a map is sent to the tasks whole.
-MAX_ARCS = 2_000_000
 
 Arcs = dict[str, list[tuple[str, int]]]
 
@@ -168,26 +167,91 @@ def solve_map(arcs: list[tuple], clamps: dict, constitutive: list[tuple] = (), e
     return {n: sign[n] for n in reach if sign.get(n)}
 
 
-def solve(arcs: DataFrame, interventions: DataFrame, constitutive: DataFrame | None = None, exact_max: int = EXACT_MAX, max_arcs: int = MAX_ARCS) -> DataFrame:
+def solve(arcs: DataFrame, interventions: DataFrame, constitutive: DataFrame | None = None, exact_max: int = EXACT_MAX, max_arcs: int = MAX_ARCS, max_cone: int = MAX_CONE) -> DataFrame:
     """(iv_id, node, mask) of each intervention, with exact and loop components; nodes that don't move are left out.
 
     ``arcs`` (src, dst, m) and ``constitutive`` (micro, macro, m) are broadcast
-    within ``max_arcs``; beyond that, ``signed_reach`` is the way.
+    within ``max_arcs``.  Beyond that each intervention's cone is found by
+    joins; cones within ``max_cone`` arcs are solved in a task each, and larger
+    ones level by level with joins.  All ways give the same signs.
     """
-    spark = arcs.sparkSession
-    n = arcs.count()
-    if n > max_arcs:
-        raise ValueError(f"{n} arcs are more than {max_arcs}; use signed_reach, which joins instead")
-    kind = dict(arcs.dtypes)["src"]
-    shared = spark.sparkContext.broadcast(([tuple(r) for r in arcs.select("src", "dst", "m").collect()], [tuple(r) for r in constitutive.select("micro", "macro", "m").collect()] if constitutive is not None else []))
+    kind, iv = dict(arcs.dtypes)["src"], dict(interventions.dtypes)["iv_id"]
+    schema = f"iv_id {iv}, node {kind}, mask int"
+    arcs = store(arcs.select("src", "dst", "m"), "arcs")
+    if small(arcs, max_arcs) and (constitutive is None or small(constitutive, max_arcs)):
+
+        def run(graph: Compact, also: Compact | None, clamps: dict) -> list[tuple]:
+            own, more = graph.cone(clamps, also)
+            return list(solve_map(own, clamps, more, exact_max).items())
+
+        return by_broadcast(arcs, interventions, run, schema, constitutive)
+    own, more = cones(arcs, interventions, constitutive)
+    sizes = own.groupBy("iv_id").agg(F.count("*").alias("n"))
+    large = store(sizes.where(F.col("n") > max_cone).select("iv_id"), "large")
+    if large.isEmpty():
+        return by_cone(own, interventions, lambda a, c, clamps: list(solve_map(a, clamps, c, exact_max).items()), schema, more)
+    part = lambda df, how: df.join(large, "iv_id", how) if df is not None else None
+    near = by_cone(part(own, "left_anti"), part(interventions, "left_anti"), lambda a, c, clamps: list(solve_map(a, clamps, c, exact_max).items()), schema, part(more, "left_anti"))
+    return near.unionByName(solve_by_levels(part(own, "left_semi"), part(interventions, "left_semi"), part(more, "left_semi"), exact_max))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        arc, con = shared.value
-        got = solve_map(arc, dict(zip(pdf.node.tolist(), pdf["mask"].tolist())), con, exact_max)
-        return pd.DataFrame({"iv_id": pdf.iv_id.iloc[0], "node": list(got), "mask": list(got.values())})
+def solve_by_levels(own: DataFrame, interventions: DataFrame, more: DataFrame | None = None, exact_max: int = EXACT_MAX) -> DataFrame:
+    """The same from cones (iv_id, src, dst, m) and (iv_id, micro, macro, m) by joins alone, one level of components after another.
 
-    iv = dict(interventions.dtypes)["iv_id"]
-    return interventions.groupBy("iv_id").applyInPandas(run, f"iv_id {iv}, node {kind}, mask int")
+    Nodes of different interventions are told apart as (iv_id, node) pairs, so
+    all are solved at once.  A task never holds more than one small component.
+    """
+    iv, kind = dict(interventions.dtypes)["iv_id"], dict(own.dtypes)["src"]
+    key = lambda c: F.struct("iv_id", F.col(c).alias("node"))
+    a = store(own.where("src <> dst").select(key("src").alias("src"), key("dst").alias("dst"), "m"), "level-arcs")
+    c = more.select(key("micro").alias("src"), key("macro").alias("dst"), "m") if more is not None else a.limit(0)
+    c = store(c, "level-parts")
+    clamps = store(clamped(interventions).select(key("node").alias("node"), "mask"), "level-clamps")
+    nodes = a.select(F.col("src").alias("node")).union(a.select("dst")).union(c.select("src")).union(c.select("dst")).union(clamps.select("node")).distinct()
+    of_arcs = coloured_components(a.select("src", "dst").distinct())
+    comp = store(nodes.join(of_arcs, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")), "level-sccs")
+    s, d = comp.select(F.col("node").alias("src"), F.col("scc").alias("s")), comp.select(F.col("node").alias("dst"), F.col("scc").alias("d"))
+    placed = store(a.withColumn("causal", F.lit(True)).unionByName(c.withColumn("causal", F.lit(False))).join(s, "src").join(d, "dst"), "level-placed")
+    between = placed.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
+    level = levels(between)
+    size = comp.groupBy("scc").agg(F.count("*").alias("size"))
+    at = comp.join(level.withColumnRenamed("node", "scc"), "scc", "left").join(size, "scc").select("node", "scc", "size", F.coalesce("level", F.lit(0)).alias("level"))
+    at = store(at.join(clamps.select("node"), "node", "left_anti"), "level-nodes")
+    top = at.agg(F.max("level")).first()[0]
+    inside = placed.where("s = d and causal").select(F.col("s").alias("scc"), "src", "dst", "m")
+    outer = placed.where("s <> d or not causal").select("src", "dst", "m")
+    sign = clamps
+    for k in range(-1 if top is None else top + 1):
+        here = store(at.where(F.col("level") == k), "level")
+        force = outer.join(sign.withColumnRenamed("node", "src"), "src").join(here.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.bit_or(times(F.col("mask"), F.col("m"))).cast("int").alias("mask"))
+        forced = store(here.join(force, "node", "left").select("node", "scc", "size", F.coalesce("mask", F.lit(0)).cast("int").alias("mask")), "level")
+        got = forced.where("size = 1").select("node", "mask")
+        mid = forced.where((F.col("size") > 1) & (F.col("size") <= exact_max))
+        if not mid.isEmpty():
+            links = inside.join(mid.select("scc").distinct(), "scc", "left_semi")
+
+            def exact(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+                force = dict(zip(members.name.tolist(), members["mask"].tolist()))
+                into: dict = {}
+                for x, y, m in zip(pairs.src.tolist(), pairs.dst.tolist(), pairs.m.tolist()):
+                    into.setdefault(y, []).append((x, m))
+                out = solve_component(sorted(force), lambda n: into.get(n, ()), {}, force, exact_max)
+                return pd.DataFrame({"iv": members.iv.iloc[0], "name": list(out), "mask": list(out.values())})
+
+            flat = mid.select("scc", F.col("node.iv_id").alias("iv"), F.col("node.node").alias("name"), "mask")
+            ends = links.select("scc", F.col("src.node").alias("src"), F.col("dst.node").alias("dst"), "m")
+            done = flat.groupBy("scc").cogroup(ends.groupBy("scc")).applyInPandas(exact, f"iv {iv}, name {kind}, mask int")
+            got = got.unionByName(done.select(F.struct(F.col("iv").alias("iv_id"), F.col("name").alias("node")).alias("node"), "mask"))
+        big = forced.where(F.col("size") > exact_max)
+        if not big.isEmpty():
+            cover = store(double_cover(inside.join(big.select("scc").distinct(), "scc", "left_semi")), "level-cover")
+            seed = big.where("mask > 0").select("node", F.explode(F.when(F.col("mask") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("mask") - 1))).alias("minus"))
+            both = fixpoint(seed, lambda f, cover=cover: f.join(cover, f.node == cover.src).select(F.col("dst").alias("node"), F.col("minus").bitwiseXOR(F.col("flip")).alias("minus")), "level-loop")
+            got = got.unionByName(both.groupBy("node").agg(F.bit_or(F.col("minus") + 1).cast("int").alias("mask")))
+        sign = sign.unionByName(store(got.where("mask > 0"), "level-signs"))
+        if k % 8 == 7:
+            sign = store(sign, "level-signs")
+    return sign.select("node.iv_id", "node.node", "mask")
 
 
 def components_of(arcs: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
@@ -196,8 +260,8 @@ def components_of(arcs: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
     Within ``max_arcs`` one task finds them in linear time; beyond, colours
     spread forwards and backwards by joins.
     """
-    pairs = arcs.select("src", "dst").distinct()
-    if pairs.count() > max_arcs:
+    pairs = store(arcs.select("src", "dst").distinct(), "pairs")
+    if not small(pairs, max_arcs):
         return coloured_components(pairs)
     kind = dict(arcs.dtypes)["src"]
 
@@ -215,8 +279,6 @@ def components_of(arcs: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
 
 def coloured_components(pairs: DataFrame) -> DataFrame:
     """The same by joins alone: each node takes the least node that reaches it; those that reach back share a component."""
-    from signflow.functions.storage import fixpoint, store
-
     left = store(pairs.where("src is not null and dst is not null"), "scc")
     nodes = store(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct(), "scc")
     done = None

@@ -16,15 +16,17 @@ def combined(arcs: DataFrame, constitutive: DataFrame) -> DataFrame:
     return arcs.select("src", "dst", "m", F.lit("causal").alias("kind")).join(c.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(c)
 
 
-def traces(arcs: DataFrame, interventions: DataFrame, targets: DataFrame, max_hops: int = 12, max_paths: int = 24) -> DataFrame:
-    """(iv_id, node, paths, consensus, net, agrees): at most ``max_paths`` shortest simple paths of each target, as text.
+def traces(arcs: DataFrame, interventions: DataFrame, targets: DataFrame, constitutive: DataFrame | None = None, max_hops: int = 12, max_paths: int = 24) -> DataFrame:
+    """(iv_id, node, paths, consensus, net, agrees) of each target (iv_id, node) that a clamp leads to.
 
-    ``consensus`` sums the signs of all paths, ``net`` is the static solution.
+    ``paths`` are the first simple paths as text, ``consensus`` is the sign they
+    have in common, or undetermined, ``net`` is the static solution.
     """
-    found = simple_paths(arcs, interventions.select("iv_id", "node"), max_hops).join(targets.select("node").distinct(), "node", "left_semi")
+    both = combined(arcs, constitutive) if constitutive is not None else arcs
+    found = simple_paths(both.select("src", "dst", "m"), interventions, targets, max_hops, max_paths)
     text = F.concat(F.array_join(F.transform("path", lambda x: x.cast("string")), " > "), F.lit(" ("), decode(F.col("mask")), F.lit(")"))
-    by = found.groupBy("iv_id", "node").agg(F.slice(F.array_sort(F.collect_list(F.struct("hops", text.alias("text")))), 1, max_paths).alias("p"), F.bit_or("mask").cast("int").alias("consensus"))
-    net = solve(arcs, interventions).withColumnRenamed("mask", "net")
+    by = found.groupBy("iv_id", F.col("target").alias("node")).agg(F.array_sort(F.collect_list(F.struct(F.size("path").alias("n"), "path", text.alias("text")))).alias("p"), F.bit_or("mask").cast("int").alias("consensus"))
+    net = solve(arcs, interventions, constitutive).withColumnRenamed("mask", "net")
     out = by.join(net, ["iv_id", "node"], "left").withColumn("net", F.coalesce("net", F.lit(0)))
     return out.select("iv_id", "node", F.transform("p", lambda x: x.text).alias("paths"), "consensus", "net", (F.col("consensus") == F.col("net")).alias("agrees"))
 
@@ -36,7 +38,13 @@ def induced(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def faceted(nodes: DataFrame, arcs: DataFrame, systems: list[str], sources: list[str]) -> DataFrame:
-    """Nodes of the chosen systems and sources, and the ends of arcs that such nodes bring with them."""
-    seen = nodes.where(F.col("system").isin(*systems) & F.col("source").isin(*sources)).select("node")
-    touch = arcs.join(seen.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
-    return seen.union(touch).distinct()
+    """(node) visible under a choice of systems and sources.
+
+    Nodes of a chosen system and source are seen; arcs of a chosen source bring
+    the ends that are not seen, where the other end is.  ``nodes`` has (node,
+    system, source), ``arcs`` (src, dst, source).
+    """
+    seen = nodes.where(F.col("system").isin(*systems) & F.col("source").isin(*sources)).select("node").distinct()
+    live = arcs.where(F.col("source").isin(*sources))
+    ends = [live.join(seen.withColumnRenamed("node", a), a, "left_semi").select(F.col(b).alias("node")) for a, b in (("src", "dst"), ("dst", "src"))]
+    return seen.union(ends[0]).union(ends[1]).distinct()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from signflow.functions import text as T
+from signflow.functions.storage import store
 from signflow.operators import gates as G
-from signflow.operators.reconcile import reconcile
+from signflow.operators.reconcile import classify
 from signflow.sources import derived as D
 
 QUERIES: dict = {}
@@ -32,25 +33,46 @@ def slugify(s, d):
     return _part(s, d).select("p_partkey", T.slugify(F.concat(F.lit(" "), "p_name", F.lit("/"), "p_brand", F.lit("."))).alias("slug"))
 
 
-WORDS = "string_split(trim(regexp_replace(lower(replace(x, '_', ' ')), '[^a-z0-9]+', ' ', 'g')), ' ')"
+PLAIN = "trim(regexp_replace(lower(replace(x, '_', ' ')), '[^a-z0-9]+', ' ', 'g'))"
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+#: Variants of labels and what they stand for.
+SYNONYMS = {"the hot gear of a brand 3": "warm gear of brand 3", "cold anvil": "cool anvil"}
+FOLD = " ".join(f"when '{k}' then '{v}'" for k, v in SYNONYMS.items())
 
 
-@query("normalize_label", f"select p_partkey, array_to_string(list_sort(list_filter({WORDS}, lambda w: w <> '' and w not in ('the', 'of', 'a', 'an', 'in', 'and'))), ' ') as label from (select p_partkey, 'The_' || p_name || ' of a ' || p_brand as x from part)")
+@query("normalize_label", f"""select p_partkey, array_to_string(list_sort(list_filter(string_split(case y {FOLD} else y end, ' '), lambda w: w <> '' and w not in ({_IN(T.STOPWORDS)}))), ' ') as label
+from (select p_partkey, {PLAIN} as y from (select p_partkey, 'The_' || p_name || ' of a ' || p_brand as x from part))""")
 def normalize_label(s, d):
-    return _part(s, d).select("p_partkey", T.normalise_label(F.concat(F.lit("The_"), "p_name", F.lit(" of a "), "p_brand")).alias("label"))
+    return _part(s, d).select("p_partkey", T.normalise_label(F.concat(F.lit("The_"), "p_name", F.lit(" of a "), "p_brand"), SYNONYMS).alias("label"))
 
 
-@query("direction_regex", r"""with t as (select p_partkey, p_name || case when p_size > 40 then ' elevated' when p_size > 20 then ' Low' else '' end as x from part),
-u as (select *, regexp_matches(x, '(?i)\b(increased|elevated|high|raised|large)\b') as up, regexp_matches(x, '(?i)\b(decreased|reduced|low|lowered|small)\b') as down from t)
+@query("direction_regex", f"""with t as (select p_partkey, case p_size % 9 when 0 then 'Hyper' when 1 then 'hypo' else '' end || p_name || case when p_size > 40 then ' elevated' when p_size > 30 then ' Low' when p_size > 25 then ' depleted excess' else '' end as x from part),
+u as (select *, regexp_matches(x, '{T.INCREASE}') as up, regexp_matches(x, '{T.DECREASE}') as down from t)
 select p_partkey, case when up and not down then '+' when down and not up then '-' end as sign from u""")
 def direction_regex(s, d):
-    x = F.concat("p_name", F.when(F.col("p_size") > 40, " elevated").when(F.col("p_size") > 20, " Low").otherwise(""))
+    k = F.col("p_size") % 9
+    x = F.concat(F.when(k == 0, "Hyper").when(k == 1, "hypo").otherwise(""), "p_name", F.when(F.col("p_size") > 40, " elevated").when(F.col("p_size") > 30, " Low").when(F.col("p_size") > 25, " depleted excess").otherwise(""))
     return _part(s, d).select("p_partkey", T.direction(x).alias("sign"))
 
 
-@query("analyte_tokens", "select p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'))), ',') as tokens from part")
+#: Names of terms as annotations have them.
+TERM = "case p_size % 4 when 0 then 'Increased circulating ' || p_name || ' level' when 1 then 'Hyper' || (['kalemia', 'glycemia', 'lipidemia'])[p_partkey % 3 + 1] when 2 then 'Reduced blood pressure of x ' || p_name else 'Abnormal cell count' end"
+
+
+def _term():
+    k, root = F.col("p_size") % 4, F.element_at(F.array(*[F.lit(x) for x in ("kalemia", "glycemia", "lipidemia")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return F.when(k == 0, F.concat(F.lit("Increased circulating "), "p_name", F.lit(" level"))).when(k == 1, F.concat(F.lit("Hyper"), root)).when(k == 2, F.concat(F.lit("Reduced blood pressure of x "), "p_name")).otherwise("Abnormal cell count")
+
+
+ROOTED = "case regexp_replace(w, '^(hyper|hypo)', '') " + " ".join(f"when '{k}' then '{v}'" for k, v in T.ROOTS.items()) + " else w end"
+
+
+@query("analyte_tokens", f"""with t as (select p_partkey, list_filter(list_distinct(regexp_extract_all(lower({TERM}), '[a-z0-9]+')), lambda w: w not in ({_IN(T.QUALIFIERS)}) and length(w) > 2) as words from part),
+u as (select p_partkey, list_sort(list_distinct(list_transform(words, lambda w: {ROOTED}))) as words from t)
+select p_partkey, array_to_string(words, ',') as tokens, len(list_filter(words, lambda w: w not in ({_IN(T.GENERIC)}))) > 0 as specific from u""")
 def analyte_tokens(s, d):
-    return _part(s, d).select("p_partkey", F.array_join(T.tokens(F.concat_ws(" ", "p_name", "p_type")), ",").alias("tokens"))
+    words = T.analyte_tokens(_term())
+    return _part(s, d).select("p_partkey", F.array_join(words, ",").alias("tokens"), T.has_specific(words).alias("specific"))
 
 
 CONTAIN = "regexp_extract_all(lower(x), '[a-z0-9]+')"
@@ -75,9 +97,42 @@ def stable_id(s, d):
     return _part(s, d).select("p_partkey", T.stable_id(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand")).alias("id"))
 
 
-@query("ranked_search", "select p_partkey, (case when lower(p_name) = 'red ring' then 100 when starts_with(lower(p_name), 'red ring') then 80 when contains(lower(p_name), ' red ring') then 78 when contains(lower(p_name), 'red ring') then 60 else 0 end)::int as score from part")
+@query("ranked_search", """with n as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as a, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) as b from part)
+select p_partkey, (case when a = 'red ring' or b = 'red ring' then 100 when starts_with(a, 'red ring') or starts_with(b, 'red ring') then 80 when a in ('hot ring', 'ring') then 78 when contains(a, 'red ring') or contains(b, 'red ring') then 60 when contains(a, 'hot ring') or contains(a, 'ring') then 55 else 0 end)::int as score from n""")
 def ranked_search(s, d):
-    return _part(s, d).select("p_partkey", T.search_score(F.col("p_name"), F.lit("Red Ring")).alias("score"))
+    return _part(s, d).select("p_partkey", T.search_score(F.col("p_name"), F.col("p_brand"), "Red_Ring", ("hot ring", "Ring")).alias("score"))
+
+
+@query("facet_search", "select p_partkey, (case when starts_with(lower(p_type || ':' || p_size), 'small:1') or starts_with(lower(p_brand), 'small:1') then 50 else 0 end)::int as score from part")
+def facet_search(s, d):
+    return _part(s, d).select("p_partkey", T.facet_score(F.concat("p_type", F.lit(":"), F.col("p_size").cast("string")), F.col("p_brand"), "SMALL:1").alias("score"))
+
+
+@query("ontology_lookup", "select id, label from (select p_partkey::varchar as id, min(p_name) as label from part group by p_partkey) where contains(lower(label), '10') or contains(lower(id), '10') order by not starts_with(id, '10'), lower(label), id limit 20")
+def ontology_lookup(s, d):
+    """The first twenty terms that hold what was typed; twenty is how many a lookup shows."""
+    return T.lookup(_part(s, d).groupBy(F.col("p_partkey").cast("string").alias("id")).agg(F.min("p_name").alias("label")), "10")
+
+
+@query("canonical_json", """select p_partkey, '{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || '}' as json from part""")
+def canonical_json(s, d):
+    return _part(s, d).select("p_partkey", T.canonical_json("p_size", "p_name", "p_brand").alias("json"))
+
+
+@query("percent_encode", "select p_partkey, url_encode(p_name || ' a~b*c/d' || p_brand) as code from part")
+def percent_encode(s, d):
+    return _part(s, d).select("p_partkey", T.percent_encode(F.concat("p_name", F.lit(" a~b*c/d"), "p_brand")).alias("code"))
+
+
+@query("version_bump", "select p_partkey, p_size || '.' || (p_size % 7 + 1) || '.0' as minor, p_size || '.' || (p_size % 7) || '.' || (p_partkey + 1) as patch from part")
+def version_bump(s, d):
+    v = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_size") % 7).cast("string"), F.col("p_partkey").cast("string"))
+    return _part(s, d).select("p_partkey", T.bump(v, "minor").alias("minor"), T.bump(v, "patch").alias("patch"))
+
+
+@query("submission_id", "select p_partkey, '20260101-' || regexp_replace(substr(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || ' of a very long title'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') as id from part")
+def submission_id(s, d):
+    return _part(s, d).select("p_partkey", T.submission_id(F.concat("p_name", F.lit(" / "), "p_brand", F.lit(" of a very long title")), F.lit("20260101")).alias("id"))
 
 
 @query("record_codec", "select doc_id, rtrim(translate(base64(encode(text)), '+/', '-_'), '=') as code, text as back from documents")
@@ -131,9 +186,35 @@ def chapter_slices(s, d):
     return slice_chapters(docs, "doc_id", "text", "\n", F.substring("line", 1, 1))
 
 
+#: Proposed nodes: known ones, turned labels, other qualities, like labels and new ones.
+PROPOSED = """p as (select case when p_size < 8 then p_partkey else p_partkey + 1000000 end as id,
+  case when p_size < 20 then regexp_replace(p_name, '^(\\w+) (\\w+)$', '\\2_\\1') || ' ' || p_brand when p_size < 30 then p_name || 'z ' || p_brand else 'quite another ' || p_partkey end as label,
+  p_type as entity_iri, case when p_size % 2 = 0 then p_brand else 'Q' end as quality_iri from part),
+c as (select p_partkey as match, p_name || ' ' || p_brand as label, p_type || '!' as ce, p_brand as cq from part)"""
+
+
+def _reconciled(s, d):
+    part = _part(s, d)
+    catalog = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("label"), F.concat("p_type", F.lit("!")).alias("entity_iri"), F.col("p_brand").alias("quality_iri"))
+    label = F.when(F.col("p_size") < 20, F.concat(F.regexp_replace("p_name", r"^(\w+) (\w+)$", "$2_$1"), F.lit(" "), "p_brand")).when(F.col("p_size") < 30, F.concat("p_name", F.lit("z "), "p_brand")).otherwise(F.concat(F.lit("quite another "), F.col("p_partkey").cast("string")))
+    ident = F.when(F.col("p_size") < 8, F.col("p_partkey")).otherwise(F.col("p_partkey") + 1000000)
+    proposed = part.select(ident.alias("id"), label.alias("label"), F.col("p_type").alias("entity_iri"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("Q").alias("quality_iri"))
+    return store(classify(proposed, catalog), "reconciled")
+
+
+NORM = f"array_to_string(list_sort(list_filter(string_split({PLAIN.replace('(x,', '(label,')}, ' '), lambda w: w <> '' and w not in ({_IN(T.STOPWORDS)}))), ' ')"
+
+
+@query("reconcile_sure", f"""with {PROPOSED}, pn as (select *, {NORM} as norm from p), cn as (select *, {NORM} as norm from c),
+known as (select id from p where id in (select match from c)), hit as (select pn.id, cn.match, case when pn.quality_iri <> cn.cq then 0.84 else 0.95 end as score from pn join cn using (norm) where id not in (select id from known))
+select id, 'existing' as status, id as match, 1.0::double as score from known union all
+select id, case when max(score) >= 0.9 then 'duplicate' else 'review' end, arg_min(match, (-score, match)), max(score)::double from hit group by id""")
+def reconcile_sure(s, d):
+    """Known ids and equal labels."""
+    return _reconciled(s, d).where(F.col("status").isin("existing", "duplicate") | (F.col("score") == 0.84))
+
+
 @query("reconcile")
-def reconcile_parts(s, d):
-    """Part names against brand-new labels: exact, alias, reordered and fuzzy matches."""
-    catalog = _part(s, d).groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("id"))
-    wanted = D.table(s, d, "part").select(F.regexp_replace("p_name", "^(\\w+) (\\w+)$", "$2_$1").alias("label")).distinct()
-    return reconcile(wanted, catalog)
+def reconcile(s, d):
+    """All layers, like labels among them."""
+    return _reconciled(s, d)

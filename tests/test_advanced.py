@@ -100,39 +100,101 @@ def test_sampled_systems_never_contradict_predictions():
     arcs = [(0, 1, 1), (1, 2, 2), (2, 0, 1), (1, 3, 1), (3, 1, 2)]
     for clamp in ({0: 1}, {2: 2}):
         got = S.solve_map(arcs, clamp)
-        counts = monte_carlo(arcs, clamp, [0, 1, 2, 3], 300, 3)
-        for n, m in got.items():
-            plus, minus, _ = counts[n]
-            assert not (m == 1 and minus or m == 2 and plus)
+        cut = [a for a in arcs if a[1] not in clamp]
+        counts = monte_carlo(cut, clamp, 300, 3)
+        assert set(counts) == set(got) - set(clamp)
+        for n in counts:
+            plus, minus, zero = counts[n]
+            assert plus + minus + zero == 300
+            assert not (got[n] == 1 and minus or got[n] == 2 and plus)
+
+
+def test_verdicts_of_sampled_signs(spark):
+    from signflow.operators.numeric import validate
+
+    p = spark.createDataFrame([("a", n, m) for n, m in enumerate((1, 1, 2, 3, 3))], "iv_id string, node int, mask int")
+    c = spark.createDataFrame([("a", 0, 100, 0, 0), ("a", 1, 97, 3, 0), ("a", 2, 2, 98, 0), ("a", 3, 99, 1, 0), ("a", 4, 60, 40, 0)], "iv_id string, node int, plus long, minus long, zero long")
+    assert [r.verdict for r in validate(p, c).orderBy("node").collect()] == ["confirmed", "contradicted", "confirmed", "conservative", "warranted"]
 
 
 def test_nulls_keep_what_they_should(spark):
     rng = random.Random(1)
     arcs = sorted({(rng.randint(0, 30), rng.randint(31, 60)) for _ in range(150)})
     arcs = [(s, d, rng.choice((1, 2))) for s, d in arcs]
-    out = rewire(arcs, 600, 4)
+    df = spark.createDataFrame(arcs, "src long, dst long, m int")
+    out = [tuple(r) for r in rewire(df, rounds=4, seed=4).collect()]
     for k in (0, 1):
         assert sorted(r[k] for r in out) == sorted(r[k] for r in arcs)
-    assert len({r[:2] for r in out}) == len(out) and out != arcs
-    df = spark.createDataFrame(arcs, "src long, dst long, m int")
+    assert sorted((r[0], r[2]) for r in out) == sorted((r[0], r[2]) for r in arcs)
+    assert len({r[:2] for r in out}) == len(out) and sorted(out) != arcs
+    fixed = spark.createDataFrame([(i,) for i in range(0, 61, 2)], "node long")
+    held = {tuple(r) for r in rewire(df, rounds=4, seed=4, movable=fixed).collect()}
+    assert {a for a in arcs if a[0] % 2 or a[1] % 2} <= held
     mixed = permute_signs(df, 5)
     assert mixed.groupBy("m").count().exceptAll(df.groupBy("m").count()).isEmpty()
     assert mixed.select("src", "dst").exceptAll(df.select("src", "dst")).isEmpty()
+    assert not mixed.exceptAll(df).isEmpty()
 
 
-def test_random_walk_is_the_linear_solution(spark):
+def test_random_walk_is_the_linear_solution_both_ways(spark):
     import numpy as np
 
     rng = random.Random(6)
     arcs = sorted({(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(30)})
     arcs = [(s, d, rng.choice((1, 2))) for s, d in arcs if s != d]
+    live = [a for a in arcs if a[1] != 3]
     m = np.zeros((10, 10))
-    deg = {s: sum(a[0] == s for a in arcs) for s in range(10)}
-    for s, d, sign in arcs:
+    deg = {s: sum(a[0] == s for a in live) for s in range(10)}
+    for s, d, sign in live:
         m[d, s] += (1 if sign == 1 else -1) / deg[s]
     e = np.zeros(10)
-    e[3] = 1
-    want = 0.5 * np.linalg.solve(np.eye(10) - 0.5 * m, e)
+    e[3] = -1
+    want = 0.15 * np.linalg.solve(np.eye(10) - 0.85 * m, e)
     df = spark.createDataFrame(arcs, "src long, dst long, m int")
-    got = random_walk(df, spark.createDataFrame([("a", 3, 1)], "iv_id string, node long, mask int"), alpha=0.5, rounds=40)
-    assert all(abs(r.score - want[r.node]) < 1e-6 for r in got.select("node", F.col("score")).collect())
+    iv = spark.createDataFrame([("a", 3, 2)], "iv_id string, node long, mask int")
+    near = {r.node: r.score for r in random_walk(df, iv).collect()}
+    assert near and all(abs(v - want[n]) < 1e-8 for n, v in near.items())
+    far = {r.node: r.score for r in random_walk(df, iv, alpha=0.5, tolerance=1e-4, max_arcs=0).collect()}
+    half = 0.5 * np.linalg.solve(np.eye(10) - 0.5 * m, e)
+    assert set(far) == set(near) and all(abs(v - half[n]) < 1e-3 for n, v in far.items())
+
+
+def test_numbered_rows_and_running_sums(spark):
+    from signflow.functions.storage import numbered
+
+    rng = random.Random(4)
+    rows = [(rng.randint(-50, 50), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = numbered(df, "k", "v", total="v").orderBy("number").collect()
+    assert [(r.k, r.v) for r in got] == sorted(rows) and [r.number for r in got] == list(range(300))
+    acc = 0
+    for r in got:
+        assert r.v_before == acc
+        acc += r.v
+
+
+def test_exact_p_by_enumeration(spark):
+    from itertools import product
+    from math import comb
+
+    from signflow.operators.scoring import exact_p
+
+    tables = [(2, 1, 1, 3), (1, 2, 0, 2), (3, 0, 2, 1)]
+    total = 0.0
+    for ks in product(*[range(0, 5) for _ in tables]):
+        p = 1.0
+        for k, (a, b, c, d) in zip(ks, tables):
+            w, o, n = a + c, a + b, a + b + c + d
+            p *= comb(w, k) * comb(n - w, o - k) / comb(n, o) if 0 <= k <= w and 0 <= o - k <= n - w else 0
+        total += p * (sum(ks) >= sum(t[0] for t in tables))
+    got = exact_p(spark.createDataFrame(tables, "a long, b long, c long, d long")).first()
+    assert got.strata == 3 and abs(got.p - total) < 1e-12
+
+
+def test_quotas_meet_their_total():
+    from signflow.operators.scoring import quotas
+
+    for sizes, total, floor in (({"a": 100, "b": 10, "c": 1}, 20, 2), ({"a": 3, "b": 3}, 20, 1), ({"a": 1000, "b": 1, "c": 1}, 10, 1), ({"x": 7, "y": 7, "z": 7}, 10, 1)):
+        q = quotas(sizes, total, floor)
+        assert sum(q.values()) == min(total, sum(sizes.values())) and all(q[k] <= sizes[k] for k in q)
+        assert all(q[k] >= min(floor, sizes[k]) for k in q if sizes[k] >= floor)

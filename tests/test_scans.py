@@ -52,7 +52,7 @@ def test_sharded_round_trip(spark, tmp_path):
 
 def test_turtle_lines(spark):
     out = scans.turtle(spark.createDataFrame([("a b", "c", 2)], "src string, dst string, m int")).collect()
-    assert out[0].line.count("<") == 6 and out[0].line.endswith('"-" .')
+    assert out[0].line.count("<") == 6 and "a%20b" in out[0].line and out[0].line.endswith('"-" .')
 
 
 def test_catalog_and_checksums(spark, tmp_path):
