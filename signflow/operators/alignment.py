@@ -146,6 +146,14 @@ def witnesses(records: DataFrame, axioms: DataFrame, keys: list[str]) -> DataFra
     return records.join(axioms.select(*keys).distinct(), keys, "left_anti")
 
 
+def entailed(links: DataFrame, closure: DataFrame) -> DataFrame:
+    """(src, dst) that follow from existential links under a hierarchy (src, dst): kinds of the source have the link, to the target and to all that it is a kind of."""
+    up = closure.select("src", "dst")
+    wide = links.select("src", "dst").unionByName(links.join(up.select(F.col("src").alias("dst"), F.col("dst").alias("more")), "dst").select("src", F.col("more").alias("dst")))
+    deep = wide.join(up.select(F.col("dst").alias("src"), F.col("src").alias("kind")), "src").select(F.col("kind").alias("src"), "dst")
+    return wide.unionByName(deep).distinct()
+
+
 def ratio_pairs(arguments: DataFrame) -> DataFrame:
     """(result, numerator, denominator): every numerator of a result (result, role, node) with every denominator."""
     n = arguments.where("role = 'numerator'").select("result", F.col("node").alias("numerator"))

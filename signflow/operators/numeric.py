@@ -50,7 +50,7 @@ def random_walk(arcs: DataFrame, seeds: DataFrame, alpha: float = 0.85, toleranc
     arcs = store(arcs.where("src <> dst").select("src", "dst", "m"), "arcs")
     if small(arcs, max_arcs):
         out = by_broadcast(arcs, seeds, lambda graph, _, clamps: list(walk(graph.cone(clamps)[0], clamps, alpha, tolerance, unknown).items()), f"iv_id {iv}, node {kind}, score double")
-        return out.select("iv_id", "node", F.round("score", 9).alias("score"))
+        return out.select("iv_id", "node", (F.round("score", 9) + F.lit(0.0)).alias("score"))
     own, _ = cones(arcs, seeds)
     a = own.where("m <> 3" if unknown == "drop" else "true").select("iv_id", "src", "dst", F.when(F.col("m") == 1, 1.0).otherwise(-1.0).alias("s"))
     deg = a.groupBy("iv_id", "src").agg(F.count("*").alias("deg"))
@@ -65,7 +65,7 @@ def random_walk(arcs: DataFrame, seeds: DataFrame, alpha: float = 0.85, toleranc
             total = store(total.groupBy("iv_id", "node").agg(F.sum("r").alias("r")), "walk")
     # what is reached without any flow has the score zero
     nodes = own.select("iv_id", F.col("src").alias("node")).union(own.select("iv_id", "dst")).distinct()
-    return nodes.withColumn("r", F.lit(0.0)).unionByName(total).groupBy("iv_id", "node").agg(F.round(F.sum("r"), 9).alias("score"))
+    return nodes.withColumn("r", F.lit(0.0)).unionByName(total).groupBy("iv_id", "node").agg((F.round(F.sum("r"), 9) + F.lit(0.0)).alias("score"))
 
 
 def alpha_sweep(arcs: DataFrame, seeds: DataFrame, alphas: list[float], **how) -> DataFrame:

@@ -397,7 +397,7 @@ def det_closure(s, d):
 cone(iv_id, node) as (select iv_id, node from iv union select cone.iv_id, arc.dst from cone join arc on arc.src = cone.node where arc.dst not in (select node from iv)),
 walk(iv_id, node, r, k) as (select iv_id, node, 0.15::double * case mask when 2 then -1.0::double else 1.0::double end, 0 from iv union all
   select walk.iv_id, w.dst, sum(walk.r * w.w)::double, any_value(walk.k) + 1 from walk join w on w.src = walk.node where k < 171 group by walk.iv_id, w.dst)
-select cone.iv_id, cone.node, round(coalesce(sum(r), 0), 9) as score from cone left join walk on walk.iv_id = cone.iv_id and walk.node = cone.node group by cone.iv_id, cone.node""")
+select cone.iv_id, cone.node, round(coalesce(sum(r), 0), 9) + 0.0 as score from cone left join walk on walk.iv_id = cone.iv_id and walk.node = cone.node group by cone.iv_id, cone.node""")
 def rwr(s, d):
     """Signed random walk with restart, from every customer's intervention, until what is left is below 1e-12."""
     from signflow.operators.numeric import random_walk
@@ -405,12 +405,17 @@ def rwr(s, d):
     return random_walk(D.flow(s, d), D.firsts(s, d), alpha=0.85)
 
 
-@query("alpha_sweep")
+@query("alpha_sweep", f"""with recursive {ORDERS}, al(alpha) as (values (0.61::double), (0.73::double), (0.85::double)),
+w as (select src, dst, (case m when 1 then 1.0 else -1.0 end)::double / count(*) over (partition by src) as w from arc where m <> 3 and src <> dst and dst not in (select node from iv)),
+cone(iv_id, node) as (select iv_id, node from iv union select cone.iv_id, arc.dst from cone join arc on arc.src = cone.node where arc.dst not in (select node from iv)),
+walk(alpha, iv_id, node, r, k) as (select alpha, iv_id, node, (1 - alpha) * case mask when 2 then -1.0::double else 1.0::double end, 0 from iv, al union all
+  select walk.alpha, walk.iv_id, w.dst, sum(walk.r * walk.alpha * w.w)::double, any_value(walk.k) + 1 from walk join w on w.src = walk.node where k < 171 group by walk.alpha, walk.iv_id, w.dst)
+select al.alpha, cone.iv_id, cone.node, round(coalesce(sum(r), 0), 9) + 0.0 as score from al cross join cone left join walk on walk.alpha = al.alpha and walk.iv_id = cone.iv_id and walk.node = cone.node group by al.alpha, cone.iv_id, cone.node""")
 def alpha_sweep(s, d):
-    """The walk at four restart shares."""
+    """The walk at three restart shares."""
     from signflow.operators.numeric import alpha_sweep as run
 
-    return run(store(D.flow(s, d), "arcs"), D.firsts(s, d), [0.5, 0.7, 0.85, 0.95])
+    return run(store(D.flow(s, d), "arcs"), D.firsts(s, d), [0.61, 0.73, 0.85])
 
 
 SEP_XYZ = """x as (select cust as q, node from seq where k = 1), y as (select cust as q, arg_max(node, k) as node from seq group by cust), z as (select s.cust as q, s.node from seq s where s.k = 3 and exists (select 1 from seq t where t.cust = s.cust and t.k = 4))"""

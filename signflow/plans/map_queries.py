@@ -199,6 +199,19 @@ def witness_check(s, d):
     return L.witnesses(line.where("l_returnflag = 'R'").select("src", "dst").distinct(), line.where("l_returnflag = 'A'"), ["src", "dst"])
 
 
+@query("entailed_links", f"""with recursive {TERMS}, l as (select distinct l_partkey as src, (l_partkey + l_suppkey) % 500 as dst from lineitem where l_quantity > 49), w as (select src, dst from l union select l.src, up.dst from l join up on up.src = l.dst)
+select src, dst from w union select up.src, w.dst from w join up on up.dst = w.src""")
+def entailed_links(s, d):
+    """What follows from links between parts, as kinds of each other."""
+    line = D.table(s, d, "lineitem").where("l_quantity > 49")
+    return L.entailed(line.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") + F.col("l_suppkey")) % 500).alias("dst")).distinct(), _closure(s, d))
+
+
+@query("point_lookup", "select p_partkey, p_name from part where p_partkey = 61")
+def point_lookup(s, d):
+    return M.point(D.table(s, d, "part"), "p_partkey", 61).select("p_partkey", "p_name")
+
+
 @query("ratio_pairs", "select a.l_orderkey as result, a.l_partkey as numerator, b.l_partkey as denominator from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey where a.l_returnflag = 'R' and b.l_returnflag = 'A'")
 def ratio_pairs(s, d):
     role = F.when(F.col("l_returnflag") == "R", "numerator").when(F.col("l_returnflag") == "A", "denominator")
