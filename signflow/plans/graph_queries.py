@@ -405,7 +405,7 @@ def rwr(s, d):
     return random_walk(D.flow(s, d), D.firsts(s, d), alpha=0.85)
 
 
-@query("alpha_sweep", f"""with recursive {ORDERS}, al(alpha) as (values (0.61::double), (0.73::double), (0.85::double)),
+@query("alpha_sweep", f"""with recursive {ORDERS}, al(alpha) as (values (2.0::double / 3), (5.0::double / 7), (0.85::double)),
 w as (select src, dst, (case m when 1 then 1.0 else -1.0 end)::double / count(*) over (partition by src) as w from arc where m <> 3 and src <> dst and dst not in (select node from iv)),
 cone(iv_id, node) as (select iv_id, node from iv union select cone.iv_id, arc.dst from cone join arc on arc.src = cone.node where arc.dst not in (select node from iv)),
 walk(alpha, iv_id, node, r, k) as (select alpha, iv_id, node, (1 - alpha) * case mask when 2 then -1.0::double else 1.0::double end, 0 from iv, al union all
@@ -415,7 +415,7 @@ def alpha_sweep(s, d):
     """The walk at three restart shares."""
     from signflow.operators.numeric import alpha_sweep as run
 
-    return run(store(D.flow(s, d), "arcs"), D.firsts(s, d), [0.61, 0.73, 0.85])
+    return run(store(D.flow(s, d), "arcs"), D.firsts(s, d), [2 / 3, 5 / 7, 0.85])
 
 
 SEP_XYZ = """x as (select cust as q, node from seq where k = 1), y as (select cust as q, arg_max(node, k) as node from seq group by cust), z as (select s.cust as q, s.node from seq s where s.k = 3 and exists (select 1 from seq t where t.cust = s.cust and t.k = 4))"""
