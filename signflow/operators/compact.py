@@ -19,6 +19,8 @@ from signflow.functions.storage import fixpoint, store
 MAX_ARCS = 2_000_000
 #: Arcs up to which one intervention's cone is handed to a task.
 MAX_CONE = 2_000_000
+#: Nodes whose arcs a worker keeps at hand.
+KNOWN = 100_000
 
 
 class Compact:
@@ -30,6 +32,7 @@ class Compact:
         order = np.lexsort((d, s))
         self.src, self.dst, self.m = s[order].astype(np.int32), d[order].astype(np.int32), np.asarray(m)[order].astype(np.int8)
         self.start = np.searchsorted(self.src, np.arange(len(self.names) + 1))
+        self.known: dict = {}
 
     @staticmethod
     def of(arcs: DataFrame, src: str = "src", dst: str = "dst") -> Compact:
@@ -71,26 +74,35 @@ class Compact:
         at = np.flatnonzero(mask)
         return at, mask[at]
 
+    def arcs_of(self, name) -> list[tuple]:
+        """The arcs (src, dst, m) out of a node; what was asked for lately is kept."""
+        got = self.known.get(name)
+        if got is None:
+            at = int(np.searchsorted(self.names, name))
+            got = []
+            if at < len(self.names) and self.names[at] == name:
+                s = slice(self.start[at], self.start[at + 1])
+                got = [(name, d, m) for d, m in zip(self.names[self.dst[s]].tolist(), self.m[s].tolist())]
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[name] = got
+        return got
+
     def cone(self, clamps: dict, also: Compact | None = None) -> tuple[list[tuple], list[tuple]]:
         """The arcs (src, dst, m) out of what the clamps reach, and those of ``also``, over which they reach further."""
-        seen, own, more = set(), [], []
-        front = list(clamps)
-        seen.update(front)
-        while front:
-            nxt: list = []
-            for g, rows, cut in ((self, own, True), (also, more, False)):
-                if g is None:
-                    continue
-                arc, _ = g.out(g.code(front))
-                got = zip(g.names[g.src[arc]].tolist(), g.names[g.dst[arc]].tolist(), g.m[arc].tolist())
-                for s, d, m in got:
-                    if cut and d in clamps:
-                        continue
-                    rows.append((s, d, m))
-                    if d not in seen:
-                        seen.add(d)
-                        nxt.append(d)
-            front = nxt
+        seen, own, more, todo = set(clamps), [], [], list(clamps)
+        while todo:
+            n = todo.pop()
+            out = [a for a in self.arcs_of(n) if a[1] not in clamps]
+            own += out
+            if also is not None:
+                up = also.arcs_of(n)
+                more += up
+                out = out + up
+            for _, d, _ in out:
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
         return own, more
 
 

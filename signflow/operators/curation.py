@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.functions.signs import encode
 from signflow.operators import gates as G
 from signflow.sources.fragments import COLLECTIONS, LEGACY, columns_of, last_of
 
@@ -295,7 +294,3 @@ def axioms(tables: Tables) -> DataFrame:
     ]
     return reduce(DataFrame.union, rows)
 
-
-def signed(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
-    """(src, dst, m) of edges with a sign."""
-    return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), encode(F.col("sign")).alias("m"))

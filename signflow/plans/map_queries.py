@@ -292,6 +292,14 @@ def ontology_round_trip(s, d):
     return back.join(seen.distinct(), ["source", "target"], "left_semi").select("source", "target", "sign")
 
 
+@query("axiom_preview", f"""with {FLOW_SQL}, {PROD3} select 'Declaration(Class(:' || node || '))' as axiom from seq union all select 'SubClassOf(:' || src || ' influences ' || (['positively', 'negatively', 'in an open direction'])[m] || ' :' || dst || ')' from arc
+union all select 'SubClassOf(:' || src || ' produces :' || dst || ')' from prod union all select 'SubClassOf(:' || b.node || ' aggregation :' || a.node || ')' from seq a join seq b on a.cust = b.cust and a.k = 1 and b.k = 2""")
+def axiom_preview(s, d):
+    from signflow.operators.curation import axioms
+
+    return axioms(_map(s, d))
+
+
 @query("turtle_lines", f"""with {FLOW_SQL} select '[] a <http://example.org/Influence> ; <http://example.org/source> <http://example.org/' || src || '> ; <http://example.org/target> <http://example.org/' || dst || '> ; <http://example.org/sign> "' || ([ '+', '-', '?' ])[m] || '" .' as line from arc""")
 def turtle_lines(s, d):
     return scans.turtle(D.flow(s, d))

@@ -324,3 +324,11 @@ def test_pages_caches_and_reports(spark, tmp_path):
     scans.write_sharded(rows, "k", f"file://{tmp_path}/shards")
     sizes = {r.bucket: r.bytes for r in scans.payload_sizes(spark, f"file://{tmp_path}/shards").collect()}
     assert sizes[None] == sum(v for k, v in sizes.items() if k) > 0
+
+
+def test_surgery_of_cones(spark):
+    from signflow.operators.arcs import surgery
+
+    cone = frame(spark, "iv_id string, src string, dst string, m int", ("a", "x", "y", 1), ("a", "y", "x", 2), ("b", "y", "x", 2))
+    got = {tuple(r) for r in surgery(cone, frame(spark, PRED, ("a", "x", 1))).collect()}
+    assert got == {("a", "x", "y", 1), ("b", "y", "x", 2)}
