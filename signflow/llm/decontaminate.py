@@ -160,39 +160,49 @@ def clean_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 
 def _joined(docs: DataFrame, items: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The same search where the items are too many to broadcast: sketch hashes and shingles are joined."""
-    kind = "row_id long, size int, n long, rank int, sketch boolean, h long, shingle string"
+    """The same search where the items are too many to broadcast.
 
-    def spread(of_items: bool):
+    Hashes of the documents' shingles, of the window lengths that items have,
+    meet the items' sketches; both texts of a candidate pair are then brought
+    together and compared.  Shingles themselves are never stored or shuffled.
+    """
+    names = materialise(docs.withColumn("drow", F.monotonically_increasing_id()).select("drow", "doc_id", "text"), "decontaminate-docs")
+    it = materialise(items.withColumn("trow", F.monotonically_increasing_id()).select("trow", "item_id", F.col("text").alias("item_text")), "decontaminate-items")
+
+    def hashed(of_items: bool, sizes: tuple[int, ...] = ()):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
             for b in batches:
                 for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    w = words_of(text)
-                    sizes = {min(words, len(w))} if of_items else set(range(1, words + 1))
-                    for size in sorted(sizes - {0}):
-                        s = sorted({" ".join(w[i : i + size]) for i in range(len(w) - size + 1)}, key=lambda x: (xxhash.xxh64_intdigest(x), x))
-                        h = np.array([xxhash.xxh64_intdigest(x) for x in s], np.uint64).view(np.int64)
-                        n, k = len(s), sketch_size(len(s), threshold) if s else 0
-                        for at in range(0, n, 4096):
-                            m = min(4096, n - at)
-                            ranks = np.arange(at, at + m, dtype=np.int32)
-                            yield pa.RecordBatch.from_arrays([pa.array([row] * m, pa.int64()), pa.array([size] * m, pa.int32()), pa.array([n] * m, pa.int64()), pa.array(ranks), pa.array(ranks < k), pa.array(h[at : at + m]), pa.array(s[at : at + m], pa.string())], names=["row_id", "size", "n", "rank", "sketch", "h", "shingle"])
+                    w = hashes.of(text)
+                    for size in (min(words, len(w)),) if of_items else sizes:
+                        h = np.unique(window_hashes(w, size)) if size else w[:0]
+                        n = len(h)
+                        h = h[: sketch_size(n, threshold)] if of_items and n else h
+                        for at in range(0, len(h), 1 << 14):
+                            part = h[at : at + (1 << 14)]
+                            yield pa.RecordBatch.from_arrays([pa.array([row] * len(part), pa.int64()), pa.array([size] * len(part), pa.int32()), pa.array([n] * len(part), pa.int64()), pa.array(part.view(np.int64))], names=["row", "size", "n", "h"])
 
         return run
 
-    keyed = docs.withColumn("row", F.monotonically_increasing_id())
-    names = materialise(keyed.select("row", "doc_id", "text"), "decontaminate-docs")
-    it = items.withColumn("row", F.monotonically_increasing_id())
-    it = materialise(it, "decontaminate-items")
-    ds = materialise(names.select("row", "text").mapInArrow(spread(False), kind), "decontaminate-shingles").alias("d")
-    ts = materialise(it.select("row", "text").mapInArrow(spread(True), kind), "decontaminate-sketches").alias("t")
-    same = F.expr("d.size = t.size and d.h = t.h")
-    pairs = ds.join(ts.where("sketch"), same).where("d.n >= ceil(t.n * %r - 1e-9)" % threshold).select(F.col("d.row_id").alias("drow"), F.col("t.row_id").alias("trow")).distinct()
-    wanted = pairs.join(ts, F.col("trow") == F.col("t.row_id")).select("drow", "trow", F.col("t.size").alias("size"), F.col("t.n").alias("n_item"), F.col("t.shingle").alias("shingle"))
-    hit = wanted.alias("w").join(ds, F.expr("w.drow = d.row_id and w.size = d.size and w.shingle = d.shingle"))
-    counted = hit.groupBy("w.drow", "w.trow", "w.n_item").agg(F.count("*").alias("n_shared")).where(f"n_shared >= ceil(n_item * {threshold!r} - 1e-9)")
-    out = counted.join(names.select("row", "doc_id"), F.col("drow") == F.col("row")).drop("row").join(it.select("row", "item_id"), F.col("trow") == F.col("row"))
-    return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    kind = "row long, size int, n long, h long"
+    ts = materialise(it.select("trow", "item_text").mapInArrow(hashed(True), kind), "decontaminate-sketches").alias("t")
+    sizes = tuple(sorted(r[0] for r in ts.select("t.size").distinct().collect()))
+    ds = names.select("drow", "text").mapInArrow(hashed(False, sizes), kind).alias("d")
+    met = ds.join(ts, F.expr("d.size = t.size and d.h = t.h")).where("d.n >= ceil(t.n * %r - 1e-9)" % threshold)
+    pairs = materialise(met.select(F.col("d.row").alias("drow"), F.col("t.row").alias("trow")).distinct(), "decontaminate-pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            doc, text, item, item_text, drow = (b.column(i).to_pylist() for i in range(5))
+            out = [(row, i, *f) for i, x, k, y, row in zip(doc, text, item, item_text, drow) for f in Index([(k, y)], words, threshold).search(x, hashes)]
+            cols = list(zip(*[(i, k, n, m, m / n) for _, i, k, n, m in out])) if out else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
+
+    both = pairs.join(names, "drow").join(it, "trow").select("doc_id", "text", "item_id", "item_text", "drow")
+    return both.mapInArrow(verify, SCHEMA)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
