@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["pos", "draw", "slots"])
 
     # in an order of their own, so that sums of floats don't depend on how the rows were spread
-    rows = [(r[0], r[1], np.frombuffer(r[2], "<i4")) for r in once.mapInArrow(slots, "pos boolean, draw boolean, slots binary").orderBy(F.xxhash64("slots"), "slots").collect()]
+    got = sorted(once.mapInArrow(slots, "pos boolean, draw boolean, slots binary").collect(), key=lambda r: (bytes(r[2]), r[0], r[1]))
+    rows = [(r[0], r[1], np.frombuffer(r[2], "<i4")) for r in got]
     return fit_slots(names, [x for pos, _, x in rows if pos], [x for _, drawn, x in rows if drawn], prior)
 
 
@@ -217,7 +218,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``.
+
+    Null and empty texts score as a text without words does; null ids and
+    repeated rows are rows of their own; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
