@@ -82,7 +82,7 @@ def format_chats(rows: DataFrame, template: ChatTemplate | None = None, block_tu
     Turns are ordered by turn, then role, then text, so ties and repeated rows
     have a fixed order; null texts and roles are empty, a null turn comes first,
     a null conv_id is a conversation, an empty table gives an empty table, other
-    columns are not read.  A conversation is first put together in
+    columns are not read, so they may have any names.  A conversation is first put together in
     blocks of turns, so a very long one is spread over tasks until its blocks,
     each with the machine's moves from every state, are joined up.
     """

@@ -169,7 +169,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def known_rows(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a known language with a score of ``least``; without a learned language, those with letters."""
+    """The rows of ``docs``, all columns, whose text has a known language with a score of ``least``; without a learned language, those with letters.
+
+    Null, empty and letterless texts go; null ids and repeated rows are rows of
+    their own; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -323,7 +323,12 @@ def pack(tokens: DataFrame, window: int = WINDOW, unit: int = UNIT, shard_tokens
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, **kw) -> DataFrame:
-    """Tokenise and pack: texts are read and encoded once, their ids kept in the shared folder."""
+    """Tokenise and pack: texts are read and encoded once, their ids kept in the shared folder.
+
+    A null text is empty and gives a piece of one token; null ids and repeated
+    rows are documents of their own; an empty table gives no pieces.  A document
+    is one row, so its tokens are in one task, however many they are.
+    """
     return pack(materialise(tokenise(docs, tokenizer_path), "tokens"), **kw)
 
 

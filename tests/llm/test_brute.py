@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import expr as F_expr
 
 from signflow.llm import registry, simhash
 from tests.oracle import connect, same
@@ -69,6 +70,18 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
     assert enc.encode(texts) == [enc._whole(t) for t in texts]
 
 
+def test_op4_fingerprints_by_sql_functions(spark, sf_dir):
+    """Spark's own hash, whose seed is 42 too, over shingles made by SQL functions."""
+    import pyspark.sql.functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("t"))
+    w = F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    h = docs.select("doc_id", w.alias("w")).select("doc_id", F.expr("case when size(w) = 0 then array() when size(w) < 4 then array(xxhash64(array_join(w, ' '))) else transform(sequence(1, size(w) - 3), i -> xxhash64(array_join(slice(w, i, 4), ' '))) end").alias("h"))
+    bits = h.select("doc_id", *[F.expr(f"size(h) > 0 and 2 * size(filter(h, x -> shiftrightunsigned(x, {k}) & 1 = 1)) > size(h)").alias(f"b{k}") for k in range(64)])
+    want = {r.doc_id: sum(r[f"b{k}"] << k for k in range(64)) for r in bits.collect()}
+    assert {r.doc_id: int(r.fingerprint, 16) for r in registry.queries()["op4_simhash"](spark, sf_dir).collect()} == want
+
+
 def test_op4_components_by_all_pairs(spark, sf_dir):
     got = registry.queries()["op4_simhash"](spark, sf_dir).toPandas()
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
@@ -120,6 +133,17 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 300)}}
 
 
+def test_quality_sketches_beyond_their_size_keep_the_rank(spark):
+    """With more items than a sketch keeps, quartiles stay within three hundredths of their rank; merged ones too."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(5, 1, 30_000), rng.exponential(3, 10_000)])
+    df = spark.createDataFrame([(float(v), int(i % 7)) for i, v in enumerate(x)], "v double, g int").repartition(8)
+    part = df.groupBy("g").agg(F_expr("kll_sketch_agg_double(v, 200)").alias("s"))
+    got = part.agg(F_expr("kll_merge_agg_double(s, 200)").alias("s")).select(*[F_expr(f"kll_sketch_get_quantile_double(s, {q}D)").alias(f"q{i}") for i, q in enumerate((0.25, 0.75))]).first()
+    for value, q in zip(got, (0.25, 0.75)):
+        assert abs((x <= value).mean() - q) < 0.03
+
+
 def _held(spark, name, sf):
     return registry.queries()[name](spark, sf).toPandas().query("held_out")
 

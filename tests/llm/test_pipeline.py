@@ -51,3 +51,25 @@ def test_empty_documents_pass_through(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, sf_dir):
+    """Every stage takes null ids, texts and languages, shared ids, repeated rows and columns named as its own work columns are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    some = [r.text for r in docs.collect() if r.lang == "en" and len(r.text) > 200][:2]
+    odd = [(None, None, None, None, None), (None, some[0], "en", None, 1), (7, some[1], None, "a", 2), (7, some[1], None, "a", 2), (7, some[0], "en", "b", 3), (8, "", "en", "a", 0), (9, "word " * 30_000, "en", "a", 5)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    extra = ["score", "node", "words", "fp", "rows", "shard", "group", "h", "row", "__keep"]
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns, name
+        assert docs.exceptAll(before).isEmpty(), name
+    # of the repeated rows and the shared text one is left, and its id is the smallest that is not null
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sum(t == some[0] for _, t in left) <= 1 and sum(t == some[1] for _, t in left) <= 1
+    assert (None, some[0]) not in left and (None, None) not in left
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert pieces.where("start = 0").count() == docs.count()
