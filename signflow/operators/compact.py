@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signflow.functions.storage import fixpoint, store
@@ -116,10 +116,15 @@ def clamped(interventions: DataFrame) -> DataFrame:
     return interventions.groupBy("iv_id", "node").agg(F.bit_or("mask").cast("int").alias("mask"))
 
 
+def _tasks(spark: SparkSession, n: int, each: int) -> int:
+    """Tasks for ``n`` pieces of work, ``each`` to a task, but no fewer tasks than cores while there are pieces."""
+    return max(1, min(n, max(-(-n // each), 2 * spark.sparkContext.defaultParallelism)))
+
+
 def _spread(df: DataFrame, rows_per_task: int = 256) -> DataFrame:
-    """Interventions dealt to tasks by a hash, many small ones to a task."""
-    tasks = max(1, -(-df.select("iv_id").distinct().count() // rows_per_task))
-    return df.withColumn("__task", F.pmod(F.xxhash64("iv_id"), F.lit(tasks)))
+    """Interventions dealt to tasks by a hash, many small ones to a task; they are few bytes and much work, so their tasks are not put together again."""
+    tasks = _tasks(df.sparkSession, df.select("iv_id").distinct().count(), rows_per_task)
+    return df.withColumn("__task", F.pmod(F.xxhash64("iv_id"), F.lit(tasks))).repartition(tasks, "__task")
 
 
 def by_broadcast(arcs: DataFrame, interventions: DataFrame, run: Callable[[Compact, Compact | None, dict], list[tuple]], schema: str, also: DataFrame | None = None) -> DataFrame:
@@ -170,7 +175,8 @@ def by_cone(own: DataFrame, interventions: DataFrame, run: Callable[[list[tuple]
 
     # cones share tasks, but a large one, of bounded size, has its own
     sizes = rows.groupBy("iv_id").agg(F.count("*").alias("n"))
-    tasks = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(_tasks(own.sparkSession, n, 256), total // 100_000)
     placed = rows.join(sizes, "iv_id").withColumn("__task", F.when(F.col("n") > 100_000, F.concat(F.lit("own:"), F.col("iv_id").cast("string"))).otherwise(F.pmod(F.xxhash64("iv_id"), F.lit(tasks)).cast("string"))).drop("n")
-    return placed.groupBy("__task").applyInPandas(task, schema)
+    return placed.repartition(tasks, "__task").groupBy("__task").applyInPandas(task, schema)
 
