@@ -229,6 +229,9 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROW
 
     dealt = materialise(distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean"), "dealt")
     blocks = dealt.groupBy("shard").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(of) / shard_rows)).cast("long").alias(name) for of, name in ((F.col("home"), "home_blocks"), (~F.col("home"), "guest_blocks"))])
+    # one row a shard
+    blocks = materialise(blocks, "blocks")
+    pairs = blocks.agg(F.sum(F.expr("home_blocks * (home_blocks + 1) / 2 + home_blocks * guest_blocks"))).first()[0] or 1
     placed = dealt.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), F.when(F.col("home"), F.col("home_blocks")).otherwise(F.col("guest_blocks"))))
 
     def tasks(of: str, pair: Callable[[Column], Column]) -> Column:
@@ -239,7 +242,9 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROW
     met = tasks("guest_blocks", lambda k: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), k.alias("j")))
     visits = tasks("home_blocks", lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), F.col("block").alias("j")))
     spread = placed.select("shard", "fp", "home", F.explode(F.when(F.col("home"), F.concat(own, met)).otherwise(visits)).alias("at"))
-    return spread.groupBy("shard", "at.kind", "at.i", "at.j").applyInArrow(search, "u long, v long")
+    spread = spread.select("shard", "fp", "home", "at.kind", "at.i", "at.j")
+    # a pair of blocks is few bytes and much work: as many tasks as pairs, up to a bound
+    return spread.repartition(int(min(pairs, 20_000)), "shard", "kind", "i", "j").groupBy("shard", "kind", "i", "j").applyInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -408,14 +413,23 @@ def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, bloc
     words are left out; repeated rows and shared ids are rows of their own; an
     empty table gives an empty table.
     """
+    prof, groups = _groups(docs, words, threshold, block_rows, group_shingles)
+    least = groups.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    of_node = groups.join(least, "group").select("node", "group", "component_id")
+    return prof.select("doc_id", "node").join(of_node, "node")
+
+
+def _groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block_rows: int = 4_096, group_shingles: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, …) of the rows with words, and (node, group, least_id, rows) of each text: its least id, null ids last, and how many rows have it."""
     prof = materialise(_profiles(docs, words), "profiles")
     distinct = materialise(prof.select("node", "n", "sketch").distinct(), "profile-groups")
     likely = materialise(_likely(distinct, threshold, block_rows), "likely")
     sure = materialise(_verified(docs, distinct, components(likely), words, threshold, group_shingles), "sure")
-    roots = components(sure)
-    own = prof.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("group"))
-    own = materialise(own, "groups")
-    return own.join(own.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "node", "group", "component_id")
+    # copies are counted before anything is joined, so a text of many copies is one row
+    ids = prof.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    first = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("x")).select("node", F.col("x.doc_id").alias("least_id"), "x.rows")
+    groups = first.join(components(sure), "node", "left").select("node", F.coalesce("root", "node").alias("group"), "least_id", "rows")
+    return prof, materialise(groups, "groups")
 
 
 def one_per_group(docs: DataFrame, **how) -> DataFrame:
@@ -424,11 +438,9 @@ def one_per_group(docs: DataFrame, **how) -> DataFrame:
     A null id comes after all others.  Where rows of that id and text repeat,
     the least by all its columns stays.  Rows without words stay, each of them.
     """
-    got = similar_groups(docs, **how)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    first = materialise(got.groupBy("group").agg(F.min(order).alias("best")).select("best.doc_id", "best.node"), "firsts")
-    here = first.join(got.select("doc_id", "node"), (first.node == got.node) & first.doc_id.eqNullSafe(got.doc_id)).groupBy(first.doc_id, first.node).agg(F.count("*").alias("rows"))
-    chosen = materialise(here.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.col("rows").alias("__rows")), "chosen")
+    _, groups = _groups(docs, **how)
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node", "rows")).alias("x"))
+    chosen = materialise(best.select(F.col("x.least_id").alias("__id"), F.col("x.node").alias("__node"), F.col("x.rows").alias("__rows")), "chosen")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\x0b\f]")
     key = F.xxhash64("text")
     kept = docs.where(~wordless).withColumn("__key", key)
