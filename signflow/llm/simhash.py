@@ -30,6 +30,8 @@ SEED = 42
 LEVELS = 8
 #: Fingerprints that a shard should hold as its own, and the fewest shards of any input.
 SHARD_ROWS, MIN_SHARDS = 65_536, 8
+#: Fingerprints of a block, of which a search task holds two.
+BLOCK_ROWS = 16_384
 #: Fingerprints looked at to choose vantage points and shell bounds; a bound that does not grow with the input.
 SAMPLE_ROWS = 2_048
 LEAF_PAIRS = 1 << 16
@@ -197,11 +199,11 @@ def shard_links(fp: np.ndarray, home: np.ndarray, vantage: np.ndarray, radius: i
     return links.root(np.arange(len(fp)))
 
 
-def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (u, v) that connect what is linked among distinct fingerprints.
 
     ``distinct`` has one row per fingerprint (fp long).  The rows at home in a
-    shard, and its guests, are cut into blocks of about ``shard_rows`` by a hash;
+    shard, and its guests, are cut into blocks of about ``block_rows`` by a hash;
     a task holds two blocks, whatever a shard holds: two home blocks, or a home
     block and a block of guests.  Of each task a spanning star per group is
     returned, not all its pairs: a group of n takes n - 1 edges and no link
@@ -228,7 +230,7 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROW
         return pa.table({"u": fp[i].view(np.int64), "v": fp[root[i]].view(np.int64)})
 
     dealt = materialise(distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean"), "dealt")
-    blocks = dealt.groupBy("shard").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(of) / shard_rows)).cast("long").alias(name) for of, name in ((F.col("home"), "home_blocks"), (~F.col("home"), "guest_blocks"))])
+    blocks = dealt.groupBy("shard").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(of) / block_rows)).cast("long").alias(name) for of, name in ((F.col("home"), "home_blocks"), (~F.col("home"), "guest_blocks"))])
     # one row a shard
     blocks = materialise(blocks, "blocks")
     pairs = blocks.agg(F.sum(F.expr("home_blocks * (home_blocks + 1) / 2 + home_blocks * guest_blocks"))).first()[0] or 1
@@ -247,7 +249,7 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROW
     return spread.repartition(int(min(pairs, 20_000)), "shard", "kind", "i", "j").groupBy("shard", "kind", "i", "j").applyInArrow(search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: doc_id, fp long, component_id (smallest doc_id reachable).
 
     Copies share a fingerprint and meet once, in a map-side combined
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialise(fingerprints(docs, id_col, text_col, words), "fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(near_links(distinct, radius, shard_rows))
+    roots = components(near_links(distinct, radius, shard_rows, block_rows))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_fp = placed.join(least, "root").select("fp", "component_id")

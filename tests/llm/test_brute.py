@@ -110,7 +110,7 @@ def test_tree_finds_every_link_of_dense_and_sparse_fingerprints(spark):
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
     from signflow.llm.components import components
 
-    roots = {r.node: r.root for r in components(simhash.near_links(df, 4, shard_rows=100)).collect()}
+    roots = {r.node: r.root for r in components(simhash.near_links(df, 4, shard_rows=100, block_rows=60)).collect()}
     up = {int(x): int(x) for x in fp.view(np.int64)}
 
     def find(x):

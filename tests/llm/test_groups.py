@@ -91,4 +91,4 @@ def test_shards_cut_into_blocks_lose_no_link(spark):
             if up[i] != up[j] and (fp[i] ^ fp[j]).bit_count() <= 4:
                 keep, gone = sorted((up[i], up[j]))
                 up = {k: keep if r == gone else r for k, r in up.items()}
-    assert {r.doc_id: r.component_id for r in near_duplicates(docs, shard_rows=40).collect()} == up
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, shard_rows=40, block_rows=15).collect()} == up
