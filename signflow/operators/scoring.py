@@ -177,6 +177,7 @@ def exact_p(tables: DataFrame) -> DataFrame:
 
     Each stratum's hypergeometric law is worked out on Spark as logarithms; laws
     are convolved pairwise, round by round, so that no task gets more than two.
+    Without strata p is 1.
     """
     from math import ceil, lgamma, log2
 
@@ -197,6 +198,8 @@ def exact_p(tables: DataFrame) -> DataFrame:
     schema = "key long, low long, p array<double>, seen long"
     laws = store(numbered(tables.select("a", "b", "c", "d"), "a", "b", "c", "d", name="key").mapInPandas(law, schema), "laws")
     n = laws.count()
+    if not n:
+        return tables.sparkSession.createDataFrame([(0, 1.0)], "strata int, p double")
 
     def two(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")

@@ -295,7 +295,7 @@ one as (select i, r.k, coalesce(x.c, 1) * coalesce(y.c, 1) / z.c as p from u, (s
 law(i, s, p) as (select 0::bigint, 0::bigint, 1.0::double union all select any_value(law.i) + 1, law.s + one.k, sum(law.p * one.p) from law join one on one.i = law.i + 1 group by law.s + one.k)"""
 
 
-@query("strata_exact_p", f"with recursive {EXACT} select (select count(*) from u)::bigint as strata, round(sum(p), 9) as p from law where i = (select max(i) from u) and s >= (select sum(a) from u)")
+@query("strata_exact_p", f"with recursive {EXACT} select (select count(*) from u)::bigint as strata, round(sum(p), 9) as p from law where i = (select coalesce(max(i), 0) from u) and s >= (select coalesce(sum(a), 0) from u)")
 def strata_exact_p(s, d):
     """One exact p over the nations' suppliers."""
     part = D.table(s, d, "supplier").select("s_nationkey", (F.col("s_acctbal") > 5000).alias("abstained"), (F.col("s_suppkey") < 0.5 * F.col("s_acctbal")).alias("wrong"))
