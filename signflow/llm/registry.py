@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signflow.llm import chat, decontaminate, html, langid, licenses, packing, quality, simhash, toxicity, warc
+from signflow.llm import centroids, chat, decontaminate, html, langid, licenses, ngram_join, packing, quality, resample, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_warc": warc.op9_warc,
         "op10_html": html.op10_html,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_ngram_join": ngram_join.op12_ngram_join,
+        "op13_resample": resample.op13_resample,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict:
         "op6_decontaminate": decontaminate.ORACLE,
         "op7_licenses": licenses.ORACLE,
         "op9_warc": warc.ORACLE,
+        "op11_centroids": centroids.ORACLE,
+        "op12_ngram_join": ngram_join.ORACLE,
+        "op13_resample": resample.ORACLE,
     }

@@ -452,9 +452,13 @@ def one_per_group(docs: DataFrame, **how) -> DataFrame:
     return docs.where(wordless).unionByName(single).unionByName(repeated)
 
 
-def _verified(docs: DataFrame, distinct: DataFrame, roots: DataFrame, words: int, threshold: float, group_shingles: int) -> DataFrame:
+def _verified(
+    docs: DataFrame, distinct: DataFrame, roots: DataFrame, words: int, threshold: float, group_shingles: int, sets_of: Callable = shingle_hashes, links_of: Callable = verified_links
+) -> DataFrame:
     """Edges (u, v) that span what pairs with the similarity connect, inside each group of candidates (node, root).
 
+    ``sets_of`` gives a text's sorted shingle hashes, ``links_of`` the pairs among such sets.
+
     Small groups share tasks; of a group of more than ``group_shingles`` each
     two blocks meet in a task, so that a task holds about two blocks' shingles.
     """
@@ -473,7 +477,7 @@ def _verified(docs: DataFrame, distinct: DataFrame, roots: DataFrame, words: int
             new = [i for i, x in enumerate(node) if not (x in seen or seen.add(x))]
             if len(seen) > 1 << 20:
                 seen.clear()
-            h = [shingle_hashes(b.column(1)[i].as_py(), words).tobytes() for i in new]
+            h = [sets_of(b.column(1)[i].as_py(), words).tobytes() for i in new]
             yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array(h, pa.binary())], names=["node", "h"])
 
     texts = _texts(docs).select("node", "raw").join(member.select("node"), "node", "left_semi")
@@ -487,7 +491,7 @@ def _verified(docs: DataFrame, distinct: DataFrame, roots: DataFrame, words: int
         order = np.lexsort((node, root))
         edges = []
         for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            edges += [(int(part[x]), int(part[y])) for x, y in verified_links([h[k] for k in part], home[part], threshold)]
+            edges += [(int(part[x]), int(part[y])) for x, y in links_of([h[k] for k in part], home[part], threshold)]
         pairs = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
