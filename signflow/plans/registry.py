@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["graph_queries", "scoring_queries", "gate_queries", "map_queries", "text_queries"]
+MODULES: list[str] = ["graph_queries", "scoring_queries", "gate_queries", "map_queries", "text_queries", "ontology_queries"]
 
 
 def queries() -> dict:
