@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,6 +35,39 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file, whole or not at all; False if it is there already, whoever else tries at the same time.
+
+    On a local disk a hard link to a finished file decides, elsewhere a rename
+    that doesn't overwrite, which the file system does as one step.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, options)
+        except Exception:
+            if fs.exists(target):
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(draft, False)
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, max_rounds: int = 10_000_000) -> DataFrame:
     """All rows that ``step`` derives from ``seed``, each once.
 

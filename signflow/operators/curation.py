@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signflow.functions.storage import put_if_absent
 from signflow.operators import gates as G
 from signflow.sources.fragments import COLLECTIONS, LEGACY, columns_of, last_of
 
@@ -242,42 +247,99 @@ STATES = {"pending": ("validated", "rejected"), "validated": ("approved", "rejec
 
 
 class Submissions:
-    """Submissions as an append-only table of versions; the last version of an id counts."""
+    """Submissions as a log of numbered commits; the last version of an id counts.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    A commit is a small file that names a folder of rows.  Whoever writes reads
+    the log, checks what it wants against the state, writes the rows and then
+    tries to make the next commit, which only one writer can.  The others read
+    again and check again, so no two changes rest on the same state.  Every
+    ``compact_every`` commits the rows as they stand are put into one folder.
+    """
 
-    def _all(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not jvm.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 50) -> None:
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+
+    def _commits(self) -> list[tuple[int, dict]]:
+        """(number, commit) from the last whole state on."""
+        jvm = self.spark.sparkContext._jvm
+        log = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        fs = log.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(log):
+            return []
+        numbers = sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(log) if re.fullmatch(r"\d+\.json", f.getPath().getName()))
+        out: list[tuple[int, dict]] = []
+        for n in reversed(numbers):
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{n:012d}.json"))
+            commit = json.loads(bytes(stream.readAllBytes()))
+            stream.close()
+            out.append((n, commit))
+            if commit["whole"]:
+                break
+        return out[::-1]
+
+    def _read(self, commits: list[tuple[int, dict]]) -> DataFrame:
+        if not commits:
             return self.spark.createDataFrame([], SUBMISSION)
-        return self.spark.read.schema(SUBMISSION).parquet(self.path)
+        return self.spark.read.schema(SUBMISSION).parquet(*[f"{self.path}/rows/{c['rows']}" for _, c in commits])
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.max_by(F.struct("*"), "version").alias("x")).select("x.*")
 
     def list(self, status: str | None = None) -> DataFrame:
         """Submissions as they stand, the newest first; rows whose contribution isn't JSON are left out."""
-        last = self._all().groupBy("id").agg(F.max_by(F.struct("*"), "version").alias("x")).select("x.*")
-        good = last.where(F.try_parse_json("contribution").isNotNull())
+        good = self._last(self._read(self._commits())).where(F.try_parse_json("contribution").isNotNull())
         return (good.where(F.col("status") == status) if status else good).orderBy(F.desc("created"), "id")
 
+    def _commit(self, change: Callable[[DataFrame], DataFrame], attempts: int = 100) -> None:
+        """Add the rows that ``change`` makes of the state; it is asked again whenever another writer was first."""
+        for _ in range(attempts):
+            commits = self._commits()
+            folder = uuid.uuid4().hex
+            state = self._last(self._read(commits))
+            change(state).write.parquet(f"{self.path}/rows/{folder}")
+            number = commits[-1][0] + 1 if commits else 0
+            if put_if_absent(self.spark, f"{self.path}/log/{number:012d}.json", json.dumps({"rows": folder, "whole": False})):
+                if len(commits) + 1 >= self.compact_every:
+                    self._compact()
+                return
+        raise RuntimeError(f"{attempts} other commits came first")
+
+    def _compact(self) -> None:
+        """One folder for the state; if another writer comes first, a later commit compacts."""
+        commits, folder = self._commits(), uuid.uuid4().hex
+        self._last(self._read(commits)).write.parquet(f"{self.path}/rows/{folder}")
+        put_if_absent(self.spark, f"{self.path}/log/{commits[-1][0] + 1:012d}.json", json.dumps({"rows": folder, "whole": True}))
+
     def add(self, rows: DataFrame) -> None:
-        """New submissions (id, curator, created, title, note, contribution); they are pending.  Unsafe and known ids raise."""
+        """New submissions (id, curator, created, title, note, contribution); they are pending.  Unsafe, repeated and known ids raise."""
         from signflow.functions.text import is_safe_id
 
         if not rows.where(~is_safe_id(F.col("id"))).isEmpty():
             raise ValueError("an id isn't safe in a path")
-        if not rows.join(self._all().select("id"), "id", "left_semi").isEmpty():
-            raise ValueError("an id is known already")
-        rows.select("id", "curator", "created", F.lit("pending").alias("status"), "title", "note", "contribution", F.lit(None).cast("string").alias("review_note"), F.lit(0).cast("long").alias("version")).write.mode("append").parquet(self.path)
+        if not rows.groupBy("id").count().where("count > 1").isEmpty():
+            raise ValueError("an id is there twice")
+
+        def change(state: DataFrame) -> DataFrame:
+            if not rows.join(state.select("id"), "id", "left_semi").isEmpty():
+                raise ValueError("an id is known already")
+            return rows.select("id", "curator", "created", F.lit("pending").alias("status"), "title", "note", "contribution", F.lit(None).cast("string").alias("review_note"), F.lit(0).cast("long").alias("version"))
+
+        self._commit(change)
 
     def move(self, ident: str, status: str, note: str | None = None) -> None:
-        """A submission's next state; states that don't follow raise."""
-        now = self.list().where(F.col("id") == ident).first()
-        if now is None:
-            raise KeyError(ident)
-        if status not in STATES[now.status]:
-            raise ValueError(f"{now.status} doesn't lead to {status}")
-        row = now.asDict() | {"status": status, "review_note": note, "version": now.version + 1}
-        self.spark.createDataFrame([tuple(row[c.split()[0]] for c in SUBMISSION.split(", "))], SUBMISSION).write.mode("append").parquet(self.path)
+        """A submission's next state; states that don't follow raise, also where another writer has moved it meanwhile."""
+
+        def change(state: DataFrame) -> DataFrame:
+            now = state.where(F.col("id") == ident).first()
+            if now is None:
+                raise KeyError(ident)
+            if status not in STATES[now.status]:
+                raise ValueError(f"{now.status} doesn't lead to {status}")
+            row = now.asDict() | {"status": status, "review_note": note, "version": now.version + 1}
+            return self.spark.createDataFrame([tuple(row[c.split()[0]] for c in SUBMISSION.split(", "))], SUBMISSION)
+
+        self._commit(change)
 
 
 def axioms(tables: Tables) -> DataFrame:

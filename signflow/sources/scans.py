@@ -224,20 +224,17 @@ def with_header(sheet: DataFrame, names: list[str]) -> DataFrame:
 
 
 def read_xpt(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Columns of SAS transport files, by name and type, read in pieces by the tasks that hold the files."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
+    """Columns of SAS transport files (a path with wildcards) of one table each, by name and type."""
+    from functools import reduce
 
-        for pdf in frames:
-            for content in pdf.content:
-                for part in pd.read_sas(io.BytesIO(bytes(content)), format="xport", encoding="utf-8", chunksize=10_000):
-                    # the reader gives zero as the smallest number of the format
-                    tiny = part[names].select_dtypes("number").abs() < 1e-78
-                    yield part[names].mask(tiny.reindex(columns=names, fill_value=False), 0.0)
+    from signflow.sources.transport import read_transport
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    if not found:
+        raise FileNotFoundError(path)
+    columns = [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")]
+    return reduce(DataFrame.unionByName, [read_transport(spark, f.getPath().toString()).select(*columns) for f in found])
 
 
 def cached_terms(spark: SparkSession, cache: str, sources: DataFrame, wanted: DataFrame) -> DataFrame | None:
