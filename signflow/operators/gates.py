@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signflow.functions.storage import store
+from signflow.operators.intervals import is_below
 
 #: Scales from fine to coarse, and those of whole organs and more.
 SCALES = ("molecular", "subcellular", "cellular", "tissue", "organ", "organ_system", "organism")
@@ -85,9 +86,9 @@ def scale_inversions(pairs: DataFrame) -> DataFrame:
     return findings(bad, "constitution", "error", _pair("micro", "macro"), F.concat(F.col("micro_scale"), F.lit(" within "), F.col("macro_scale")))
 
 
-def not_part_of(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """Pairs (part, whole) that no chain of part_of steps supports."""
-    bad = pairs.join(closure.select(F.col("src").alias("part"), F.col("dst").alias("whole")), ["part", "whole"], "left_anti")
+def not_part_of(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (part, whole) that no chain of part_of steps (src, dst) supports; by interval labels, without a table of all pairs."""
+    bad = is_below(pairs, edges).where("not below")
     return findings(bad, "part_of", "error", _pair("part", "whole"), F.lit("no part_of path"))
 
 

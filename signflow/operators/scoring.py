@@ -44,18 +44,34 @@ def novel(predicted: DataFrame, observed: DataFrame, keys: list[str]) -> DataFra
     return predicted.where("mask in (1, 2)").join(observed.select(*keys).distinct(), keys, "left_anti")
 
 
-def rank_explanations(candidates: DataFrame, observed: DataFrame, group: str, candidate: str) -> DataFrame:
-    """Candidates per group by agreements less disagreements, then fewer disagreements, then more agreements.
+def rank_explanations(candidates: DataFrame, observed: DataFrame, pool: DataFrame, group: str, candidate: str) -> DataFrame:
+    """(group, candidate, agree, disagree, ambiguous, candidates, rank, unique): the whole pool ranked for each group.
+
+    By agreements less disagreements, then fewer disagreements, then more
+    agreements.  The rank is one more than the number of strictly better
+    candidates of the pool; ``unique`` tells a rank without peers;
+    ``ambiguous`` counts the group's observations that a candidate leaves open.
 
     ``candidates`` (candidate, node, mask) meets ``observed`` (group, node,
-    expected) on the node, never as a product.  The rank is one more than the
-    number of strictly better ones; ``unique`` tells a rank without peers.
+    expected) on the node, never as a product.  The candidates of ``pool``
+    (candidate) that decide none of a group's observations all score zero and
+    share one rank; they are one row without a name, and ``candidates`` says
+    how many they are (1 in all other rows).
     """
     j = observed.join(candidates.where("mask in (1, 2)"), "node").groupBy(group, candidate).agg(F.count_if(F.col("mask") == F.col("expected")).alias("agree"), F.count_if(F.col("mask") != F.col("expected")).alias("disagree"))
+    j = store(j.join(pool.select(candidate).distinct(), candidate, "left_semi"), "scores")
+    size = pool.select(candidate).distinct().count()
+    seen = observed.groupBy(group).agg(F.count("*").alias("observations"))
+    met = j.groupBy(group).agg(F.count("*").alias("met"))
+    silent = seen.join(met, group, "left").select(group, (F.lit(size) - F.coalesce("met", F.lit(0))).alias("candidates")).where("candidates > 0")
+    named = j.select(group, candidate, "agree", "disagree", F.lit(1).cast("long").alias("candidates"))
+    none = F.lit(0).cast("long")
+    every = named.unionByName(silent.select(group, F.lit(None).cast(dict(named.dtypes)[candidate]).alias(candidate), none.alias("agree"), none.alias("disagree"), "candidates"))
     order = [(F.col("agree") - F.col("disagree")).desc(), F.col("disagree").asc(), F.col("agree").desc()]
-    w = Window.partitionBy(group).orderBy(*order)
     peers = Window.partitionBy(group, "agree", "disagree")
-    return j.withColumn("rank", F.rank().over(w)).withColumn("unique", F.count("*").over(peers) == 1)
+    ranked = every.withColumns({"upto": F.sum("candidates").over(Window.partitionBy(group).orderBy(*order)), "peers": F.sum("candidates").over(peers)})
+    ranked = ranked.withColumns({"rank": F.col("upto") - F.col("peers") + 1, "unique": F.col("peers") == 1})
+    return ranked.join(seen, group).select(group, candidate, "agree", "disagree", (F.col("observations") - F.col("agree") - F.col("disagree")).alias("ambiguous"), "candidates", "rank", "unique")
 
 
 def rank_true(candidates: DataFrame, observed: DataFrame, truth: DataFrame, pool: DataFrame, group: str, candidate: str) -> DataFrame:
@@ -248,14 +264,3 @@ def fisher_p(r: Column, n: Column, given: int = 0) -> Column:
     # fixed values: a rational approximation of the complementary error function
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return poly * F.exp(-x * x)
-
-
-def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, dist) of all chosen nodes (node), a < b, over undirected arcs; pairs without a path are left out."""
-    from signflow.functions.signs import PLUS
-    from signflow.operators.paths import bfs, undirected
-
-    und = undirected(pairs).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(PLUS).alias("m"))
-    seeds = nodes.select(F.col("node").alias("iv_id"), "node", F.lit(PLUS).alias("mask"))
-    found = bfs(und, seeds).join(nodes.select("node"), "node", "left_semi").where("iv_id < node")
-    return found.select(F.col("iv_id").alias("a"), F.col("node").alias("b"), "dist")

@@ -9,6 +9,7 @@ from signflow.functions.storage import store
 from signflow.operators import arcs as A
 from signflow.operators import paths as P
 from signflow.operators import reach as R
+from signflow.operators.distances import hop_distances, pairwise
 from signflow.operators import solve as S
 from signflow.sources import derived as D
 from signflow.sources.derived import ALL_SQL, FIRSTS_SQL, FLOW_SQL, INFLUENCES_SQL, LOOPS_SQL, PRODUCTION_SQL, SEEDS_SQL, SOLVED_SQL, times_sql
@@ -264,7 +265,8 @@ BFS = """r(iv_id, node, dist) using key (iv_id, node) as (select iv_id, node, 0
 
 @query("shortest_distance", f"with recursive {ALL_SQL}, {SEEDS_SQL}, {BFS} select iv_id, node, dist::int as dist from r")
 def shortest_distance(s, d):
-    return P.bfs(D.arcs(s, d), D.seeds(s, d)).select("iv_id", "node", "dist")
+    """Hops from the brands' first parts to every part, 64 sources in a long."""
+    return hop_distances(D.arcs(s, d), D.seeds(s, d))
 
 
 SHORTEST = f"""best(iv_id, node, path, mask) using key (iv_id, node) as (select iv_id, node, [node], mask from iv union
@@ -337,9 +339,7 @@ def label_propagation(s, d):
 {BFS.replace('join arc on arc.src', 'join und arc on arc.src')} select iv_id as a, node as b, dist::int as dist from r where iv_id < node and node in (select node from iv)""")
 def pairwise_distance(s, d):
     """Undirected distances between the brands' first parts."""
-    from signflow.operators.scoring import distances
-
-    return distances(D.arcs(s, d), D.seeds(s, d).select("node").distinct())
+    return pairwise(D.arcs(s, d), D.seeds(s, d).select("node").distinct())
 
 
 @query("ancestor_closure", f"""with recursive {CON}, r(src, dst, dist) as (select micro, macro, 1 from con union select r.src, con.macro, dist + 1 from r join con on con.micro = r.dst)

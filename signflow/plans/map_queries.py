@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from signflow.functions.storage import new_path, store
 from signflow.operators import alignment as L
 from signflow.operators import reach as R
+from signflow.operators.intervals import longest_depth
 from signflow.plans.graph_queries import ORDERS
 from signflow.plans.text_queries import _term
 from signflow.sources import derived as D
@@ -30,15 +31,20 @@ def query(name: str, sql: str | None = None):
 
 # --- annotations ----------------------------------------------------------------------
 
-#: Parts are terms, each a kind of the one of half its number; suppliers are annotated with what they sell; orders' lines map terms to nodes.
-TERMS = """steps(src, dst) as (select p_partkey, p_partkey // 2 from part where p_partkey > 0), up(src, dst, dist) as (select src, dst, 1 from steps union all select up.src, steps.dst, dist + 1 from up join steps on steps.src = up.dst),
+#: Parts are terms, each a kind of the one of half its number and, where three divides it, of a third; suppliers are annotated with what they sell; orders' lines map terms to nodes.
+TERMS = """steps(src, dst) as (select p_partkey, p_partkey // 2 from part where p_partkey > 0 union select p_partkey, p_partkey // 3 from part where p_partkey > 0 and p_partkey % 3 = 0), up(src, dst, dist) as (select src, dst, 1 from steps union all select up.src, steps.dst, dist + 1 from up join steps on steps.src = up.dst),
 ann as (select distinct l_suppkey as grp, l_partkey as term from lineitem where l_quantity > 48), map as (select p_partkey as term, p_partkey % 40 as node, (case when p_size > 25 then 1 else 2 end)::int as sign from part where p_size % 5 < 3)"""
 SEEN = "every as (select grp, term from ann union select grp, dst from ann join up on src = term), obs as (select grp, node, min(sign)::int as expected from every join map using (term) group by grp, node having count(distinct sign) = 1)"
 
 
-def _closure(s, d):
+def _steps(s, d):
     k = F.col("p_partkey")
-    return store(R.closure(D.table(s, d, "part").where("p_partkey > 0").select(k.alias("src"), F.floor(k / 2).cast("long").alias("dst"))), "closure")
+    up = F.array_compact(F.array(F.floor(k / 2).cast("long"), F.when(k % 3 == 0, F.floor(k / 3).cast("long"))))
+    return D.table(s, d, "part").where("p_partkey > 0").select(k.alias("src"), F.explode(up).alias("dst")).distinct()
+
+
+def _closure(s, d):
+    return store(R.closure(_steps(s, d)), "closure")
 
 
 def _annotations(s, d):
@@ -84,16 +90,13 @@ def neutral_terms(s, d):
     n = F.col("p_size")
     kind = F.element_at(F.array(F.lit("blood"), F.lit("urine"), F.lit("x")), (n % 7 % 3 + 1).cast("int"))
     names = D.table(s, d, "part").select(F.col("p_partkey").alias("term"), F.when(n % 3 == 0, F.concat_ws(" ", F.lit("Abnormal"), kind, "p_name")).otherwise(F.concat(F.lit("Increased "), "p_name")).alias("name"))
-    c = _closure(s, d)
-    depth = c.groupBy(F.col("src").alias("term")).agg(F.max("dist").alias("depth"))
-    return L.neutral_terms(_term_map(s, d).select("node", "term"), c, names, depth)
+    return L.neutral_terms(_term_map(s, d).select("node", "term"), _closure(s, d), names, longest_depth(_steps(s, d)))
 
 
 @query("term_depth", f"with recursive {TERMS} select p_partkey as term, coalesce(max(dist), 0)::int as depth from part left join up on src = p_partkey group by p_partkey")
 def term_depth(s, d):
     """The longest way from each term up to a root."""
-    c = _closure(s, d).groupBy(F.col("src").alias("term")).agg(F.max("dist").alias("depth"))
-    return D.table(s, d, "part").select(F.col("p_partkey").alias("term")).join(c, "term", "left").select("term", F.coalesce("depth", F.lit(0)).alias("depth"))
+    return D.table(s, d, "part").select(F.col("p_partkey").alias("term")).join(longest_depth(_steps(s, d)), "term", "left").select("term", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 @query("term_candidates")

@@ -13,7 +13,7 @@ from signflow.operators import reach as R
 from signflow.operators import scoring as S
 from signflow.operators import second_order as O
 from signflow.operators.solve import solve
-from signflow.plans.graph_queries import ORDERS, REACH, SHORTEST
+from signflow.plans.graph_queries import CON, ORDERS, REACH, SHORTEST, _constitutive
 from signflow.sources import derived as D
 from signflow.sources.derived import FLOW_SQL, SOLVED_SQL, times_sql
 
@@ -134,7 +134,11 @@ def novel_hits(s, d):
 POOL = "pool as (select node || case mask when 1 then '+' else '-' end as iv_id, node, mask from seq, (values (1), (2)) v(mask) where k <= 3)"
 BACK = f"with recursive {FLOW_SQL}, {POOL}, iv as (select * from pool), {SOLVED_SQL}, {OBS1}"
 JUDGED = f"""{BACK}, j as (select grp, iv_id as candidate, count(*) filter (mask = expected)::bigint as agree, count(*) filter (mask <> expected)::bigint as disagree from obs1 join solved using (node) where mask in (1, 2) group by grp, iv_id),
-ranked as (select *, (rank() over (partition by grp order by agree - disagree desc, disagree, agree desc))::int as rank, count(*) over (partition by grp, agree, disagree) = 1 as "unique" from j)"""
+of_grp as (select grp, count(*) as n from obs1 group by grp), silent as (select grp, (select count(*) from pool) - coalesce(met, 0) as candidates from of_grp left join (select grp, count(*) as met from j group by grp) using (grp)),
+every as (select *, 1 as candidates from j union all select grp, null, 0, 0, candidates from silent where candidates > 0),
+ranked as (select grp, candidate, agree::bigint as agree, disagree::bigint as disagree, (n - agree - disagree)::bigint as ambiguous, candidates::bigint as candidates,
+  (1 + coalesce((select sum(candidates) from every b where b.grp = a.grp and (b.agree - b.disagree, -b.disagree, b.agree) > (a.agree - a.disagree, -a.disagree, a.agree)), 0))::bigint as rank,
+  sum(candidates) over (partition by grp, agree, disagree) = 1 as "unique" from every a join of_grp using (grp))"""
 
 
 def _pool(s, d):
@@ -149,7 +153,8 @@ def _judged(s, d):
 
 @query("rank_explanations", f"{JUDGED} select * from ranked")
 def rank_explanations(s, d):
-    return S.rank_explanations(_judged(s, d), _obs1(s, d), "grp", "candidate")
+    """The whole pool ranked for each customer; candidates that decide none of the customer's orders are one row."""
+    return S.rank_explanations(_judged(s, d), _obs1(s, d), _pool(s, d).select(F.col("iv_id").alias("candidate")), "grp", "candidate")
 
 
 @query("rank_unique_top1", f'{JUDGED} select grp, candidate from ranked where rank = 1 and "unique"')
@@ -240,21 +245,57 @@ def consistency_comparison(s, d):
     return S.prediction_diff(solve(arcs, iv), consistent(arcs, iv), ["iv_id", "node"])
 
 
-@query("subsystem_comparison", f"""{SOLVED}, half as (select * from solved where iv_id in (select c_custkey from customer where c_nationkey < 12)), a as (select * from solved where mask in (1, 2)), b as (select * from half where mask in (1, 2))
-select count(*) filter (b.mask is null)::bigint as lost, count(*) filter (a.mask is null)::bigint as gained, count(*) filter (a.mask <> b.mask)::bigint as flipped, count(*) filter (a.mask = b.mask)::bigint as same from a full join b using (iv_id, node)""")
-def subsystem_comparison(s, d):
-    """The whole graph against the subsystem of some nations' customers, solved by itself."""
-    own = D.sequence(s, d).join(D.table(s, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("cust")), "cust", "left_semi").select("node")
-    from signflow.operators.traces import induced
-
-    arcs, iv = store(D.flow(s, d), "arcs"), D.firsts(s, d)
-    part = solve(induced(arcs, own), iv.join(own, "node", "left_semi").select("iv_id", "node", "mask"))
-    return S.prediction_diff(solve(arcs, iv), part, ["iv_id", "node"])
+#: The same feedback as in the graph with loops joins the components of two: surroundings that share all nodes.
+WITHIN = FLOW_SQL.replace("arc as (", "alone as (", 1) + f""", arc as (select src, dst, bit_or(m)::int as m from (select * from alone union all
+  select b.node, a.node, case b.status when 'F' then 2 when 'O' then 1 else 3 end from seq a join seq b on a.cust = b.cust and b.k = a.k + 1 where b.priority in ('1-URGENT', '2-HIGH')) group by src, dst)"""
 
 
-@query("layer_ablation", f"""with recursive {FLOW_SQL.replace('arc as (', 'every as (', 1)}, {D.FIRSTS_SQL}, arc as (select * from every), {SOLVED_SQL} select count(*) filter (mask in (1, 2))::bigint as determinate, count(*)::bigint as predicted from solved""")
+@query("subsystem_comparison", f"""with recursive {WITHIN}, {D.FIRSTS_SQL}, {SOLVED_SQL}, {FREE}, within as (with recursive {REACH}),
+j as (select k % 2 = 0 as critical, expected, solved.mask as a, within.mask as b from free join seq on seq.node = free.node left join solved on solved.iv_id = grp and solved.node = free.node left join within on within.iv_id = grp and within.node = free.node
+  where free.node in (select src from alone union select dst from alone)),
+g as (select 'all' as "group", * from j union all select 'critical', * from j where critical)
+select "group", count(*)::bigint as total, count(*) filter (a in (1, 2))::bigint as fragment_determinate, count(*) filter (a in (1, 2) and a = expected)::bigint as fragment_correct, count(*) filter (b in (1, 2))::bigint as composed_determinate, count(*) filter (b in (1, 2) and b = expected)::bigint as composed_correct from g group by "group" """)
+def subsystem_comparison(s, d):
+    """The graph of orders by itself, its components exact, and within the graph with more feedback, on the loop engine."""
+    from signflow.operators.ablation import subsystem_comparison as run
+
+    critical = D.sequence(s, d).select("node", (F.col("k") % 2 == 0).alias("critical"))
+    observed = _free(s, d).withColumnRenamed("grp", "iv_id").join(critical, "node")
+    return run(D.flow(s, d), D.flow(s, d, paired=False), D.firsts(s, d), observed, composed_exact_max=0)
+
+
+#: Three layers over customers' orders, all of them forward: influences unless the next order is pending, production two orders on, quantities one order on.
+LAYERS = f"""{D.SEQUENCE_SQL}, step as (select a.node as src, b.node as dst, b.k - a.k as far, b.status as status, case when b.price >= a.price then 1 else 2 end as m, b.priority as priority from seq a join seq b on a.cust = b.cust and b.k - a.k in (1, 2)),
+causal as (select src, dst, m from step where far = 1 and status <> 'P' or far = 2 and priority = '5-LOW'),
+made as (select src, dst, m from step where far = 2), told as (select src, dst, 3 - m as m from step where far = 1),
+cfg as (select unnest(['causal_only', 'causal_production', 'causal_production_quantitative', 'full_evaluated_fragment']) as configuration, unnest([0, 1, 2, 3]) as layers),
+arcs as (select configuration, src, dst, m, 0 as layer from cfg, causal union all select configuration, src, dst, m, 1 from cfg, made where layers >= 1 and (src, dst) not in (select (src, dst) from causal)
+  union all select configuration, src, dst, m, 2 from cfg, told where layers >= 2 and (src, dst) not in (select (src, dst) from causal union select (src, dst) from made))"""
+
+
+@query("layer_ablation", f"""with recursive {LAYERS}, {D.FIRSTS_SQL}, {FREE}, {CON},
+r(configuration, iv_id, node, minus) as (select configuration, iv_id, node, mask - 1 from cfg, iv union (select r.configuration, r.iv_id, a.dst, xor(r.minus, a.m - 1) from r join arcs a on a.configuration = r.configuration and a.src = r.node where not exists (select 1 from iv where iv.iv_id = r.iv_id and iv.node = a.dst)
+  union all select r.configuration, r.iv_id, con.macro, xor(r.minus, con.m - 1) from r join con on con.micro = r.node where r.configuration = 'full_evaluated_fragment')),
+s as (select configuration, iv_id, node, bit_or(minus + 1) as mask from r group by all),
+p as (select configuration, grp, free.node, expected, case when mask in (1, 2) then mask else 3 end as mask from cfg join free on true left join s using (configuration) where s.iv_id = grp and s.node = free.node
+  union all select configuration, grp, free.node, expected, 3 from cfg, free where (configuration, grp, free.node) not in (select (configuration, iv_id, node) from s)),
+ch as (select p.configuration, count(*) filter (p.mask <> f.mask) as changed_pairs, count(*) filter (f.mask < 3 and p.mask = 3) as determinate_to_abstain, count(*) filter (f.mask = 3 and p.mask < 3) as abstain_to_determinate, count(*) filter (f.mask < 3 and p.mask < 3 and p.mask <> f.mask) as sign_flips,
+  count(*) filter (p.mask = p.expected) as correct, count(*) filter (p.mask < 3 and p.mask <> p.expected) as wrong, count(*) filter (p.mask = 3) as abstain from p join p f on f.configuration = 'full_evaluated_fragment' and f.grp = p.grp and f.node = p.node group by p.configuration),
+k as (select configuration, count(*) filter (layer = 0) as causal_arcs, count(*) filter (layer = 1) as production_shadow_arcs, count(*) filter (layer = 2) as quantitative_shadow_arcs from arcs group by configuration)
+select configuration, causal_arcs::bigint as causal_arcs, production_shadow_arcs::bigint as production_shadow_arcs, quantitative_shadow_arcs::bigint as quantitative_shadow_arcs, case when configuration = 'full_evaluated_fragment' then (select count(*) from con) else 0 end::bigint as constitutive_constraints,
+  (select count(*) from s where s.configuration = k.configuration and mask < 3)::bigint as determinate, (select count(*) from s where s.configuration = k.configuration)::bigint as predicted,
+  correct::bigint as correct, wrong::bigint as wrong, abstain::bigint as abstain, changed_pairs::bigint as changed_pairs, determinate_to_abstain::bigint as determinate_to_abstain, abstain_to_determinate::bigint as abstain_to_determinate, sign_flips::bigint as sign_flips from k join ch using (configuration)""")
 def layer_ablation(s, d):
-    return _solved(s, d).agg(F.count_if(F.col("mask").isin(1, 2)).alias("determinate"), F.count("*").alias("predicted"))
+    """Signs solved with one layer after another added, against the full map."""
+    from signflow.operators.ablation import layer_ablation as run
+
+    q = D.sequence(s, d)
+    later = q.select("cust", F.col("k").alias("k2"), F.col("node").alias("dst"), F.col("price").alias("price2"), F.col("status").alias("status2"), F.col("priority").alias("priority2"))
+    step = q.select("cust", F.col("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("far"), F.col("node").alias("src"), "price").withColumn("k2", F.col("k") + F.col("far")).join(later, ["cust", "k2"])
+    step = store(step.select("src", "dst", "far", "status2", "priority2", F.when(F.col("price2") >= F.col("price"), 1).otherwise(2).cast("int").alias("m"), F.lit(0).alias("ord")), "steps")
+    causal = step.where("far = 1 and status2 <> 'P' or far = 2 and priority2 = '5-LOW'")
+    told = step.where("far = 1").withColumn("m", (3 - F.col("m")).cast("int"))
+    return run(causal, step.where("far = 2"), told, _constitutive(s, d), D.firsts(s, d), _free(s, d).withColumnRenamed("grp", "iv_id"))
 
 
 @query("risk_coverage", """with g as (select l_discount as threshold, count(*) as n, count(*) filter (l_returnflag = 'R') as ok from lineitem group by 1),
