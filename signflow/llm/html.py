@@ -2,7 +2,7 @@
 
 Every node of the page's tree has a density: characters per tag, lowered by the
 share of its characters and tags that are links.  A node's density sum adds up
-the densities of its children.  The least density on the way from the node with
+the densities of the blocks right inside it.  The least density on the way from the node with
 the greatest sum up to the body is the threshold, and from the body down, every
 node that reaches it gives its subtree of the greatest sum to the article.
 Where the page marks articles, the density says which of them is meant.
@@ -11,7 +11,7 @@ Where the page marks articles, the density says which of them is meant.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from math import e, log
 
@@ -23,9 +23,9 @@ from signflow.llm.common import table
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that a new element of the same kind, or of the kinds named, closes.
 CLOSES = {
@@ -42,13 +42,17 @@ CLOSES = {
 }
 P_SCOPE = frozenset("table td th caption button object html body".split())
 #: Parts of a page that are never article text.
-DROPPED = frozenset("nav footer aside form button select option input head dialog menu search object embed canvas audio video map".split())
+DROPPED = frozenset("nav footer aside form select option input head dialog menu search object embed canvas audio video map annotation annotation-xml".split())
+#: What a button has to stand in to be a word of a sentence.
+SENTENCE = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption caption summary".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROPPED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|paywall|popup|modal|overlay|share|sharing|social|comments?|commentlist|disqus|respond|sidebar|side-bar|rail|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|related|recommended|recommendations|footer|masthead|skip-link|toolbar|login|signup|tags|widget\w*)(?:$|[\s_-])",
     re.I,
 )
-#: Elements that hold parts of a page, and may be dropped by their names; paragraphs and headings are not.
+#: Whole names, of a container inside the article too, that say advert, consent or reader comments and nothing else.
+FOREIGN_NAMES = frozenset("ad ads advert adverts advertisement advertising ad-slot ad-container sponsored cookie-banner cookie-notice cookie-consent newsletter-signup share-buttons social-share comments reader-comments comment-list commentlist comments-section disqus_thread respond".split())
+#: Elements that hold parts of a page, and may be left out of the densities by their names; paragraphs and headings are not.
 HOLDERS = frozenset("div section ul ol dl table details figure fieldset center ins".split())
 MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 NAME = re.compile(r"[^\s/>]+")
@@ -165,9 +169,33 @@ class Page:
             self._leave(stack)
 
     def text(self) -> str:
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        density, total, drop = self.densities()
+        chosen = self._select(density, total, drop)
+        # inside the article names say little: what is kept from it is told by element, role and the plainest names
+        inside, hide, within = [False] * n, [False] * n, [False] * n
+        for i in range(n):
+            p = parent[i]
+            inside[i] = i in chosen or i > 0 and inside[p]
+            # the article's own header, with its headline or by-line, is part of it; a page's isn't
+            within[i] = i > 0 and within[p] or tag[i] in ("article", "main") or i in chosen and tag[i] not in ("#root", "html", "body", "header")
+            hide[i] = i > 0 and (hide[p] or self._unfit(i) or tag[i] == "header" and not within[p] or tag[i] in HOLDERS and self._named(i, lambda v: any(x.lower() in FOREIGN_NAMES for x in v.split())))
+        blocks, own = [], []
+        for node, text in self.flow:
+            if text is None:
+                if own:
+                    blocks.append("".join(own))
+                    own = []
+            elif inside[node] and not hide[node]:
+                own.append(text)
+        blocks.append("".join(own))
+        done = (SPACE.sub(" ", unescape(b)).strip() for b in blocks)
+        return "\n".join(b for b in done if b)
+
+    def densities(self) -> tuple[list[float], list[float], list[bool]]:
+        """Each node's density and density sum, and whether it takes part in them."""
         tag, parent, n = self.tag, self.parent, len(self.tag)
         drop, link, article = [False] * n, [False] * n, [False] * n
-        headed = {parent[i] for i in range(n) if tag[i] in ("h1", "h2")}
         holds = [t in ("h1", "article", "main") for t in tag]
         for i in range(n - 1, 0, -1):
             holds[parent[i]] |= holds[i]
@@ -175,7 +203,9 @@ class Page:
             p = parent[i]
             link[i] = link[p] or tag[i] == "a"
             article[i] = article[p] or tag[i] in ("article", "main")
-            drop[i] = drop[p] or self._dropped(i, article[p], headed, holds[i])
+            # a layout wrapper named after its sidebar still holds the article; a paragraph's name says nothing
+            named = tag[i] in HOLDERS and not holds[i] and self._named(i, DROPPED_NAMES.search)
+            drop[i] = drop[p] or self._unfit(i) or named or tag[i] == "header" and not article[p] and not holds[i]
         chars, links = [0] * n, [0] * n
         for node, text in self.flow:
             if text and not drop[node]:
@@ -195,44 +225,31 @@ class Page:
         density, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
             if not drop[i] and chars[i]:
-                c, lc, t, lt = chars[i], links[i], max(1, tags[i]), max(1, link_tags[i])
-                base = log(c / max(1, c - lc) * lc + ratio * c + e)
-                density[i] = c / t * max(0.0, log(max(1.0, c / max(1, lc) * t / lt)) / max(log(base) if base > e else 1.0, 1.0))
-                if i:
+                density[i] = text_density(chars[i], links[i], tags[i], link_tags[i], ratio)
+                # bold words, links and the like are their block's text, not parts that it adds up
+                if i and tag[i] in BLOCK:
                     total[parent[i]] += density[i]
-        chosen = self._select(density, total, drop)
-        inside = [False] * n
-        for i in range(n):
-            inside[i] = i in chosen or i > 0 and inside[parent[i]]
-        blocks, own = [], []
-        for node, text in self.flow:
-            if text is None:
-                if own:
-                    blocks.append("".join(own))
-                    own = []
-            elif inside[node] and not drop[node]:
-                own.append(text)
-        blocks.append("".join(own))
-        done = (SPACE.sub(" ", unescape(b)).strip() for b in blocks)
-        return "\n".join(b for b in done if b)
+        return density, total, drop
 
-    def _dropped(self, i: int, in_article: bool, headed: set[int], holds: bool) -> bool:
+    def _unfit(self, i: int) -> bool:
+        """A part that is no article text, by its element or role, or hidden."""
         tag = self.tag[i]
         if tag in RAW or tag in DROPPED:
             return True
-        if tag == "header":
-            # a header of the page goes; an article's own header with its heading stays
-            return not (in_article and i in headed)
-        if self.attrs[i]:
-            for m in ATTR.finditer(self.attrs[i]):
-                name, value = m[1].lower(), (m[2] or "").strip("\"'")
-                # a layout wrapper named after its sidebar still holds the article; a paragraph's name says nothing
-                if name in ("class", "id") and tag in HOLDERS and not holds and DROPPED_NAMES.search(value):
-                    return True
-                if name == "role" and value.lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                    return True
+        if tag == "button":
+            p = self.parent[i]
+            while p and self.tag[p] not in BLOCK and self.tag[p] not in SENTENCE:
+                p = self.parent[p]
+            return self.tag[p] not in SENTENCE
+        for m in ATTR.finditer(self.attrs[i]):
+            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+            if name == "role" and value in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+                return True
         return False
 
+    def _named(self, i: int, told: Callable[[str], object]) -> bool:
+        return any(m[1].lower() in ("class", "id") and told((m[2] or "").strip("\"'")) for m in ATTR.finditer(self.attrs[i]))
+
     def _select(self, density: list[float], total: list[float], drop: list[bool]) -> set[int]:
         """The nodes whose subtrees are the article.
 
@@ -276,6 +293,14 @@ class Page:
         return chosen
 
 
+def text_density(chars: int, link_chars: int, tags: int, link_tags: int, page_ratio: float) -> float:
+    """Characters per tag, lowered by the share of links among characters and tags."""
+    t = max(1, tags)
+    base = log(chars / max(1, chars - link_chars) * link_chars + page_ratio * chars + e)
+    share = log(max(1.0, chars / max(1, link_chars) * t / max(1, link_tags)))
+    return chars / t * max(0.0, share / max(log(base) if base > e else 1.0, 1.0))
+
+
 def main_text(html: str | None) -> str:
     """The article of a page; empty for null, empty and wordless pages."""
     return Page(html).text() if html else ""

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import expr as F_expr
 
-from signflow.llm import registry, simhash
+from signflow.llm import html, registry, simhash
 from tests.oracle import connect, same
 
 
@@ -186,3 +186,90 @@ def test_strategies_fill_the_window_and_shards_keep_every_token():
     assert (seen == 1).all()
     sizes = [sum(n for *_, n in row) for row in out]
     assert sum(256 - x for x in sizes if x & (x - 1)) < 0.02 * 256 * len(sizes)
+
+
+def brute_article(html_text):
+    """The selection by its definitions: densities by walking each subtree, sums over block children, the path's threshold."""
+    g = html.Page(html_text)
+    n = len(g.tag)
+    _, _, drop = g.densities()
+
+    def under(i):
+        out = [i]
+        for j in range(1, n):
+            if j != i and any(a == i for a in ancestors(j)):
+                out.append(j)
+        return out
+
+    def ancestors(j):
+        while j:
+            j = g.parent[j]
+            yield j
+
+    own = {}
+    for node, t in g.flow:
+        if t and not drop[node]:
+            k = len(re.sub(r"\s+", " ", t).strip())
+            linked = any(g.tag[a] == "a" for a in [node, *ancestors(node)])
+            c, lc = own.get(node, (0, 0))
+            own[node] = (c + k, lc + k * linked)
+    subtree = {i: [j for j in under(i) if not drop[j]] for i in range(n) if not drop[i]}
+    chars = {i: [sum(own.get(j, (0, 0))[x] for j in s) for x in (0, 1)] for i, s in subtree.items()}
+    ratio = chars[0][1] / max(1, chars[0][0])
+    density = {i: html.text_density(chars[i][0], chars[i][1], len(s) - 1, sum(g.tag[j] == "a" for j in s if j != i), ratio) if chars[i][0] else 0.0 for i, s in subtree.items()}
+    total = {i: sum(density[j] for j in range(1, n) if g.parent[j] == i and j in density and g.tag[j] in html.BLOCK) for i in density}
+    best = min(density, key=lambda i: (-total[i], i))
+    path = [best, *ancestors(best)]
+    body = next(i for i in range(n) if g.tag[i] == "body")
+    threshold = min(density[i] or density[best] for i in path if i == best or i == body or body in list(ancestors(i)))
+    marked = {i for i in density if g.tag[i] in ("article", "main") and density[i] >= threshold}
+    if up := [i for i in path if i in marked]:
+        return {up[0]}
+    if down := [i for i in marked if best in ancestors(i)]:
+        return {min(down, key=lambda i: (-total[i], i))}
+    chosen = {best}
+    work = [0, body]
+    while work:
+        i = work.pop()
+        if i in density and density[i] >= threshold > 0:
+            # of the subtree the greatest sum, among nodes with text
+            top = min([j for j in subtree[i] if density[j] or j == i], key=lambda j: (-total[j], j))
+            chosen.add(top if total[top] else i)
+            work += [j for j in range(1, n) if g.parent[j] == i and j not in (0, body)]
+    return chosen
+
+
+@pytest.mark.parametrize("renamed", [False, True])
+def test_densities_decide(spark, sf_dir, renamed):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect() if r.html and len(r.html) < 9_000][:60]
+    for x in pages:
+        x = x.replace("<article>", "<div>").replace("</article>", "</div>") if renamed else x
+        g = html.Page(x)
+        density, total, drop = g.densities()
+        cover = lambda ids, g=g: {i for i in range(len(g.tag)) if any(a in ids for a in chain(g, i))}
+        assert cover(g._select(density, total, drop)) == cover(brute_article(x))
+
+
+def chain(g, i):
+    out = [i]
+    while i:
+        i = g.parent[i]
+        out.append(i)
+    return out
+
+
+def test_unmarked_pages_give_the_same_article(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        assert html.main_text(r.html) == html.main_text((r.html or "").replace("<article>", "<div>").replace("</article>", "</div>"))
+
+
+@pytest.mark.parametrize("name", ["social history", "related-work", "tags", "promotion", "rail", "menu of the day", "share-price", "comments-on-kant", "widget-economics", "notice", "banner", "table-of-contents navigation"])
+def test_names_inside_an_article_say_little(name):
+    page = '<body><nav><a href=x>a</a></nav>{open}<h1>Head</h1><p>' + "some words of it " * 20 + f'</p><div class="{name}"><p>KEPT</p></div><p>' + "more words here " * 20 + "</p>{close}</body>"
+    for tag in ("article", "div"):
+        assert "KEPT" in html.main_text(page.replace("{open}", f"<{tag}>").replace("{close}", f"</{tag}>")).split("\n")
+
+
+def test_parts_inside_an_article():
+    page = '<body><header>Site</header><article><header><p>By Someone</p></header><h1>T</h1><p>Press <button>OK</button> now and <math><mi>x</mi><annotation>TeX</annotation></math> go.</p><figure class="promo"><figcaption>Caption</figcaption></figure><form><button>Send</button></form><div class="ad">AD</div><section id="comments"><p>reader</p></section><aside>side</aside><button>Share</button></article><footer>f</footer></body>'
+    assert html.main_text(page) == "By Someone\nT\nPress OK now and x go.\nCaption"
