@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signflow.functions.storage import numbered
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
@@ -84,6 +86,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def within_bytes(df: DataFrame, size: Column, order: Column, most: int) -> DataFrame:
+    """The first rows of ``df`` by ``order`` whose sizes add up to at most ``most``: all of them where they fit."""
+    if (df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) <= most:
+        return df
+    sized = df.withColumns({"__order": order, "__size": size})
+    return numbered(sized, "__order", *df.columns, name="__place", total="__size").where(F.col("__size_before") + F.col("__size") <= most).select(*df.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the quarter of documents kept from all learning."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2

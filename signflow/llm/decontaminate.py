@@ -108,19 +108,34 @@ class Index:
         return found
 
 
+#: Characters that a row of the index counts for besides its text.
+ROW_CHARS = 64
+
+
+def _with_text(items: DataFrame) -> DataFrame:
+    """Items without a text match nothing and stay where they are."""
+    return items.where(F.length("text") > 0)
+
+
+def _cost(items: DataFrame) -> int:
+    """What an index of the items takes, in characters: their texts, and so much for each row."""
+    return items.agg(F.coalesce(F.sum(F.length("text") + ROW_CHARS), F.lit(0))).first()[0]
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, max_index_words: int = MAX_INDEX_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a test item that it contains: doc_id, item_id, n_item, n_shared, containment.
 
     Words are runs of letters, digits and underscores, lower-cased.  An item of
     fewer words than a shingle is one shingle.  Null and wordless texts match
     nothing; repeated rows give repeated pairs; null ids are kept as they are.
-    The items' index is broadcast only below ``max_index_words``; larger sets
-    are searched with a join on sketch hashes.
+    The items' index is broadcast only below ``max_index_words``, rows counted
+    with their texts; larger sets are searched with a join on sketch hashes.
+    Empty tables give no pairs; texts of any length are taken whole; other
+    columns, whatever their names, are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    t = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    size = t.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size <= 8 * max_index_words:
+    t = _with_text(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")))
+    if _cost(t) <= 8 * max_index_words:
         return _indexed(d, t, threshold, words)
     return _joined(d, t, threshold, words)
 
@@ -141,9 +156,8 @@ def _indexed(docs: DataFrame, items: DataFrame, threshold: float, words: int) ->
 
 def clean_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no test item; rows with a null or wordless text stay."""
-    t = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = t.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > 8 * max_index_words:
+    t = _with_text(items.select(F.col("item_id").cast("long").alias("item_id"), "text"))
+    if _cost(t) > 8 * max_index_words:
         # rows are told apart by a key of their own: ids may be null or shared
         keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
         found = _joined(keyed.select(F.col("__row").alias("doc_id"), "text"), t, threshold, words).select(F.col("doc_id").alias("__row")).distinct()

@@ -18,13 +18,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.llm.common import held_out, table
+from signflow.llm.common import held_out, materialise, table, within_bytes
 
 BITS = 15
 #: Rows of each language that the classifier is fitted on, about; it doesn't grow with the corpus.
 ROWS_PER_LANG = 1_000
 #: Rows of all languages together that the classifier is fitted on, about.
 MAX_ROWS = 20_000
+#: Bytes of n-gram counts that the driver gets, whatever the texts' lengths.
+MAX_BYTES = 64 << 20
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 SPACES = re.compile(r"\s+")
@@ -111,12 +113,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs:
     return model
 
 
-def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Learn from text and non-null lang of the rows outside the held-out quarter.
 
     Document frequencies are counted over all those rows; about
     ``rows_per_lang`` rows of each language, and ``max_rows`` of all, drawn by a
-    hash of their id, are sent to the driver as n-gram counts.  Rows that share
+    hash of their id, are sent to the driver as n-gram counts, of at most
+    ``max_bytes``: where long texts pass that, fewer rows of each language are
+    drawn.  Rows that share
     an id and a language count as one, that of the least text; rows with a null
     id, text or lang teach nothing; without rows the model knows no language.
     """
@@ -150,7 +154,10 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_rows: int = M
             cols = [b.column(0), b.column(1), pa.array([g[0].astype("<u2").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<u4").tobytes() for g in got], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "at", "n"])
 
-    got = drawn.mapInArrow(take, "doc_id long, lang string, at binary, n binary").collect()
+    told = materialise(drawn.mapInArrow(take, "doc_id long, lang string, at binary, n binary"), "langid-sample")
+    # a row's place among those drawn of its language, as a share, so that each language gives way alike
+    place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.greatest(share, F.lit(1))
+    got = within_bytes(told, F.octet_length("at") + F.octet_length("n"), place, max_bytes).collect()
     sample = sorted((r for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return fit([(r[1], np.frombuffer(r[2], "<u2"), np.frombuffer(r[3], "<u4")) for r in sample], idf)
 

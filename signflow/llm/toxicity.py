@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.llm.common import held_out, materialise, table
+from signflow.llm.common import held_out, materialise, table, within_bytes
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7)
@@ -30,6 +30,8 @@ MIN_Z = 4.0
 #: Bounds of the samples the classifier is fitted on; they don't grow with the corpus.
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 6_000
+#: Bytes of the sample's distinct words, whatever the texts' lengths.
+MAX_BYTES = 64 << 20
 MAX_FEATURES = 4_096
 THRESHOLD = 0.3
 #: The class prior where no row is labelled.
@@ -152,12 +154,13 @@ def fit_slots(names: list[str], positive: list[np.ndarray], unlabelled: list[np.
     return Model({names[f]: i for i, f in enumerate(kept)}, w.reshape(-1, LEVELS)[kept].ravel(), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES) -> Model:
     """Fit on rows outside the held-out quarter.
 
     The prior is the share of toxic rows among all labelled ones.  Positive ids
     are a sample of at most ``max_positive``, so that they may be broadcast;
-    about ``max_unlabelled`` texts are drawn by a hash of their id.  Rows that
+    about ``max_unlabelled`` texts are drawn by a hash of their id; of both, as
+    many as have words of ``max_bytes`` in all.  Rows that
     share an id count as one, rows with a null id teach nothing; without
     labels, or without texts, the model knows only the prior.  The sample's
     features are counted on Spark; the driver gets the numbers of those that
@@ -187,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             for words in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(sorted({f for w in words.split() for f in word_features(w)}), pa.string())], names=["f"])
 
+    once = within_bytes(once, F.octet_length("words"), F.xxhash64("words"), max_bytes)
     positive = once.where("pos")
     enough = least_texts(positive.count())
     names = [r[0] for r in positive.select("words").mapInArrow(features, "f string").groupBy("f").count().where(F.col("count") >= enough).select("f").orderBy("f").collect()]
