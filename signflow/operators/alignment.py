@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signflow.functions.signs import times
+from signflow.functions.storage import numbered
 from signflow.functions.text import QUALIFIERS, analyte_tokens, direction, has_specific, tokens
 from signflow.operators.gates import containment_join
 from signflow.operators.scoring import drop_conflicts, roll_up, score
@@ -38,9 +39,9 @@ def group_coverage(terms: DataFrame, closure: DataFrame, annotations: DataFrame)
 
 
 def ranked_gaps(terms: DataFrame, coverage: DataFrame, names: DataFrame) -> DataFrame:
-    """(place, term, groups, name) by falling coverage, then name, then term; the list of terms without a node is short."""
-    w = Window.orderBy(F.desc("groups"), "name", "term")
-    return terms.select("term").distinct().join(coverage, "term").join(names.select("term", "name"), "term").select(F.row_number().over(w).alias("place"), "term", "groups", "name")
+    """(place, term, groups, name) by falling coverage, then name, then term; places from 1."""
+    rows = terms.select("term").distinct().join(coverage, "term").join(names.select("term", "name"), "term").select("term", "groups", "name")
+    return numbered(rows, F.desc("groups"), "name", "term").select((F.col("number") + 1).alias("place"), "term", "groups", "name")
 
 
 def candidates(terms: DataFrame, nodes: DataFrame, term_map: DataFrame, closure: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def witnesses(records: DataFrame, axioms: DataFrame, keys: list[str]) -> DataFra
 def entailed(links: DataFrame, closure: DataFrame) -> DataFrame:
     """(src, dst) that follow from existential links under a hierarchy (src, dst): kinds of the source have the link, to the target and to all that it is a kind of."""
     up = closure.select("src", "dst")
-    wide = links.select("src", "dst").unionByName(links.join(up.select(F.col("src").alias("dst"), F.col("dst").alias("more")), "dst").select("src", F.col("more").alias("dst")))
+    wide = links.select("src", "dst").unionByName(links.join(up.select(F.col("src").alias("dst"), F.col("dst").alias("more")), "dst").select("src", F.col("more").alias("dst"))).distinct()
     deep = wide.join(up.select(F.col("dst").alias("src"), F.col("src").alias("kind")), "src").select(F.col("kind").alias("src"), "dst")
     return wide.unionByName(deep).distinct()
 

@@ -93,12 +93,12 @@ def ambiguous_keys(s, d):
 
 
 #: Modulations name an influence, or its ends, or nothing that exists.
-MODULATIONS = "m as (select p_partkey as modulator, case when p_size % 3 = 0 then p_partkey * 2 end as influence_id, p_partkey % 50 as edge_source, p_size as edge_target from part), i as (select l_orderkey as id, l_partkey % 50 as source, l_linenumber as target from lineitem where l_linenumber = 1 or l_quantity > 25)"
+MODULATIONS = "m as (select p_partkey as modulator, case when p_size % 3 = 0 then p_partkey * 10 + 1 end as influence_id, p_partkey % 50 as edge_source, p_size as edge_target from part), i as (select l_orderkey * 10 + l_linenumber as id, l_partkey % 50 as source, l_linenumber as target from lineitem)"
 
 
 def _modulations(s, d):
-    m = D.table(s, d, "part").select(F.col("p_partkey").alias("modulator"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey") * 2).alias("influence_id"), (F.col("p_partkey") % 50).alias("edge_source"), F.col("p_size").alias("edge_target"))
-    i = D.table(s, d, "lineitem").where("l_linenumber = 1 or l_quantity > 25").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("source"), F.col("l_linenumber").alias("target"))
+    m = D.table(s, d, "part").select(F.col("p_partkey").alias("modulator"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey") * 10 + 1).alias("influence_id"), (F.col("p_partkey") % 50).alias("edge_source"), F.col("p_size").alias("edge_target"))
+    i = D.table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 50).alias("source"), F.col("l_linenumber").alias("target"))
     return G.resolved(m, i)
 
 
@@ -252,12 +252,12 @@ def determination_signs(s, d):
     return G.determination_signs(_edges(s, d), G.quantity_kinds(_nodes(s, d), _kinds(s)))
 
 
-QUANT = "q as (select p_partkey::varchar as result, (p_partkey + 1)::varchar as num, (p_partkey + 2)::varchar as den from part where p_size = 7)"
+QUANT = "q as (select p_partkey::varchar as result, (p_partkey + 1)::varchar as num, (p_partkey + 2)::varchar as den from part)"
 
 
 @query("quantity_typing", f"""with {NODES}, {EDGES}, {REGIME}, {QUANT}, qk as (select id, {_QK} as quantity, quality_iri from nodes),
 c as (select reg.*, y.quantity, x.quality_iri as q1, y.quality_iri as q2 from reg join qk x on x.id = micro join qk y on y.id = macro where regime = 'material_constitution'),
-args as (select result, num as node, 'numerator' as role from q union all select result, den, 'denominator' from q), cause as (select distinct l_partkey::varchar as source, (l_partkey - 1)::varchar as target, '-' as sign from lineitem where l_quantity > 25),
+args as (select result, num as node, 'numerator' as role from q union all select result, den, 'denominator' from q), cause as (select distinct l_partkey::varchar as source, (l_partkey - 1)::varchar as target, '-' as sign from lineitem),
 au as (select args.*, sign from args join cause on source = node and target = result),
 rows as (select 'error' as level, node || '>' || result as subject, 'an argument of the ratio is also a cause' as message from (select distinct node, result from au)
 union all select 'error', micro || '>' || macro, 'aggregation into a quantity that is ' || quantity from c where relation = 'aggregation' and quantity not in ('extensive', 'rate')
@@ -274,11 +274,11 @@ def quantity_typing(s, d):
 
 def _quantitative(s, d):
     side = lambda k, role, sign: F.struct((F.col("p_partkey") + k).cast("string").alias("node"), F.lit(role).alias("role"), F.lit(sign).alias("derivative_sign"))
-    return D.table(s, d, "part").where("p_size = 7").select(F.lit("ratio").alias("kind"), F.col("p_partkey").cast("string").alias("result"), F.array(side(1, "numerator", "+"), side(2, "denominator", "-")).alias("arguments"))
+    return D.table(s, d, "part").select(F.lit("ratio").alias("kind"), F.col("p_partkey").cast("string").alias("result"), F.array(side(1, "numerator", "+"), side(2, "denominator", "-")).alias("arguments"))
 
 
 def _causes(s, d):
-    return D.table(s, d, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").cast("string").alias("source"), (F.col("l_partkey") - 1).cast("string").alias("target"), F.lit("-").alias("sign")).distinct()
+    return D.table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("source"), (F.col("l_partkey") - 1).cast("string").alias("target"), F.lit("-").alias("sign")).distinct()
 
 
 _FIELDS = "unnest([{'f': 'entity_iri', 'iri': entity_iri}, {'f': 'quality_iri', 'iri': quality_iri}, {'f': 'bearer_entity_iri', 'iri': bearer_entity_iri}])"
@@ -374,19 +374,19 @@ def entailment_diff(s, d):
 
 
 @query("grouping_classes", f"""with recursive {CON}, r(src, dst) as (select micro, macro from con union select r.src, con.macro from r join con on con.micro = r.dst)
-select dst::bigint as whole, count(distinct src)::bigint as witnesses from r where src in (select l_orderkey from lineitem where l_quantity > 45) group by dst""")
+select dst::bigint as whole, count(distinct src)::bigint as witnesses from r where src in (select l_orderkey from lineitem) group by dst""")
 def grouping_classes(s, d):
     closure = store(R.closure(_constitutive(s, d).select(F.col("micro").alias("src"), F.col("macro").alias("dst"))), "closure")
-    return G.grouping_classes(D.table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("part")), closure)
+    return G.grouping_classes(D.table(s, d, "lineitem").select(F.col("l_orderkey").alias("part")), closure)
 
 
-@query("finalised_edges", f"""with {FLOW_SQL}, remap as (select node as old, node - 1 as new from seq where node % 10 = 1), e as (select src, dst, ([ '+', '-', '?' ])[m] as sign, 'e' || m as evidence from arc),
+@query("finalised_edges", f"""with {FLOW_SQL}, remap as (select node as old, node - node % 3 as new from seq), e as (select src, dst, ([ '+', '-', '?' ])[m] as sign, 'e' || m as evidence from arc),
 r as (select coalesce(x.new, src) as source, coalesce(y.new, dst) as target, sign, evidence from e left join remap x on x.old = src left join remap y on y.old = dst)
 select source, target, case when count(distinct sign) > 1 then '?' else min(sign) end as sign, string_agg(distinct evidence, '  ||  ' order by evidence) as evidence from r where source <> target group by source, target""")
 def finalised_edges(s, d):
-    """Orders merged into the one before by number: one edge a pair, conflicts open, loops gone."""
+    """Orders merged three by three by number: one edge a pair, conflicts open, loops gone."""
     e = D.flow(s, d).select(F.col("src").alias("source"), F.col("dst").alias("target"), _pick(("+", "-", "?"), F.col("m") - 1).alias("sign"), F.concat(F.lit("e"), F.col("m").cast("string")).alias("evidence"))
-    remap = D.sequence(s, d).where("node % 10 = 1").select(F.col("node").alias("old"), (F.col("node") - 1).alias("new"))
+    remap = D.sequence(s, d).select(F.col("node").alias("old"), (F.col("node") - F.col("node") % 3).alias("new"))
     return C.finalised(e, remap)
 
 
@@ -397,10 +397,10 @@ def moved_production(s, d):
     return C.moved_production(e, causal)[0]
 
 
-@query("review_context", """with e as (select distinct l_partkey as s, l_suppkey as t, l_returnflag as g from lineitem), r as (select p_partkey as id from part where p_size = 11),
+@query("review_context", """with e as (select distinct l_partkey as s, l_suppkey as t, l_returnflag as g from lineitem), r as (select p_partkey as id from part),
 i as (select t as id, list_sort(list(distinct s || ' ' || g))[1:5] as x from e group by t), o as (select s as id, list_sort(list(distinct t || ' ' || g))[1:5] as x from e group by s)
 select r.id, coalesce(array_to_string(i.x, ','), '') as incoming, coalesce(array_to_string(o.x, ','), '') as outgoing from r left join i using (id) left join o using (id)""")
 def review_context(s, d):
     e = D.table(s, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("sign"))
-    out = C.review_context(D.table(s, d, "part").where("p_size = 11").select(F.col("p_partkey").alias("id")), e)
+    out = C.review_context(D.table(s, d, "part").select(F.col("p_partkey").alias("id")), e)
     return out.select("id", F.array_join("incoming", ",").alias("incoming"), F.array_join("outgoing", ",").alias("outgoing"))

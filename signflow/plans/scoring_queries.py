@@ -114,13 +114,13 @@ def forward_eval(s, d):
 
 
 @query("soundness_gate", f"""{SCORED} select 'soundness' as gate, 'error' as level, grp || ':' || node as subject, 'predicted the wrong way' as message from scored where status = 'wrong'
-union all select 'soundness', 'error', p_partkey::varchar, 'node ' || p_partkey || ' is unknown' from part where p_partkey not in (select o_orderkey from orders where o_orderkey < 1500)""")
+union all select 'soundness', 'error', (10 * p_partkey)::varchar, 'node ' || 10 * p_partkey || ' is unknown' from part where 10 * p_partkey not in (select o_orderkey from orders)""")
 def soundness_gate(s, d):
-    """Contradicted predictions, and nodes of an index (here: parts' numbers) that the map lacks."""
+    """Contradicted predictions, and nodes of an index (here: tens of parts' numbers) that the map lacks."""
     from signflow.operators.curation import soundness_gate as run
 
-    nodes = D.table(s, d, "orders").where("o_orderkey < 1500").select(F.col("o_orderkey").alias("id"))
-    return run(_pred(s, d), _free(s, d), nodes, D.table(s, d, "part").select(F.col("p_partkey").alias("node")))
+    nodes = D.table(s, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return run(_pred(s, d), _free(s, d), nodes, D.table(s, d, "part").select((F.col("p_partkey") * 10).alias("node")))
 
 
 @query("novel_hits", f"{SOLVED}, {OBS} select iv_id as grp, solved.node, mask from solved where mask in (1, 2) and not exists (select 1 from obs where grp = iv_id and obs.node = solved.node) and not exists (select 1 from iv where iv.iv_id = solved.iv_id and iv.node = solved.node)")
