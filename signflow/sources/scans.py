@@ -170,46 +170,50 @@ def verify_checksums(spark: SparkSession, path: str, expected: DataFrame) -> Dat
     return j.select("name", problem.alias("problem")).where("problem is not null")
 
 
+def workbook_rows(content: bytes) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """(sheet, row, cells) of a workbook's sheets, streamed; sheets and rows count from 1."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    text = lambda e: "".join(t.text or "" for t in e.iter() if t.tag.endswith("}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = [text(e) for e in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot()]
+        sheets = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+        for k, sheet in sheets:
+            place = 0
+            for _, e in ElementTree.iterparse(z.open(sheet)):
+                if not e.tag.endswith("}row"):
+                    continue
+                place = int(e.get("r") or place + 1)
+                cells = {}
+                for c in e:
+                    value = next((v.text or "" for v in c if v.tag.endswith("}v")), None)
+                    if c.get("t") == "s" and value is not None:
+                        value = shared[int(value)]
+                    elif c.get("t") == "inlineStr":
+                        value = text(c)
+                    elif c.get("t") == "b" and value is not None:
+                        value = "TRUE" if value == "1" else "FALSE"
+                    if value is not None:
+                        cells[re.match("[A-Z]+", c.get("r"))[0]] = value
+                yield k, place, cells
+                e.clear()
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, cells): the rows of workbooks' sheets, cells as a map from column letters to text; sheets are streamed, rows and sheets count from 1."""
+    """(path, sheet, row, cells): the rows of workbooks' sheets, cells as a map from column letters to text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import re
-        import zipfile
-        from xml.etree import ElementTree
+        from itertools import batched
 
-        text = lambda e: "".join(t.text or "" for t in e.iter() if t.tag.endswith("}t"))
         for pdf in frames:
             for name, content in zip(pdf.path, pdf.content):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    shared = []
-                    if "xl/sharedStrings.xml" in z.namelist():
-                        shared = [text(e) for e in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot()]
-                    sheets = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
-                    for k, sheet in sheets:
-                        rows, place = [], 0
-                        for _, e in ElementTree.iterparse(z.open(sheet)):
-                            if not e.tag.endswith("}row"):
-                                continue
-                            place = int(e.get("r") or place + 1)
-                            cells = {}
-                            for c in e:
-                                value = next((v.text or "" for v in c if v.tag.endswith("}v")), None)
-                                if c.get("t") == "s" and value is not None:
-                                    value = shared[int(value)]
-                                elif c.get("t") == "inlineStr":
-                                    value = text(c)
-                                elif c.get("t") == "b" and value is not None:
-                                    value = "TRUE" if value == "1" else "FALSE"
-                                if value is not None:
-                                    cells[re.match("[A-Z]+", c.get("r"))[0]] = value
-                            rows.append((name, k, place, cells))
-                            e.clear()
-                            if len(rows) == 1000:
-                                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells"])
-                                rows = []
-                        yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells"])
+                for some in batched(workbook_rows(bytes(content)), 1000):
+                    yield pd.DataFrame([(name, *r) for r in some], columns=["path", "sheet", "row", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet int, row int, cells map<string, string>")
 
