@@ -128,6 +128,18 @@ def documented(predictions: DataFrame, gold: DataFrame, clamps: DataFrame, measu
     return j.groupBy("iv_id").agg(F.count_if(hit).alias("corroborated"), F.count_if(~hit).alias("contradicted"), F.count_if(F.col("signs").isNull()).alias("undocumented"))
 
 
+def paradoxes(pairs: DataFrame, solved: DataFrame, arcs: DataFrame, clamps: DataFrame) -> DataFrame:
+    """(iv_id, node, expected, solved, one_hop, resolved): documented effects that feedback turns round, as the solver and as immediate effects have them.
+
+    ``pairs`` (iv_id, node, expected) are the effects to look at; ``resolved``
+    tells those that the solver gets right and the immediate effect doesn't.
+    """
+    hop = one_hop(arcs, clamps).select("iv_id", "node", F.col("mask").alias("one_hop"))
+    j = pairs.join(solved.select("iv_id", "node", F.col("mask").alias("solved")), ["iv_id", "node"], "left").join(hop, ["iv_id", "node"], "left")
+    right = lambda c: F.coalesce(F.col(c) == F.col("expected"), F.lit(False))
+    return j.select("iv_id", "node", "expected", "solved", "one_hop", (right("solved") & ~right("one_hop")).alias("resolved"))
+
+
 def recall(predictions: DataFrame, gold: DataFrame, clamps: DataFrame) -> DataFrame:
     """Counts over documented pairs (iv_id, node, sign) of one direction: determinate, correct, abstained."""
     g = drop_conflicts(gold.join(clamps.select("iv_id", "node"), ["iv_id", "node"], "left_anti").select("iv_id", "node", F.col("sign").alias("expected")), ["iv_id", "node"], "expected")

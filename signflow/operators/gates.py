@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signflow.functions.storage import store
+from signflow.functions.text import stable_id
 from signflow.operators.intervals import is_below
+from signflow.operators.reach import descendants
 
 #: Scales from fine to coarse, and those of whole organs and more.
 SCALES = ("molecular", "subcellular", "cellular", "tissue", "organ", "organ_system", "organism")
@@ -357,6 +359,30 @@ def grouping_classes(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.select("part").distinct().join(up, "part").groupBy("whole").agg(F.count_distinct("part").alias("witnesses"))
 
 
+def licensed_groupings(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, mode, entity, whole, quality, members): classes of a quality of a whole or its parts, where physiology licenses them.
+
+    ``nodes`` has (id, entity, context, quality, kind, occurrent), ``steps``
+    (part, whole).  An extensive quality composes over part_of; an extensive
+    quality or rate of a process composes for the same process in a part of
+    the same site; intensive qualities don't compose.  A class needs a witness:
+    another node of that quality on a proper part.  Its members are the first
+    node of the whole itself and all on its proper parts.
+    """
+    process = F.col("occurrent") & F.col("kind").isin("extensive", "rate")
+    mode = F.when(process, "process").when(~F.col("occurrent") & (F.col("kind") == "extensive"), "continuant")
+    c = nodes.where("entity is not null and quality is not null").withColumn("mode", mode).where("mode is not null")
+    c = store(c.select("id", "mode", "entity", "quality", F.when(F.col("mode") == "process", F.col("context")).otherwise(F.col("entity")).alias("site"), F.when(F.col("mode") == "process", F.col("entity")).otherwise("").alias("same")).where("site is not null"), "composable")
+    up = steps.select(F.col("part").alias("src"), F.col("whole").alias("dst")).distinct()
+    seeds = c.select(F.col("site").alias("iv_id"), F.col("site").alias("node")).distinct()
+    above = descendants(up, seeds).where("iv_id <> node").select(F.col("iv_id").alias("site"), F.col("node").alias("whole"))
+    wholes = c.groupBy("mode", "same", "quality", F.col("site").alias("whole"), "entity").agg(F.min("id").alias("first"))
+    lower = c.select("id", "mode", "same", "quality", "site").join(above, "site")
+    met = wholes.join(lower, ["mode", "same", "quality", "whole"]).groupBy("mode", "entity", "whole", "quality").agg(F.array_sort(F.array_union(F.collect_set("first"), F.collect_set("id"))).alias("members"))
+    ident = F.concat(F.lit("grouping-"), stable_id(F.col("mode"), F.col("entity"), F.col("whole"), F.col("quality")))
+    return met.select(ident.alias("id"), "mode", "entity", "whole", "quality", "members")
+
+
 def containment_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l_id, r_id): rows of (l_id, tokens) all of whose tokens are among those of (r_id, tokens).
 

@@ -380,6 +380,22 @@ def grouping_classes(s, d):
     return G.grouping_classes(D.table(s, d, "lineitem").select(F.col("l_orderkey").alias("part")), closure)
 
 
+@query("licensed_groupings", """with recursive up(site, whole) as (select 'U:' || p_partkey, p_partkey // 2 from part where p_partkey > 1 union all select site, whole // 2 from up where whole > 1),
+n as (select p_partkey::varchar as id, p_size % 2 = 0 as occurrent, case when p_size % 2 = 0 then 'GO:' || (p_size % 6) else 'U:' || p_partkey end as entity, case when p_size % 7 > 0 then 'U:' || p_partkey end as context, case when p_size % 11 > 0 then 'Q:' || p_type end as quality, (['extensive', 'rate', 'intensive'])[p_size % 3 + 1] as kind from part),
+c as (select id, mode, entity, quality, case mode when 'process' then context else entity end as site, case mode when 'process' then entity else '' end as same from (select *, case when occurrent and kind in ('extensive', 'rate') then 'process' when not occurrent and kind = 'extensive' then 'continuant' end as mode from n where quality is not null) where mode is not null and (mode <> 'process' or context is not null)),
+w as (select mode, same, quality, site as whole, entity, min(id) as first from c group by all), lower as (select c.*, 'U:' || up.whole as whole from c join up using (site)),
+m as (select w.mode, w.entity, w.whole, w.quality, list_sort(list_distinct(list_append(list(lower.id), any_value(first)))) as members from w join lower on lower.mode = w.mode and lower.same = w.same and lower.quality = w.quality and lower.whole = w.whole group by all)
+select 'grouping-' || sha256(mode || chr(31) || entity || chr(31) || whole || chr(31) || quality)[1:20] as id, mode, entity, whole, quality, array_to_string(members, ',') as members from m""")
+def licensed_groupings(s, d):
+    """Classes of a quality of a part or what is below it, where extensive qualities and rates of processes license them."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    p = D.table(s, d, "part")
+    site = F.concat(F.lit("U:"), k.cast("string"))
+    nodes = p.select(k.cast("string").alias("id"), F.when(n % 2 == 0, F.concat(F.lit("GO:"), (n % 6).cast("string"))).otherwise(site).alias("entity"), F.when(n % 7 > 0, site).alias("context"), F.when(n % 11 > 0, F.concat(F.lit("Q:"), "p_type")).alias("quality"), _pick(("extensive", "rate", "intensive"), n % 3).alias("kind"), (n % 2 == 0).alias("occurrent"))
+    steps = p.where("p_partkey > 1").select(site.alias("part"), F.concat(F.lit("U:"), F.floor(k / 2).cast("string")).alias("whole"))
+    return G.licensed_groupings(nodes, steps).withColumn("members", F.array_join("members", ","))
+
+
 @query("finalised_edges", f"""with {FLOW_SQL}, remap as (select node as old, node - node % 3 as new from seq), e as (select src, dst, ([ '+', '-', '?' ])[m] as sign, 'e' || m as evidence from arc),
 r as (select coalesce(x.new, src) as source, coalesce(y.new, dst) as target, sign, evidence from e left join remap x on x.old = src left join remap y on y.old = dst)
 select source, target, case when count(distinct sign) > 1 then '?' else min(sign) end as sign, string_agg(distinct evidence, '  ||  ' order by evidence) as evidence from r where source <> target group by source, target""")

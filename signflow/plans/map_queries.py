@@ -13,7 +13,7 @@ from signflow.plans.text_queries import _term
 from signflow.sources import derived as D
 from signflow.sources import fragments as M
 from signflow.sources import scans
-from signflow.sources.derived import FLOW_SQL, SOLVED_SQL
+from signflow.sources.derived import FLOW_SQL, SOLVED_SQL, times_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,9 +31,9 @@ def query(name: str, sql: str | None = None):
 
 # --- annotations ----------------------------------------------------------------------
 
-#: Parts are terms, each a kind of the one of half its number and, where three divides it, of a third; suppliers are annotated with what they sell; orders' lines map terms to nodes.
+#: Parts are terms, each a kind of the one of half its number and, where three divides it, of a third; orders are annotated with what they hold; orders' lines map terms to nodes.
 TERMS = """steps(src, dst) as (select p_partkey, p_partkey // 2 from part where p_partkey > 0 union select p_partkey, p_partkey // 3 from part where p_partkey > 0 and p_partkey % 3 = 0), up(src, dst, dist) as (select src, dst, 1 from steps union all select up.src, steps.dst, dist + 1 from up join steps on steps.src = up.dst),
-ann as (select distinct l_suppkey as grp, l_partkey as term from lineitem), map as (select p_partkey as term, p_partkey % 40 as node, (case when p_size > 25 then 1 else 2 end)::int as sign from part where p_size % 5 < 3)"""
+ann as (select distinct l_orderkey as grp, l_partkey as term from lineitem), map as (select p_partkey as term, p_partkey % 40 as node, (case when p_size > 25 then 1 else 2 end)::int as sign from part where p_size % 5 < 3)"""
 SEEN = "every as (select grp, term from ann union select grp, dst from ann join up on src = term), obs as (select grp, node, min(sign)::int as expected from every join map using (term) group by grp, node having count(distinct sign) = 1)"
 
 
@@ -48,7 +48,7 @@ def _closure(s, d):
 
 
 def _annotations(s, d):
-    return D.table(s, d, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("term")).distinct()
+    return D.table(s, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("term")).distinct()
 
 
 def _term_map(s, d):
@@ -179,6 +179,29 @@ def documented_recall(s, d):
     return L.recall(solve(D.flow(s, d), iv), _gold(s, d), iv)
 
 
+HOP = f"hop as (select iv_id, arc.dst as node, bit_or({times_sql('iv.mask', 'arc.m')})::int as mask from iv join arc on arc.src = iv.node where not exists (select 1 from iv i2 where i2.iv_id = iv.iv_id and i2.node = arc.dst) group by iv_id, arc.dst)"
+
+
+@query("documented_one_hop", f"with recursive {ORDERS}, {HOP}, {DRUG_GOLD}, {FREE_GOLD.replace('solved', 'hop')} select p.iv_id, count(*) filter (list_contains(signs, mask))::bigint as corroborated, count(*) filter (not list_contains(signs, mask))::bigint as contradicted, count(*) filter (signs is null)::bigint as undocumented from p left join g using (iv_id, node) group by p.iv_id")
+def documented_one_hop(s, d):
+    """Immediate effects alone against documented ones."""
+    arcs, iv = D.flow(s, d), D.firsts(s, d)
+    measurable = D.table(s, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("node"))
+    return L.documented(L.one_hop(arcs, iv), _gold(s, d), iv, measurable)
+
+
+@query("drug_paradoxes", f"""with recursive {ORDERS}, {SOLVED_SQL}, {HOP}, {DRUG_GOLD}, o as (select iv_id, node, min(sign) as expected from gold where not exists (select 1 from iv where iv.iv_id = gold.iv_id and iv.node = gold.node) group by iv_id, node having count(distinct sign) = 1)
+select o.*, solved.mask as solved, hop.mask as one_hop, coalesce(solved.mask = expected, false) and not coalesce(hop.mask = expected, false) as resolved from o left join solved using (iv_id, node) left join hop using (iv_id, node)""")
+def drug_paradoxes(s, d):
+    """Documented effects of one direction beside what the solver and the immediate effects say."""
+    from signflow.operators.scoring import drop_conflicts
+    from signflow.operators.solve import solve
+
+    arcs, iv = store(D.flow(s, d), "arcs"), D.firsts(s, d)
+    free = _gold(s, d).join(iv.select("iv_id", "node"), ["iv_id", "node"], "left_anti").withColumnRenamed("sign", "expected")
+    return L.paradoxes(drop_conflicts(free, ["iv_id", "node"], "expected"), solve(arcs, iv), arcs, iv)
+
+
 # --- tables with each other -----------------------------------------------------------------
 
 
@@ -192,7 +215,8 @@ def outer_merge(s, d):
 @query("first_introducer", "select l_partkey as id, arg_min(l_orderkey, (l_shipdate, l_orderkey)) as owner from lineitem group by l_partkey")
 def first_introducer(s, d):
     """The order that first ships each part."""
-    return D.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("owner"))
+    line = D.table(s, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("owner"), "l_shipdate")
+    return M.first_owner(line, "id", "owner", "l_shipdate")
 
 
 @query("witness_check", "select distinct l_partkey as src, l_suppkey as dst from lineitem where l_returnflag = 'R' and (l_partkey, l_suppkey) not in (select (l_partkey, l_suppkey) from lineitem where l_returnflag = 'A')")
@@ -284,6 +308,53 @@ def manifest_round_trip(s, d):
     return M.operational(M.to_map(got))
 
 
+@query("manifest_document", OPERATIONAL)
+def manifest_document(s, d):
+    """The map written as one JSON document, read as a manifest, adapted to a map, and its operational arcs."""
+    m = _map(s, d)
+    path = new_path(s, "manifest")
+    none = F.array().cast("array<string>").alias("trace_ids")
+    status = F.lit(M.LEGACY).alias("evidence_status")
+    context = F.lit(None).cast("struct<id: string, label: string, kind: string, description: string>").alias("context")
+    whole = s.createDataFrame([("1.0.0", "orders", "a map", "1.2.0")], "schema_version string, name string, description string, projection_version string")
+    inf = m["causal_edges"].select("id", "source", "target", "sign", context, "mechanism", "evidence", "causal_evidence", status, "definitional", none)
+    prod = m["production_edges"].select(F.concat_ws(">", "source", "target").alias("id"), *M.columns_of(M.PRODUCTION), status, none)
+    con = m["constitutive_edges"].select(F.concat_ws(">", "micro", "macro").alias("id"), *M.columns_of(M.CONSTITUTIVE), none)
+    trace = s.createDataFrame([], "trace_id string")
+    M.write_manifest_document({"manifest": whole, "nodes": m["nodes"], "influences": inf, "production_relations": prod, "constitutive_constraints": con, "quantitative_expressions": trace, "modulation": trace, "projection_traces": trace}, path)
+    return M.operational(M.to_map(M.read_manifest(s, path)))
+
+
+#: Influences between consecutive lines of orders with all their fields, and production by suppliers.
+RECORDS = """inf as (select (a.l_orderkey * 10 + a.l_linenumber)::varchar as id, a.l_partkey::varchar as src, b.l_partkey::varchar as dst, case when b.l_extendedprice >= a.l_extendedprice then 1 else 2 end as m,
+    case when b.l_returnflag <> 'N' then b.l_returnflag end as context, b.l_linestatus as mechanism, 'q' || floor(a.l_quantity / 10)::int as evidence, case when a.l_discount >= 0.05 then 'perturbation' end as causal_evidence
+  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1),
+g as (select src, dst, bit_or(m) as all_m, bit_or(m) filter (context is null) as base, bit_or(m) filter (context is not null) as guarded, count(distinct m) as signs, count(distinct mechanism) as n1, min(mechanism) as mechanism, count(distinct evidence) as n2, min(evidence) as evidence, count(distinct causal_evidence) as n3, min(causal_evidence) as causal_evidence,
+  list(id order by id) as ids, list(context order by id, context) filter (context is not null) as contexts, list(id || (['+', '-', '?'])[m] || coalesce(context, '') || mechanism || evidence || coalesce(causal_evidence, '') order by id, m, context nulls first, mechanism, evidence, causal_evidence nulls first) as parallel from inf group by src, dst),
+h as (select *, guarded is not null and not coalesce(base is not null and base <> 3 and guarded = base, false) as loose from g),
+prod as (select distinct l_suppkey::varchar as src, l_partkey::varchar as dst, case when l_discount < 0.05 then 1 else 2 end as m, l_linestatus as mechanism, l_returnflag as production_evidence from lineitem)"""
+
+
+@query("operational_records", f"""with {RECORDS} select src, dst, (case when loose then 3 else all_m end)::int as m, 'causal-influence' as kind, loose or signs > 1 as ambiguous, false as definitional, case when n1 = 1 then mechanism end as mechanism, case when n2 = 1 then evidence end as evidence, case when n3 = 1 then causal_evidence end as causal_evidence, null::varchar as production_evidence,
+  case when len(ids) = 1 then ids[1] end as influence_id, array_to_string(ids, ',') as influence_ids, coalesce(array_to_string(contexts, ','), '') as contexts, array_to_string(parallel, ',') as parallel from h
+union all select src, dst, m, 'production-derived', false, false, mechanism, null, null, production_evidence, null, null, null, null from prod where (src, dst) not in (select (src, dst) from g) qualify row_number() over (partition by src, dst order by m, mechanism, production_evidence) = 1""")
+def operational_records(s, d):
+    """Arcs between parts with unique mechanism, evidence and class, influence ids, contexts and all parallel records."""
+    line = D.table(s, d, "lineitem")
+    nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").cast("string").alias("target"), F.col("l_extendedprice").alias("price2"), F.col("l_returnflag").alias("flag2"), F.col("l_linestatus").alias("mechanism"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    e = line.join(nxt, ["l_orderkey", "l_linenumber"]).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("id"), F.col("l_partkey").cast("string").alias("source"), "target", F.when(F.col("price2") >= F.col("l_extendedprice"), "+").otherwise("-").alias("sign"), F.when(F.col("flag2") != "N", F.col("flag2")).alias("context"),
+        none("context_label"), none("context_kind"), "mechanism", F.concat(F.lit("q"), F.floor(F.col("l_quantity") / 10).cast("string")).alias("evidence"), F.when(F.col("l_discount") >= 0.05, "perturbation").alias("causal_evidence"), F.lit(False).alias("definitional"),
+    )
+    p = line.select(F.col("l_suppkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.when(F.col("l_discount") < 0.05, "+").otherwise("-").alias("sign"), F.col("l_returnflag").alias("production_evidence"), F.col("l_linestatus").alias("mechanism"), none("evidence")).distinct()
+    q = s.createDataFrame([], M.QUANTITATIVE.replace("node: string, role: string, derivative_sign: string", "node string, role string, derivative_sign string"))
+    out = M.operational_records({"causal_edges": e, "production_edges": p, "quantitative_definitions": q})
+    line_of = lambda x: F.concat(x.id, x.sign, F.coalesce(x.context, F.lit("")), x.mechanism, x.evidence, F.coalesce(x.causal_evidence, F.lit("")))
+    text = {"influence_ids": F.array_join("influence_ids", ","), "contexts": F.array_join(F.transform("contexts", lambda x: x.id), ","), "parallel": F.array_join(F.transform("parallel", line_of), ",")}
+    return out.withColumns(text).drop("quantitative_kind", "quantitative_role")
+
+
 @query("ontology_round_trip", f"with {FLOW_SQL} select distinct src::varchar as source, dst::varchar as target, ([ '+', '-', '?' ])[m] as sign from arc")
 def ontology_round_trip(s, d):
     """The influences embedded in an ontology's lines, each witnessed by an axiom."""
