@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signflow.llm.common import table
-from signflow.llm.license_texts import known, openings
+from signflow.llm.license_texts import LONG_TEXTS, known, openings
 
 #: Fixed values: (written form, canonical form) in lower-cased text with its signs, and in single-spaced words.
 SIGNS = (("&", " and "), ("http:", "https:"))
@@ -33,6 +33,10 @@ SPELLINGS = (
 #: A copyright statement: its mark with a year, a sign or a placeholder, up to the line's end or the opening words of a licence.
 COPYRIGHT = r"(?:copyright\s*(?:\(c\)|©|[<\[{]|\d{4})|\(c\)\s*(?:copyright|\d{4}|[<\[])|©|all rights reserved).*?((?:" + "|".join(openings()) + r").*)?$"
 
+#: A line that begins so names a holder without a year, unless one of these words follows, as in licences' own sentences.
+HOLDER = r"^copyright [\p{L}\p{N}]"
+NO_HOLDER = r"^copyright (?:%s)(?: |$)" % "|".join("also and are by disclaimer doctrines for holder holders if in interest interests is law laws license licenses like line notice notices of on or owner owners ownership patent permission protection resulting rights statement statements that the this those to treaty under".split())
+
 #: Rows of known licences up to which their digests are broadcast.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -42,7 +46,8 @@ def canonical_words(line: Column) -> Column:
     x = F.lower(line)
     for written, form in SIGNS:
         x = F.replace(x, F.lit(written), F.lit(form))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, COPYRIGHT, "$1"), r"[^\p{L}\p{N}]+", " "))
+    words = F.trim(F.regexp_replace(F.regexp_replace(x, COPYRIGHT, "$1"), r"[^\p{L}\p{N}]+", " "))
+    return F.when(words.rlike(HOLDER) & ~words.rlike(NO_HOLDER), "").otherwise(words)
 
 
 def spelt(words: Column) -> Column:
@@ -66,13 +71,18 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(licenses: DataFrame) -> DataFrame:
-    """(license_digest, license_id) of (license_id, text) rows; of equal canonical texts the least id stays, empty ones are left out."""
+    """(license_digest, license_id) of (license_id, text[, license_digest]) rows; a given digest counts where there is no text; of equal ones the least id stays, empty texts are left out."""
     whole = canonical_text(canonical_lines(F.col("text")))
-    return licenses.where("license_id is not null").select("license_id", whole.alias("whole")).where("whole <> ''").groupBy(digest(F.col("whole")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+    given = F.col("license_digest") if "license_digest" in licenses.columns else F.lit(None).cast("string")
+    told = licenses.where("license_id is not null").select("license_id", whole.alias("whole"), given.alias("given"))
+    told = told.select("license_id", F.when(F.col("whole") != "", digest(F.col("whole"))).otherwise(F.col("given")).alias("license_digest"))
+    return told.where("license_digest is not null").groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(known(), "license_id string, text string")
+    """(license_id, text, license_digest): texts that are known, and digests of long ones that are known by these alone."""
+    rows = [(i, t, None) for i, t in known()] + [(i, None, d) for i, d in LONG_TEXTS]
+    return spark.createDataFrame(rows, "license_id string, text string, license_digest string")
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -116,14 +126,16 @@ def _oracle() -> str:
             x = f"replace({x}, {quoted(written)}, {quoted(form)})"
         return x
 
-    words = f"trim(regexp_replace(regexp_replace({replaced('lower(x)', SIGNS)}, {quoted(COPYRIGHT)}, '\\1'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    plain = f"trim(regexp_replace(regexp_replace({replaced('lower(x)', SIGNS)}, {quoted(COPYRIGHT)}, '\\1'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    words = f"(case when regexp_matches({plain}, {quoted(HOLDER)}) and not regexp_matches({plain}, {quoted(NO_HOLDER)}) then '' else {plain} end)"
     canon = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: {words}), lambda z: z <> '')"
     whole, one = replaced("array_to_string(lines, ' ')", SPELLINGS), replaced("line", SPELLINGS)
     rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in known())
+    long_rows = ", ".join(f"({quoted(d)}, {quoted(i)})" for i, d in LONG_TEXTS)
     return f"""
 with l(license_id, text) as (values {rows}),
 kl as (select license_id, {canon} as lines from l),
-k as (select sha256({whole}) as dg, min(license_id) as license_id from kl group by 1),
+k as (select dg, min(license_id) as license_id from (select sha256({whole}) as dg, license_id from kl where len(lines) > 0 union all select * from (values {long_rows})) group by dg),
 d as (select doc_id, {canon} as lines from documents),
 n as (select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices
       from (select doc_id, unnest(lines) as line from d) join k on sha256({one}) = dg group by doc_id)

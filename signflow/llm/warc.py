@@ -3,7 +3,7 @@
 The writer's tasks make archives of a bounded size, and the archives of the
 attempts that succeeded are committed together as an index.  The reader streams
 an archive, decompresses member by member, frames each record by its content
-length and verifies its digests.
+length and verifies its digests.  It reads archives of other writers too.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ INDEX = "_index"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
-READ_SCHEMA = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
+READ_SCHEMA = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, record_id string, refers_to_record string, payload binary"
 
 
 def record_id(page_id: int | None) -> str:
@@ -96,6 +96,35 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+def sha1_of(value: str | None) -> str | None:
+    """A labelled SHA-1 digest, in base 32 or hex, as hex; None for another algorithm or none."""
+    label, _, code = (value or "").partition(":")
+    if label.lower() != "sha1":
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{40}", code):
+        return code.lower()
+    if not re.fullmatch(r"[A-Z2-7]{32}", code.upper()):
+        raise ValueError(f"{value} is no SHA-1 digest")
+    return base64.b32decode(code.upper()).hex()
+
+
+def dechunked(body: bytes) -> bytes:
+    """A body of chunks as one; one that isn't cut in chunks, or ends inside one, raises."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        m = re.fullmatch(rb"\s*([0-9a-fA-F]+)\s*(?:;.*)?", body[at:end] if end >= 0 else b"")
+        if not m:
+            raise ValueError("a chunked body is cut off")
+        size, at = int(m[1], 16), end + 2
+        if not size:
+            return b"".join(out)
+        if body[at + size : at + size + 2] != b"\r\n":
+            raise ValueError("a chunked body is cut off")
+        out.append(body[at : at + size])
+        at += size + 2
+
+
 def pages_of(chunks: Iterable[bytes]) -> Iterator[tuple]:
     """The page records of an archive, as rows of READ_SCHEMA; other records are passed over."""
     for raw in members(chunks):
@@ -103,14 +132,19 @@ def pages_of(chunks: Iterable[bytes]) -> Iterator[tuple]:
         kind = fields.get("warc-type")
         if kind not in ("response", "revisit"):
             continue
-        http, _, payload = block.partition(b"\r\n\r\n")
-        size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
-        told = fields["warc-payload-digest"]
-        if kind == "response" and (len(payload) != size or b32_sha1(payload) != told):
-            raise ValueError(f"{fields.get('warc-record-id')}: payload digest differs")
-        digest = base64.b32decode(told.removeprefix("sha1:")).hex()
-        refers = page_of(fields.get("warc-refers-to")) if kind == "revisit" else None
-        yield page_of(fields["warc-record-id"]), kind, size, digest, refers, fields.get("warc-target-uri"), payload if kind == "response" else None
+        name, refers = fields.get("warc-record-id"), fields.get("warc-refers-to") if kind == "revisit" else None
+        http, _, raw_body = block.partition(b"\r\n\r\n")
+        told = sha1_of(fields.get("warc-payload-digest"))
+        length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        size, payload = int(length[1]) if length else None, None
+        if kind == "response":
+            chunked = re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", http)
+            payload = dechunked(raw_body) if chunked else raw_body
+            # a digest may have been taken before or after the chunks were put together
+            if not chunked and size not in (None, len(payload)) or told and told not in (hashlib.sha1(payload).hexdigest(), hashlib.sha1(raw_body).hexdigest()):
+                raise ValueError(f"{name}: payload length or digest differs")
+            size, told = len(payload), hashlib.sha1(payload).hexdigest()
+        yield page_of(name), kind, size, told, page_of(refers), fields.get("warc-target-uri"), name, refers, payload
 
 
 def filesystem(uri: str):
@@ -122,7 +156,7 @@ def filesystem(uri: str):
 
 def _chunks(uri: str) -> Iterator[bytes]:
     store, name = filesystem(uri)
-    with store.open_input_stream(name) as stream:
+    with store.open_input_stream(name, compression=None) as stream:
         while chunk := stream.read(CHUNK):
             yield chunk
 
@@ -138,13 +172,19 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All page records of a folder's archives, streamed: a task holds one record and a bounded batch of rows.
 
-    A folder without archives gives an empty table.
+    Archives of other writers: record ids that aren't pages of this writer give
+    a null ``page_id`` and ``refers_to`` and stand in ``record_id`` and
+    ``refers_to_record``; a chunked response is put together; a response
+    without a payload digest, or with one of another algorithm, gets the SHA-1
+    of what was read; a revisit without digest or length has nulls there.
+    Records of other types are passed over.  A folder without archives gives
+    an empty table.
     """
-    keep = 7 if payloads else 6
+    keep = 9 if payloads else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
-        names = ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "payload")
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+        names = ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "record_id", "refers_to_record", "payload")
         rows: list[tuple] = []
         held = 0
 
@@ -155,7 +195,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             for uri in b.column(0).to_pylist():
                 for row in pages_of(_chunks(uri)):
                     rows.append(row[:keep])
-                    held += len(row[6] or b"") if payloads else 0
+                    held += len(row[8] or b"") if payloads else 0
                     if len(rows) >= 4096 or held > 8_000_000:
                         yield full()
                         rows, held = [], 0
@@ -208,7 +248,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         row, k = next(rows, None), 0
         while row is not None:
             name, n, size = f"pages-{task.partitionId():06d}-{k:04d}-{task.taskAttemptId()}.warc.gz", 0, 0
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 while row is not None and size < archive_bytes:
                     data = member(*row)
                     out.write(data)

@@ -1,6 +1,8 @@
 """Trained models against plain loops, pages without marked articles, wrapped licences, other tokenizers, roles and archives."""
 
+import hashlib
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -184,3 +186,75 @@ def test_archives_are_cut_by_size_and_only_committed_ones_count(spark, tmp_path)
     assert len(files) > 3 and max(f.stat().st_size for f in files) < 2500
     (tmp_path / "w" / "pages-000000-0000-999.warc.gz").write_bytes(warc.member(1, "u", b"of a lost attempt"))
     assert sorted(r.page_id for r in warc.read_archives(spark, path).collect()) == list(range(60))
+
+
+def test_long_licences_are_known(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts here")
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = {n: (folder / n).read_text(errors="replace") for n in want}
+    # without the appendix, in capitals, with other line ends
+    cut = {n: t.split("END OF TERMS AND CONDITIONS")[0] for n, t in texts.items() if "END OF TERMS AND CONDITIONS" in t}
+    rows = [(n, t) for some in (texts, cut, {n: t.upper() for n, t in texts.items()}, {n: t.replace("\n", "\r\n") for n, t in texts.items()}) for n, t in some.items()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).collect()}
+    assert {rows[i][0]: x for i, x in got.items()} == want and all(got[i] == want[n] for i, (n, _) in enumerate(rows))
+
+
+def test_holders_without_a_year(spark):
+    mit = next(t for i, t in licenses.known() if i == "MIT" and len(t) > 100)
+    docs = [(1, "Copyright Example Corp. and other contributors\n\n" + mit), (2, "// Copyright The Authors\n" + mit), (3, "Copyright notice of ours\n" + mit), (4, "copyright\n" + mit)]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    assert got == {1: "MIT", 2: None, 3: None, 4: None}
+
+
+def foreign(kind, ident, http, body, *more):
+    block = http.replace("\n", "\r\n").encode() + b"\r\n\r\n" + body
+    head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"Content-Length: {len(block)}", *more])
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    chunks = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    data = b"".join([
+        foreign("warcinfo", "<urn:uuid:0>", "software: x", b""),
+        foreign("response", "<urn:uuid:1>", "HTTP/1.1 200 OK\nTransfer-Encoding: chunked", chunks, "WARC-Payload-Digest: sha1:" + sha(b"hello world")),
+        foreign("response", "<urn:uuid:2>", "HTTP/1.1 200 OK\nTransfer-Encoding: gzip, chunked", chunks, "WARC-Payload-Digest: " + warc.b32_sha1(chunks)),
+        foreign("response", "<urn:uuid:3>", "HTTP/1.0 200 OK", b"to the end", "WARC-Target-URI: http://x/"),
+        foreign("response", "<urn:uuid:4>", "HTTP/1.1 200 OK\nContent-Length: 3", b"abc", "WARC-Payload-Digest: sha256:00"),
+        foreign("revisit", "<urn:uuid:5>", "HTTP/1.1 304 Not Modified", b"", "WARC-Refers-To: <urn:uuid:3>"),
+        foreign("revisit", "<urn:x-page:6>", "HTTP/1.1 200 OK\nContent-Length: 10", b"", "WARC-Refers-To: <urn:x-page:9>", "WARC-Payload-Digest: " + warc.b32_sha1(b"to the end")),
+    ])
+    (tmp_path / "far.warc.gz").write_bytes(data)
+    got = [tuple(r) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()]
+    whole = b"hello world"
+    assert got == [
+        (None, "response", 11, sha(whole), None, None, "<urn:uuid:1>", None, whole),
+        (None, "response", 11, sha(whole), None, None, "<urn:uuid:2>", None, whole),
+        (None, "response", 10, sha(b"to the end"), None, "http://x/", "<urn:uuid:3>", None, b"to the end"),
+        (None, "response", 3, sha(b"abc"), None, None, "<urn:uuid:4>", None, b"abc"),
+        (None, "revisit", None, None, None, None, "<urn:uuid:5>", "<urn:uuid:3>", None),
+        (6, "revisit", 10, sha(b"to the end"), 9, None, "<urn:x-page:6>", "<urn:x-page:9>", None),
+    ]
+    for body, more in ((chunks[:-9], ()), (b"zz\r\n", ()), (chunks, ("WARC-Payload-Digest: sha1:" + sha(b"other"),))):
+        with pytest.raises(ValueError):
+            list(warc.pages_of([foreign("response", "<a>", "HTTP/1.1 200 OK\nTransfer-Encoding: chunked", body, *more)]))
+    with pytest.raises(ValueError):
+        list(warc.pages_of([foreign("response", "<a>", "HTTP/1.1 200 OK\nContent-Length: 4", b"abc")]))
+
+
+def test_archives_are_gzip_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "x" * 2000 + str(i)) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    (name,) = (tmp_path / "w").glob("*.warc.gz")
+    data, heads = name.read_bytes(), []
+    while data:
+        unpack = zlib.decompressobj(31)
+        heads.append(unpack.decompress(data)[:8])
+        data = unpack.unused_data
+    assert heads == [b"WARC/1.1"] * 5
