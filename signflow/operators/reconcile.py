@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signflow.functions.storage import store
@@ -26,9 +26,8 @@ def classify(proposed: DataFrame, catalog: DataFrame, synonyms: dict[str, str] |
     else the identifiers are the same, or else labels are like; else ``novel``.
     ``match`` is the best of the layer, of equal ones the first id.
 
-    Like labels meet on their rarest letter triples: a pair as close as
-    ``fuzzy`` shares most triples, so of each label only as many of the rarest
-    are used as it could lack, and one more.
+    Like labels meet on their rarest pairs of neighbouring letters (see
+    ``candidates``); the ratio is worked out only for what bounds leave.
     """
     p = store(proposed.select("id", "entity_iri", "quality_iri", normalise_label(F.col("label"), synonyms).alias("norm")), "proposed")
     c = store(catalog.select(F.col("id").alias("match"), F.col("entity_iri").alias("ce"), F.col("quality_iri").alias("cq"), normalise_label(F.col("label"), synonyms).alias("cnorm")), "catalog")
@@ -48,31 +47,57 @@ def classify(proposed: DataFrame, catalog: DataFrame, synonyms: dict[str, str] |
     return out.unionByName(novel)
 
 
-def alike(left: DataFrame, catalog: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
-    """(id, match, score) of labels at least as like as ``fuzzy`` by matching blocks, the best ``REVIEWS`` of each id.
+def _marks(x: str, n: int) -> Column:
+    """Each run of ``n`` characters with the number of its occurrence: of two texts as many are equal as runs can be paired."""
+    runs = F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(F.col(x), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(runs, lambda r, i: F.concat(r, F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda q: q == r)).cast("string")))
 
-    Labels meet on shared letters in place of a product: a pair with ratio r has
-    r / 2 of both lengths in common characters, so it shares one of the rarest
-    of its distinct (character, occurrence) pairs, as many of which are used as
-    the label could lack.
-    """
-    def marks(x: str):
-        # the k-th occurrence of a character is a mark of its own; marks in common bound the matching blocks from above
-        chars = F.split(F.col(x), "")
-        return F.transform(F.filter(chars, lambda c: c != ""), lambda c, i: F.concat(c, F.size(F.filter(F.slice(F.filter(chars, lambda d: d != ""), 1, i + 1), lambda d: d == c)).cast("string")))
 
-    a = left.select(F.col("norm").alias("a")).where("norm <> ''").distinct().withColumn("marks", marks("a"))
-    b = catalog.select(F.col("cnorm").alias("b")).where("cnorm <> ''").distinct().withColumn("marks", marks("b"))
-    often = a.select(F.explode("marks").alias("t")).unionAll(b.select(F.explode("marks"))).groupBy("t").agg(F.count("*").alias("n"))
+def _meet(a: DataFrame, b: DataFrame, marks: str) -> DataFrame:
+    """(a, b) of labels (label, len, marks, need) that share one of the rarest marks of each, of which as many are used as the label could lack and one more."""
+    often = a.select(F.explode(marks).alias("t")).unionAll(b.select(F.explode(marks))).groupBy("t").agg(F.count("*").alias("n"))
 
     def rarest(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.select(name, F.size("marks").alias("len"), F.explode("marks").alias("t")).join(often, "t").groupBy(name, "len").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
-        # a match has at least f = fuzzy / (2 - fuzzy) of the label's own marks
-        lacking = F.floor(F.col("len") * (1 - fuzzy / (2 - fuzzy)) + 1e-9) + 1
-        return ranked.select(name, F.col("len").alias(f"{name}_len"), F.explode(F.slice("r", F.lit(1), F.least(lacking, F.col("len")).cast("int"))).alias("x")).select(name, f"{name}_len", F.col("x.t").alias("t"))
+        ranked = df.select("label", "len", F.col("need"), F.explode(marks).alias("t")).join(often, "t").groupBy("label", "len", "need").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
+        used = F.size("r") - F.greatest("need", F.lit(1)) + 1
+        return ranked.where(used > 0).select(F.col("label").alias(name), F.col("len").alias(f"{name}_len"), F.explode(F.slice("r", F.lit(1), used.cast("int"))).alias("x")).select(name, f"{name}_len", F.col("x.t").alias("t"))
+
+    return rarest(a, "a").join(rarest(b, "b"), "t")
+
+
+def candidates(left: DataFrame, catalog: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
+    """(a, b): the pairs of distinct labels (label each) that may be as like as ``fuzzy``; none that is gets lost.
+
+    A pair of ratio r has M = r / 2 of both lengths in matching blocks.  Blocks
+    are parted by characters that don't match, of which there are la + lb - 2 M,
+    so all but one more than these of the M characters begin a pair of
+    neighbours that both labels have: at least 3 M - (la + lb) - 1 pairs of
+    neighbours are common.  Labels meet on their rarest pairs, and lengths, the
+    number of common pairs of neighbours and of common characters rule out the
+    rest, all of it in SQL.  Labels for which that bound says nothing, very
+    short ones, meet on single characters.
+    """
+    total = lambda x: 2 * x / (2 - fuzzy)  # noqa: E731  the least sum of the lengths of a label of length x and a partner
+    pair_need = lambda x: F.ceil((1.5 * fuzzy - 1) * x - 1 - 1e-9)
+
+    def rows(df: DataFrame) -> DataFrame:
+        d = df.where("label <> ''").distinct().withColumns({"len": F.length("label"), "ones": _marks("label", 1), "twos": _marks("label", 2)})
+        return store(d.withColumns({"need2": pair_need(total(F.col("len"))), "need1": F.ceil(fuzzy / 2 * total(F.col("len")) - 1e-9)}), "labels")
+
+    a, b = rows(left.select("label")), rows(catalog.select("label"))
+    by_two = _meet(a.withColumn("need", F.col("need2")), b.withColumn("need", F.col("need2")), "twos")
+    short = lambda df: df.where("need2 < 1").withColumn("need", F.col("need1"))
+    by_one = _meet(short(a), short(b), "ones")
+    both = F.col("a_len") + F.col("b_len")
+    met = by_two.unionByName(by_one).where(2 * F.least("a_len", "b_len") >= fuzzy * both - 1e-9).select("a", "b").distinct()
+    side = lambda df, name: df.select(F.col("label").alias(name), F.col("len").alias(f"{name}_len"), F.col("ones").alias(f"{name}1"), F.col("twos").alias(f"{name}2"))
+    j = met.join(side(a, "a"), "a").join(side(b, "b"), "b")
+    return j.where((F.size(F.array_intersect("a1", "b1")) >= F.ceil(fuzzy / 2 * both - 1e-9)) & (F.size(F.array_intersect("a2", "b2")) >= pair_need(both))).select("a", "b")
 
-    close = 2 * F.least("a_len", "b_len") >= fuzzy * (F.col("a_len") + F.col("b_len")) - 1e-9
-    pairs = rarest(a, "a").join(rarest(b, "b"), "t").where(close).select("a", "b").distinct()
+
+def alike(left: DataFrame, catalog: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
+    """(id, match, score) of labels at least as like as ``fuzzy`` by matching blocks, the best ``REVIEWS`` of each id; see ``candidates``."""
+    pairs = candidates(left.select(F.col("norm").alias("label")), catalog.select(F.col("cnorm").alias("label")), fuzzy)
 
     def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -81,7 +106,5 @@ def alike(left: DataFrame, catalog: DataFrame, fuzzy: float = FUZZY) -> DataFram
     near = pairs.mapInPandas(ratio, "a string, b string, ratio double").where(F.col("ratio") >= fuzzy)
     j = left.join(near, F.col("norm") == F.col("a")).join(catalog, F.col("cnorm") == F.col("b"))
     score = F.round(F.when(F.col("quality_iri") == F.col("cq"), F.least(F.lit(1.0), F.col("ratio") + SAME_QUALITY)).otherwise(F.col("ratio")), 3)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("id").orderBy(F.desc("score"), "match")
     return j.select("id", "match", score.alias("score")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= REVIEWS).drop("k")
