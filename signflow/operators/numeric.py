@@ -6,10 +6,11 @@ from math import ceil, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signflow.functions.storage import store
+from signflow.functions.text import sign_of
 from signflow.operators.compact import MAX_ARCS, Compact, by_broadcast, cones, small
 
 
@@ -165,6 +166,21 @@ def derivative_rules(expressions: DataFrame) -> DataFrame:
     return x.groupBy("id", "kind").agg(F.count("*").alias("rules"), F.count_if(bad).alias("broken"))
 
 
+def realised_modulations(modulations: DataFrame, trials: int = 16) -> DataFrame:
+    """(id, trials, failed) of modulations (id, sign): the mixed derivative of a product of both variables, by finite differences at points drawn from a hash, against the declared sign."""
+    mu, e = F.when(F.col("sign") == "+", 1.0).otherwise(-1.0), 1e-4
+    at = lambda k, what: 0.1 + 9.9 * F.pmod(F.xxhash64("id", k, F.lit(what)), F.lit(1 << 32)) / F.lit(float(1 << 32))
+
+    def fails(k: Column) -> Column:
+        x, m = at(k, "x"), at(k, "m")
+        f = lambda a, b: mu * (x + a) * (m + b)
+        mixed = (f(e, e) - f(e, -e) - f(-e, e) + f(-e, -e)) / (4 * e * e)
+        return F.coalesce(sign_of(mixed, 1e-5) != F.col("sign"), F.lit(True)) | F.isnan(mixed)
+
+    failed = F.size(F.filter(F.sequence(F.lit(1), F.lit(trials)), fails)).cast("long")
+    return modulations.select("id", F.lit(trials).cast("long").alias("trials"), failed.alias("failed"))
+
+
 def realised(expressions: DataFrame, trials: int = 16, seed: int = 1) -> DataFrame:
     """(id, kind, trials, failed): finite differences of random realisations against the declared derivative signs.
 

@@ -12,7 +12,7 @@ from signflow.operators import reach as R
 from signflow.operators.distances import hop_distances, pairwise
 from signflow.operators import solve as S
 from signflow.sources import derived as D
-from signflow.sources.derived import ALL_SQL, FIRSTS_SQL, FLOW_SQL, INFLUENCES_SQL, LOOPS_SQL, PRODUCTION_SQL, SEEDS_SQL, SOLVED_SQL, times_sql
+from signflow.sources.derived import ALL_SQL, FIRSTS_SQL, FLOW_SQL, INFLUENCES_SQL, LINKED_SQL, LOOPS_SQL, PRODUCTION_SQL, SEEDS_SQL, SOLVED_SQL, times_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -78,6 +78,13 @@ def opposing_pairs(s, d):
 
 #: The graph of orders and one intervention per customer.
 ORDERS = f"{FLOW_SQL}, {FIRSTS_SQL}"
+#: One intervention per nation: the first order by number of its customers is raised.
+NATIONS_SQL = "iv as (select c_nationkey as iv_id, min(o_orderkey) as node, 1 as mask from orders join customer on o_custkey = c_custkey group by c_nationkey)"
+
+
+def _nations(s, d):
+    c = D.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("iv_id"))
+    return D.table(s, d, "orders").join(c, "o_custkey").groupBy("iv_id").agg(F.min("o_orderkey").alias("node")).withColumn("mask", F.lit(1))
 
 
 @query("context_slice", f"with {INFLUENCES_SQL} select src, dst, m, count(*)::bigint as n from inf where context is null or context = 'A' group by src, dst, m")
@@ -165,6 +172,12 @@ def scc_parts(s, d):
     return S.components_of(D.arcs(s, d))
 
 
+@query("scc_joined", f"with recursive {LOOPS_SQL}, {SCC} select node, scc from scc")
+def scc_joined(s, d):
+    """The same by joins alone, as beyond the broadcast bound."""
+    return S.components_of(D.flow(s, d, paired=False), max_arcs=0)
+
+
 @query("largest_scc", f"with recursive {ALL_SQL}, {SCC} select scc, count(*)::bigint as size from scc group by scc qualify row_number() over (order by count(*) desc, scc) = 1")
 def largest_scc(s, d):
     return S.components_of(D.arcs(s, d)).groupBy("scc").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "scc").limit(1)
@@ -213,6 +226,24 @@ def solve_loop(s, d):
     return S.solve(D.flow(s, d, paired=False), D.firsts(s, d), exact_max=0)
 
 
+@query("solve_by_levels", f"with recursive {ORDERS}, {SOLVED_SQL} select * from solved")
+def solve_by_levels(s, d):
+    """The same signs one level of components after another, by joins alone, as for cones beyond a task's bound."""
+    return S.solve(D.flow(s, d), D.firsts(s, d), max_arcs=0, max_cone=0)
+
+
+@query("solve_linked", f"with recursive {LINKED_SQL}, {NATIONS_SQL}, {REACH}")
+def solve_linked(s, d):
+    """Orders linked across customers by the parts they share: one component and cones that grow with the data, found by joins."""
+    return S.solve(D.linked(s, d), _nations(s, d), exact_max=0, max_arcs=0)
+
+
+@query("scc_linked")
+def scc_linked(s, d):
+    """Components of the linked orders, most of them one."""
+    return S.components_of(D.linked(s, d))
+
+
 CUSTOMER, NATION, REGION = 10**12, 2 * 10**12, 3 * 10**12
 CON = f"""con as (select o_orderkey as micro, {CUSTOMER} + o_custkey as macro, case when o_totalprice >= 100000 then 1 else 2 end as m from orders
   union all select {CUSTOMER} + c_custkey, {NATION} + c_nationkey, case when c_acctbal >= 0 then 1 else 2 end from customer union all select {NATION} + n_nationkey, {REGION} + n_regionkey, 1 from nation)"""
@@ -487,22 +518,14 @@ def rewired_guarded(s, d):
     return rewired(D.flow(s, d), 1, rounds=2, acyclic=_constitutive(s, d))
 
 
-def _nations(s, d):
-    """A ring of nations with feedback, and interventions on those of the first region."""
-    n = D.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("r"))
-    ring = n.select("src", ((F.col("src") + 1) % 25).alias("dst"), F.when(F.col("r") < 3, 1).otherwise(2).cast("int").alias("m"))
-    back = n.where("src % 6 = 5").select("src", (F.col("src") - 3).alias("dst"), F.lit(2).alias("m"))
-    return store(ring.unionByName(back), "nations"), n.where("r = 0").select(F.concat(F.lit("n"), F.col("src").cast("string")).alias("iv_id"), F.col("src").alias("node"), F.lit(1).alias("mask"))
-
-
 @query("numeric_validate")
 def numeric_validate(s, d):
-    """Predicted signs against 2,000 sampled stable systems each."""
+    """Every customer's solved signs against 64 sampled stable systems of the customer's orders."""
     from signflow.operators.numeric import sampled_signs, validate
 
-    arcs, iv = _nations(s, d)
+    arcs, iv = store(D.flow(s, d), "arcs"), D.firsts(s, d)
     solved = S.solve(arcs, iv).join(iv.select("iv_id", "node"), ["iv_id", "node"], "left_anti")
-    return validate(solved, sampled_signs(arcs, iv))
+    return validate(solved, sampled_signs(arcs, iv, draws=64, parts=1))
 
 
 @query("induced_subgraph", f"with {ALL_SQL} select src, dst, m from arc where src in (select p_partkey from part where p_size > 25) and dst in (select p_partkey from part where p_size > 25)")

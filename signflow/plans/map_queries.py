@@ -401,6 +401,15 @@ def _expressions(s, d):
     return D.table(s, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind"), F.array(arg("a", "numerator", F.when(n % 3 == 0, "-").otherwise("+")), arg("b", "denominator", F.when(n % 5 == 0, "+").otherwise("-"))).alias("arguments"))
 
 
+@query("realised_modulations", "select l_orderkey, l_linenumber, l_partkey, 16::bigint as trials, (case l_returnflag when 'N' then 16 else 0 end)::bigint as failed from lineitem")
+def realised_modulations(s, d):
+    """Every line's modulation against its mixed derivative; open ones can't hold."""
+    from signflow.operators.numeric import realised_modulations as run
+
+    sign = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "R", "-").otherwise("?")
+    return run(D.table(s, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("id"), sign.alias("sign"))).select("id.*", "trials", "failed")
+
+
 @query("realised_signs", """with x as (select p_partkey as id, (['ratio', 'sum', 'product', 'rate'])[p_size % 4 + 1] as kind, case when p_size % 3 = 0 then '-' else '+' end as s1, case when p_size % 5 = 0 then '+' else '-' end as s2 from part)
 select id, kind, 16::bigint as trials, (case when kind = 'rate' or kind = 'ratio' and s1 = '+' and s2 = '-' or kind in ('sum', 'product') and s1 = '+' and s2 = '+' then 0 else 16 end)::bigint as failed from x""")
 def realised_signs(s, d):

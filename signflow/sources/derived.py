@@ -94,6 +94,18 @@ def flow(spark: SparkSession, sf_dir: str, paired: bool = True) -> DataFrame:
     return s.select(F.inline(F.array_compact(arcs)))
 
 
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, m): the graph of orders with loops, and each part's orders one after another by number.
+
+    Parts link the orders of different customers, so components and cones grow
+    with the data.
+    """
+    w = Window.partitionBy("l_partkey").orderBy("l_orderkey")
+    line = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.max("l_returnflag").alias("flag"))
+    step = line.select(F.col("l_orderkey").alias("src"), F.lead("l_orderkey").over(w).alias("dst"), F.when(F.col("flag") == "R", 2).otherwise(1).cast("int").alias("m")).where("dst is not null")
+    return flow(spark, sf_dir, paired=False).unionByName(step).groupBy("src", "dst").agg(F.bit_or("m").cast("int").alias("m"))
+
+
 SEQUENCE_SQL = "seq as (select o_custkey as cust, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k, o_orderkey as node, o_totalprice as price, o_orderstatus as status, o_orderpriority as priority from orders)"
 _BACK = "case b.status when 'F' then 2 when 'O' then 1 else 3 end"
 _FLOW = SEQUENCE_SQL + """, arc as (select a.node as src, b.node as dst, case when b.price >= a.price then 1 else 2 end as m from seq a join seq b on a.cust = b.cust and b.k = a.k + 1
@@ -103,6 +115,10 @@ FLOW_SQL = _FLOW.format(back=_BACK, where="a.k % 2 = 1")
 LOOPS_SQL = _FLOW.format(back=_BACK, where="b.priority in ('1-URGENT', '2-HIGH')")
 
 
+LINKED_SQL = LOOPS_SQL.replace("arc as (", "own as (", 1) + """, held as (select l_partkey, l_orderkey, max(l_returnflag) as flag from lineitem group by 1, 2),
+arc as (select src, dst, bit_or(m)::int as m from (select src, dst, m from own union all select l_orderkey, lead(l_orderkey) over (partition by l_partkey order by l_orderkey), case when flag = 'R' then 2 else 1 end from held) where dst is not null group by src, dst)"""
+
+
 def firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One intervention per customer: the first order is raised or, of a customer in debt, lowered."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.when(F.col("c_acctbal") >= 0, 1).otherwise(2).cast("int").alias("mask"))
