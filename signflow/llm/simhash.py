@@ -205,7 +205,7 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROW
     ``distinct`` has one row per fingerprint (fp long).  The rows at home in a
     shard, and its guests, are cut into blocks of about ``block_rows`` by a hash;
     a task holds two blocks, whatever a shard holds: two home blocks, or a home
-    block and a block of guests.  Of each task a spanning star per group is
+    block and a block of guests, and searches between them alone.  Of each task a spanning star per group is
     returned, not all its pairs: a group of n takes n - 1 edges and no link
     between different fingerprints is lost.
     """
@@ -243,8 +243,10 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROW
     own = tasks("home_blocks", lambda k: F.struct(F.lit(0).alias("kind"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     met = tasks("guest_blocks", lambda k: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), k.alias("j")))
     visits = tasks("home_blocks", lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), F.col("block").alias("j")))
-    spread = placed.select("shard", "fp", "home", F.explode(F.when(F.col("home"), F.concat(own, met)).otherwise(visits)).alias("at"))
-    spread = spread.select("shard", "fp", "home", "at.kind", "at.i", "at.j")
+    spread = placed.select("shard", "fp", "home", "block", F.explode(F.when(F.col("home"), F.concat(own, met)).otherwise(visits)).alias("at"))
+    # of two home blocks the second visits the first; what lies within a block is searched where it meets itself
+    host = F.when(F.col("at.kind") == 0, (F.col("at.i") == F.col("at.j")) | (F.col("block") == F.col("at.i"))).otherwise(F.col("home"))
+    spread = spread.select("shard", "fp", host.alias("home"), "at.kind", "at.i", "at.j")
     # a pair of blocks is few bytes and much work: as many tasks as pairs, up to a bound
     return spread.repartition(int(min(pairs, 20_000)), "shard", "kind", "i", "j").groupBy("shard", "kind", "i", "j").applyInArrow(search, "u long, v long")
 
