@@ -310,8 +310,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, text, n_chars) of each row's whole page.
 
     Null pages have an empty text; null ids and urls and repeated rows are kept
-    as they are.  Text blocks come in page order, one to a line, with character
-    references decoded and white space made single spaces.
+    as they are; an empty table gives an empty one; pages of any length are
+    read whole, in linear time; other columns are not read.  Text blocks come
+    in page order, one to a line, with character references decoded and white
+    space made single spaces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

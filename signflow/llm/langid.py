@@ -163,7 +163,7 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_rows: int = M
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for each row's whole text; null ids and repeated rows stay, an empty table gives an empty table."""
+    """(doc_id, lang_pred, score) for each row's whole text, however long; null ids and repeated rows stay, an empty table gives an empty table; other columns, whatever their names, are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): whole texts; a null or empty text gets the score of a text without words; null ids and repeated rows stay."""
+    """(doc_id, score): whole texts, however long; a null or empty text gets the score of a text without words; null ids and repeated rows stay; an empty table gives an empty one; other columns, whatever their names, are not read."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

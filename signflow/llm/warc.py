@@ -237,7 +237,8 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     table that Spark commits as a whole, lists the archives of attempts that
     succeeded: a task that runs again, or twice, adds nothing.  Null payloads
     are empty, null ids and urls are kept as such, repeated rows are records of
-    their own, an empty table gives an empty index.
+    their own, payloads of any length are one record, an empty table gives an
+    empty index; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
