@@ -149,14 +149,15 @@ def _held(spark, name, sf):
 
 
 def test_op5_and_op8_on_the_held_out_quarter(spark, sf_dir):
-    sf = sf_dir.replace("sf0.001", "sf0.01")
+    sf = sf_dir.replace("sf0.001", "sf0.1")
     lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas()
     x = _held(spark, "op5_langid", sf).merge(lang, on="doc_id")
-    assert (x.lang == x.lang_pred).mean() > 0.97 and x.score.between(0, 1).all()
+    assert (x.lang == x.lang_pred).mean() > 0.995 and x.score.between(0, 1).all()
     toxic = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").toPandas()
     y = _held(spark, "op8_toxicity", sf).merge(toxic, on="doc_id")
     hit = y[y.predicted == 1]
-    assert (y[y.toxic == 1].predicted == 1).mean() > 0.5 and (hit.toxic == 1).mean() > 0.5
+    # the README's figures are 93 % and 3 of 870
+    assert (y[y.toxic == 1].predicted == 1).mean() > 0.9 and (y[y.toxic == 0].predicted == 1).mean() < 0.01 and (hit.toxic == 1).mean() > 0.95
 
 
 def test_op10_on_pages_of_one_article(spark, sf_dir):
