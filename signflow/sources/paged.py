@@ -134,3 +134,43 @@ def fetch_all(spark: SparkSession, path: str, batch: int = 64, **options) -> Dat
         asked = spark.createDataFrame([(p,) for p in some], "page long")
         asked.join(got, "page", "left").write.mode("append").parquet(path)
     return spark.read.schema(SCHEMA).parquet(path).where(F.col("item").isNotNull())
+
+
+def fetch_keys(keys: DataFrame, path: str, url: str, key: str, items: str = "", batch: int = 50, sep: str = ";", at_once: int = 64, **how) -> DataFrame:
+    """(key, item) of a service that takes lists of keys, kept under ``path``: what is stored isn't fetched again.
+
+    ``keys`` has (key); ``url`` has {keys}, which becomes ``batch`` of them with
+    ``sep`` between; an answer's items stand under the path ``items`` and their
+    own keys under the path ``key``.  Each batch is a request of its own, tried
+    again as ``fetch`` does; ``at_once`` batches are one append, visible whole
+    or not at all.  A key that the service doesn't know is stored without an
+    item, so that it is asked for once.  Null keys are left out.
+    """
+    import pandas as pd
+
+    from signflow.functions.storage import numbered, store
+
+    spark, schema = keys.sparkSession, "key string, item string"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    stored = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    lacking = keys.select(F.col("key").cast("string").alias("key")).where("key is not null").distinct().join(stored.select("key"), "key", "left_anti")
+    dealt = store(numbered(lacking, "key").select("key", F.floor(F.col("number") / batch).alias("batch")), "keys")
+    rounds = -(-dealt.count() // (batch * at_once))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import quote
+
+        for pdf in frames:
+            for some in pdf["keys"]:
+                got = inside(fetch(url.replace("{keys}", sep.join(quote(k, safe="") for k in some)), **how), items)
+                found = {str(inside(x, key)): json.dumps(x, sort_keys=True, ensure_ascii=False) for x in got}
+                yield pd.DataFrame({"key": list(some), "item": [found.get(k) for k in some]})
+
+    for k in range(rounds):
+        part = dealt.where(F.col("batch").between(k * at_once, (k + 1) * at_once - 1)).groupBy("batch").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+        # a request a task
+        part.repartition(at_once, "batch").select("keys").mapInPandas(run, schema).write.mode("append").parquet(path)
+    if rounds or there:
+        return spark.read.schema(schema).parquet(path).where(F.col("item").isNotNull())
+    return stored

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from signflow.functions.storage import put_if_absent
 from signflow.operators.curation import Submissions
-from signflow.sources.paged import fetch_all, read_pages
+from signflow.sources.paged import fetch_all, fetch_keys, read_pages
 from signflow.sources.transport import read_transport
 
 # --- pages ----------------------------------------------------------------------------
@@ -25,6 +25,16 @@ def service():
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
+            if "ids=" in self.path:
+                ids = self.path.split("ids=")[1].split(";")
+                state["asked"].append(ids)
+                if state["down"] & set(ids):
+                    self.send_error(500)
+                    return
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps({"found": [{"of": {"id": int(i)}, "x": "ü"} for i in reversed(ids) if i.isdigit()]}).encode())
+                return
             offset = int(self.path.split("offset=")[1])
             state["asked"].append(offset)
             if offset in state["refused"]:
@@ -78,6 +88,22 @@ def test_a_stopped_fetch_goes_on(spark, service, tmp_path):
     assert fetch_all(spark, path, batch=2, **service["options"]).count() == 45 and service["asked"] == [0]
 
 
+def test_keys_are_fetched_once(spark, service, tmp_path):
+    path, how = f"file://{tmp_path}/keys", {"url": service["options"]["url"].split("?")[0] + "?ids={keys}", "key": "of.id", "items": "found", "batch": 3, "at_once": 2, "retries": 1, "backoff": 0.01}
+    keys = spark.createDataFrame([(str(i),) for i in range(11)] + [("zz",), (None,), ("3",)], "key string")
+    service["down"] = {"9"}
+    with pytest.raises(Exception, match="500"):
+        fetch_keys(keys, path, **how)
+    # batches of three in order of the keys, as text: the first two were stored together
+    service["down"], service["asked"] = set(), []
+    got = fetch_keys(keys, path, **how)
+    assert {(r.key, r.item) for r in got.collect()} == {(str(i), f'{{"of": {{"id": {i}}}, "x": "ü"}}') for i in range(11)}
+    assert sorted(x for ids in service["asked"] for x in ids) == ["5", "6", "7", "8", "9", "zz"] and all(len(ids) <= 3 for ids in service["asked"])
+    service["asked"] = []
+    assert fetch_keys(keys, path, **how).count() == 11 and service["asked"] == []
+    assert fetch_keys(keys.where("false"), f"file://{tmp_path}/none", **how).count() == 0
+
+
 def test_pages_of_files(spark, tmp_path):
     for i, page in enumerate([[1, 2], [], [3]]):
         (tmp_path / f"p{i + 1}.json").write_text(json.dumps(page))
