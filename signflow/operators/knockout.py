@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,36 +41,63 @@ def in_largest(rows: DataFrame, sccs: DataFrame) -> DataFrame:
     return rows.join(inside, "node", "left").withColumn("in_largest", F.coalesce("in_largest", F.lit(False)))
 
 
-@dataclass
 class Knockout:
-    predicted: DataFrame
-    phenotypes: DataFrame
-    affected: DataFrame
-    summary: DataFrame
-    errors: DataFrame
-    gains: DataFrame | None = None
-    synergies: DataFrame | None = None
-
-
-def knockout(arcs: DataFrame, interventions: DataFrame, index: DataFrame, neutral: DataFrame | None = None, constitutive: DataFrame | None = None, modulations: DataFrame | None = None, nodes: DataFrame | None = None) -> Knockout:
-    """The report of each intervention on solved signs, of one clamp or several.
+    """The report of each intervention on solved signs, of one clamp or several; what isn't asked for isn't worked out.
 
     An intervention that clamps an unknown node becomes an error row.  Clamps
     are not phenotypes of themselves.  With ``modulations``, gain changes and
-    synergies follow from the same solution.
+    synergies follow from the same solution; without, these are None.
     """
-    known = nodes.select("node") if nodes is not None else arcs.select(F.col("src").alias("node")).union(arcs.select("dst"))
-    bad = interventions.join(known.distinct(), "node", "left_anti")
-    errors = bad.groupBy("iv_id").agg(F.concat(F.lit("unknown nodes: "), F.array_join(F.array_sort(F.collect_set(F.col("node").cast("string"))), ", ")).alias("error"))
-    good = interventions.join(bad.select("iv_id").distinct(), "iv_id", "left_anti")
-    predicted = store(solve(arcs, good, constitutive), "predicted")
-    moved = predicted.join(good.select("iv_id", "node"), ["iv_id", "node"], "left_anti")
-    sccs = store(components_of(arcs), "sccs")
-    hits = in_largest(phenotypes(moved, first_terms(index)), sccs)
-    open_ = in_largest(affected(moved, index, neutral), sccs)
-    summary = good.select("iv_id").distinct().join(predicted.groupBy("iv_id").agg(F.count("*").alias("predicted"), F.count_if(F.col("mask") != 3).alias("determinate")), "iv_id", "left")
-    out = Knockout(predicted, hits, open_, summary, errors)
-    if modulations is not None:
-        out.gains = gain_changes(modulations, predicted)
-        out.synergies = synergies(interaction_signs(modulations, arcs), predicted)
-    return out
+
+    def __init__(self, arcs: DataFrame, interventions: DataFrame, index: DataFrame, neutral: DataFrame | None = None, constitutive: DataFrame | None = None, modulations: DataFrame | None = None, nodes: DataFrame | None = None) -> None:
+        self.arcs, self.interventions, self.index, self.neutral, self.constitutive, self.modulations = arcs, interventions, index, neutral, constitutive, modulations
+        self.nodes = nodes.select("node") if nodes is not None else arcs.select(F.col("src").alias("node")).union(arcs.select("dst"))
+
+    @cached_property
+    def _bad(self) -> DataFrame:
+        return self.interventions.join(self.nodes.distinct(), "node", "left_anti")
+
+    @cached_property
+    def _good(self) -> DataFrame:
+        return self.interventions.join(self._bad.select("iv_id").distinct(), "iv_id", "left_anti")
+
+    @cached_property
+    def _moved(self) -> DataFrame:
+        return self.predicted.join(self._good.select("iv_id", "node"), ["iv_id", "node"], "left_anti")
+
+    @cached_property
+    def _sccs(self) -> DataFrame:
+        return store(components_of(self.arcs), "sccs")
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return self._bad.groupBy("iv_id").agg(F.concat(F.lit("unknown nodes: "), F.array_join(F.array_sort(F.collect_set(F.col("node").cast("string"))), ", ")).alias("error"))
+
+    @cached_property
+    def predicted(self) -> DataFrame:
+        return store(solve(self.arcs, self._good, self.constitutive), "predicted")
+
+    @cached_property
+    def phenotypes(self) -> DataFrame:
+        return in_largest(phenotypes(self._moved, first_terms(self.index)), self._sccs)
+
+    @cached_property
+    def affected(self) -> DataFrame:
+        return in_largest(affected(self._moved, self.index, self.neutral), self._sccs)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        counts = self.predicted.groupBy("iv_id").agg(F.count("*").alias("predicted"), F.count_if(F.col("mask") != 3).alias("determinate"))
+        return self._good.select("iv_id").distinct().join(counts, "iv_id", "left")
+
+    @cached_property
+    def gains(self) -> DataFrame | None:
+        return gain_changes(self.modulations, self.predicted) if self.modulations is not None else None
+
+    @cached_property
+    def synergies(self) -> DataFrame | None:
+        return synergies(interaction_signs(self.modulations, self.arcs), self.predicted) if self.modulations is not None else None
+
+
+def knockout(arcs: DataFrame, interventions: DataFrame, index: DataFrame, neutral: DataFrame | None = None, constitutive: DataFrame | None = None, modulations: DataFrame | None = None, nodes: DataFrame | None = None) -> Knockout:
+    return Knockout(arcs, interventions, index, neutral, constitutive, modulations, nodes)

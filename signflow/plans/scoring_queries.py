@@ -385,9 +385,10 @@ moved as (select * from solved where not exists (select 1 from iv where iv.iv_id
 def _knockout(s, d, **how):
     terms = D.table(s, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.when(F.col("l_tax") >= 0.04, 1).otherwise(2).cast("int").alias("sign"), F.concat("l_returnflag", "l_linestatus").alias("label"), F.col("l_linenumber").alias("ord"))
     neutral = D.table(s, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("label"))
-    iv = D.firsts(s, d)
-    # an intervention on an order that doesn't exist
-    iv = iv.unionByName(s.createDataFrame([(-1, -5, 1), (-1, -7, 2)], "iv_id long, node long, mask int"))
+    k = F.col("s_suppkey")
+    # suppliers clamp orders that don't exist
+    lost = D.table(s, d, "supplier").select((-1 - k).alias("iv_id"), F.explode(F.array(-2 * k - 5, -2 * k - 7)).alias("node"), F.lit(1).alias("mask"))
+    iv = D.firsts(s, d).unionByName(lost)
     return K.knockout(store(D.flow(s, d), "arcs"), iv, terms, neutral, nodes=D.table(s, d, "orders").select(F.col("o_orderkey").alias("node")), **how)
 
 
@@ -406,7 +407,7 @@ def knockout_summary(s, d):
     return _knockout(s, d).summary
 
 
-@query("knockout_errors", "select -1::bigint as iv_id, 'unknown nodes: -5, -7' as error")
+@query("knockout_errors", "select -1 - s_suppkey as iv_id, 'unknown nodes: ' || array_to_string(list_sort([(-2 * s_suppkey - 5)::varchar, (-2 * s_suppkey - 7)::varchar]), ', ') as error from supplier")
 def knockout_errors(s, d):
     return _knockout(s, d).errors
 
