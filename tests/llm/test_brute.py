@@ -70,6 +70,28 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
     assert enc.encode(texts) == [enc._whole(t) for t in texts]
 
 
+def test_each_word_of_a_batch_is_looked_up_once(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from signflow.llm import packing
+
+    enc = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello hello,  HELLO!? hello.", "\u00dcber \u00fcber: hello;\n", "", "x1 (hello)"]
+    assert enc.encode(texts) == [enc._whole(t) for t in texts]
+    # words of letters share what is kept, whatever their case and stops
+    assert set(enc.words) == {"", "hello", ",", "!?", ".", "\u00fcber", ":", ";", "x1", "(hello)"}
+    # what is kept is bounded within a text, too
+    monkeypatch.setattr(packing, "CACHE_WORDS", 100)
+    enc._forget()
+    many = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}a{i % 7}" for i in range(600))
+    assert enc.encode([many, many]) == [enc._whole(many)] * 2
+    assert len(enc.words) + len(enc.words.older) <= 100 and len(enc.parts) + len(enc.parts.older) <= 100
+    # texts are encoded in slices of bounded bytes
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa", None, "b" * 9, "", "cc", "dd"])], names=["t"])
+    assert [b.column(0).to_pylist() for b in packing.chunks(batch, 0, 4)] == [["aa", None], ["b" * 9], ["", "cc", "dd"]]
+
+
 def test_op4_fingerprints_by_sql_functions(spark, sf_dir):
     """Spark's own hash, whose seed is 42 too, over shingles made by SQL functions."""
     import pyspark.sql.functions as F
