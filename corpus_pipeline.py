@@ -31,7 +31,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts, the document with the smallest id; documents without words stay."""
+    """Of each group of similar texts, the document with the smallest id; documents without words stay.
+
+    Groups are searched by SimHash in the vantage-point tree, the pairs beyond
+    its radius by MinHash, and all are verified on their whole shingle sets.
+    """
     return simhash.one_per_group(docs)
 
 

@@ -37,23 +37,32 @@ SAMPLE_ROWS = 2_048
 LEAF_PAIRS = 1 << 16
 
 
-def fingerprint_bytes(raw: bytes | None, words: int = 4) -> int:
-    """The 64-bit SimHash of a text's UTF-8 bytes, as an unsigned number."""
+def hashes(raw: bytes | None, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; a text with fewer words is one shingle, a wordless one has none."""
     parts = (raw or b"").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(parts) < words:
         shingles = [b" ".join(parts)]
     else:
         shingles = map(b" ".join, zip(*(parts[i:] for i in range(words))))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+
+
+def simhash(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned number; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_bytes(raw: bytes | None, words: int = 4) -> int:
+    """The 64-bit SimHash of a text's UTF-8 bytes, as an unsigned number."""
+    return simhash(hashes(raw, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp long) per row; a null or wordless text has fingerprint 0.
 
@@ -282,12 +291,8 @@ _MIX = np.random.default_rng(2024).integers(1, 1 << 63, (2, SKETCH), np.uint64)
 
 
 def shingle_hashes(raw: bytes | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted; a text with fewer words is one shingle, a wordless one has none."""
-    parts = (raw or b"").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    shingles = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+    """The distinct hashes of a text's word shingles, sorted."""
+    return np.unique(hashes(raw, words))
 
 
 def minhash_sketch(h: np.ndarray) -> np.ndarray:
@@ -310,15 +315,26 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, n, sketch): number of distinct shingles and MinHash sketch of each text with words."""
+    """(doc_id, node, fp, n, sketch): SimHash, number of distinct shingles and MinHash sketch of each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [shingle_hashes(x, words) for x in b.column(2).to_pylist()]
-            cols = [b.column(0), b.column(1), pa.array([len(x) for x in h], pa.int64()), pa.array([minhash_sketch(x).tobytes() for x in h], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "n", "sketch"])
+            every = [hashes(x, words) for x in b.column(2).to_pylist()]
+            fp = np.fromiter(map(simhash, every), np.uint64, b.num_rows)
+            h = [np.unique(x) for x in every]
+            cols = [b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array([len(x) for x in h], pa.int64()), pa.array([minhash_sketch(x).tobytes() for x in h], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "fp", "n", "sketch"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, fp long, n long, sketch binary").where("n > 0")
+
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, n long, sketch binary").where("n > 0")
+def _by_tree(profiles: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Edges (u, v) that connect the texts (node, fp) whose fingerprints differ in at most ``radius`` bits, found by the vantage-point tree."""
+    first = materialise(profiles.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = profiles.join(first, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    ends = [first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")) for end in ("u", "v")]
+    near = near_links(first.select("fp"), radius, shard_rows).join(ends[0], "u").join(ends[1], "v")
+    return equal.unionByName(near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
 
 
 def agreeing_links(n: np.ndarray, sketch: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -403,31 +419,36 @@ def verified_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) -
     return kept
 
 
-def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block_rows: int = 4_096, group_shingles: int = 2_000_000) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 4, block_rows: int = 4_096, group_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, node, component_id) of every row with words: groups of texts whose shingle sets have a Jaccard similarity of ``threshold``.
 
-    Texts meet in buckets of MinHash runs, where a pair at 0.8 is missed about
-    three times in a million and a likelier one far less.  Pairs that sizes and
-    sketches don't rule out (see ``least_agreement``) connect candidates; what
-    they connect is brought together with all its shingles, in blocks of about
-    ``group_shingles``, and only pairs that have the similarity are joined.
+    The vantage-point tree connects all texts whose SimHash fingerprints differ
+    in at most ``radius`` bits.  A pair at 0.8 differs in about ten bits, beyond
+    what a tree can prune, so texts also meet in buckets of MinHash runs, where
+    such a pair is missed about three times in a million and a likelier one far
+    less; those that sizes and sketches don't rule out (see ``least_agreement``)
+    are connected too.  What both connect is brought together with all its
+    shingles, in blocks of about ``group_shingles``, and only pairs that have the
+    similarity are joined.
 
     ``component_id`` is the smallest doc_id of the group, null ids left aside,
     ``node`` a hash of the text: rows of equal text meet once.  Rows without
     words are left out; repeated rows and shared ids are rows of their own; an
     empty table gives an empty table.
     """
-    prof, groups = _groups(docs, words, threshold, block_rows, group_shingles)
+    prof, groups = _groups(docs, words, threshold, radius, block_rows, group_shingles)
     least = groups.groupBy("group").agg(F.min("least_id").alias("component_id"))
     of_node = groups.join(least, "group").select("node", "group", "component_id")
     return prof.select("doc_id", "node").join(of_node, "node")
 
 
-def _groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block_rows: int = 4_096, group_shingles: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 4, block_rows: int = 4_096, group_shingles: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, …) of the rows with words, and (node, group, least_id, rows) of each text: its least id, null ids last, and how many rows have it."""
     prof = materialise(_profiles(docs, words), "profiles")
-    distinct = materialise(prof.select("node", "n", "sketch").distinct(), "profile-groups")
-    likely = materialise(_likely(distinct, threshold, block_rows), "likely")
+    distinct = materialise(prof.select("node", "fp", "n", "sketch").distinct(), "profile-groups")
+    near = materialise(_by_tree(distinct.select("node", "fp"), radius), "near")
+    rest = materialise(_likely(distinct.select("node", "n", "sketch"), threshold, block_rows), "likely")
+    likely = near.unionByName(rest)
     sure = materialise(_verified(docs, distinct, components(likely), words, threshold, group_shingles), "sure")
     # copies are counted before anything is joined, so a text of many copies is one row
     ids = prof.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from signflow.llm import simhash
 from signflow.llm.simhash import fingerprints, near_duplicates, one_per_group, shingle_hashes, similar_groups
 
 
@@ -69,6 +70,35 @@ def test_pairs_near_the_threshold(spark):
     assert 30 < len(set(want.values())) < len(texts)
 
 
+def test_links_that_the_tree_alone_finds(spark):
+    # 0.8 in common, fingerprints three bits apart, and no MinHash bucket in common
+    words = [str(i) for i in range(15341719, 15341738)]
+    texts = {1: " ".join(words), 2: " ".join(words[:16]), 3: " ".join(words[:8])}
+    a, b = (shingle_hashes(texts[i].encode(), 5) for i in (1, 2))
+    same = simhash.minhash_sketch(a) == simhash.minhash_sketch(b)
+    assert not same.reshape(simhash.BANDS, simhash.ROWS).all(axis=1).any()
+    assert grouped(spark, texts) == brute(texts) == {1: 1, 2: 1, 3: 3}
+    assert sorted(r.doc_id for r in one_per_group(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()) == [1, 3]
+
+
+def test_the_tree_links_fingerprints_within_the_radius(spark):
+    # on its own: every two texts within four bits are connected, equal fingerprints of different texts too
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 60)
+    fp = [int(x) ^ sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 4)), replace=False)) for x in base for _ in range(5)]
+    fp += fp[:20]
+    up = list(range(len(fp)))
+    for i in range(len(fp)):
+        for j in range(i):
+            if up[i] != up[j] and (fp[i] ^ fp[j]).bit_count() <= 4:
+                keep, gone = sorted((up[i], up[j]))
+                up = [keep if r == gone else r for r in up]
+    edges = simhash._by_tree(spark.createDataFrame(list(enumerate(fp)), "node long, fp long"), 4, shard_rows=40)
+    root = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert [root.get(i, i) for i in range(len(fp))] == up
+    assert len(set(up)) < len(set(fp))
+
+
 def test_one_row_of_a_group_stays(spark):
     a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
     rows = [(1, a, "en"), (1, a, "de"), (1, a, "de"), (1, b, None), (2, b, "en"), (None, a, "fr"), (None, "only here, without an id", "x"), (3, None, "a"), (4, None, "a"), (5, " \t", "a"), (None, "", None)]
