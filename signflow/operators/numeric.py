@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from signflow.functions.storage import store
 from signflow.functions.text import sign_of
-from signflow.operators.compact import MAX_ARCS, Compact, by_broadcast, cones, small
+from signflow.operators.compact import MAX_ARCS, Compact, by_broadcast, by_piece, cones, few, small
+from signflow.operators.solve import strong_components
 
 
 def _rounds(alpha: float, tolerance: float) -> int:
@@ -47,11 +48,36 @@ def random_walk(arcs: DataFrame, seeds: DataFrame, alpha: float = 0.85, toleranc
     ``tolerance``.  Undetermined arcs are dropped, or read as negative with
     ``unknown="as_minus"``.
     """
+    return alpha_sweep(arcs, seeds, [alpha], tolerance=tolerance, unknown=unknown, max_arcs=max_arcs).drop("alpha")
+
+
+def alpha_sweep(arcs: DataFrame, seeds: DataFrame, alphas: list[float], tolerance: float = 1e-12, unknown: str = "drop", max_arcs: int = MAX_ARCS) -> DataFrame:
+    """(alpha, iv_id, node, score) of a walk for each restart share, over cones that are found once."""
     kind, iv = dict(arcs.dtypes)["src"], dict(seeds.dtypes)["iv_id"]
     arcs = store(arcs.where("src <> dst").select("src", "dst", "m"), "arcs")
-    if small(arcs, max_arcs):
-        out = by_broadcast(arcs, seeds, lambda graph, _, clamps: list(walk(graph.cone(clamps)[0], clamps, alpha, tolerance, unknown).items()), f"iv_id {iv}, node {kind}, score double")
-        return out.select("iv_id", "node", (F.round("score", 9) + F.lit(0.0)).alias("score"))
+    schema = f"iv_id {iv}, node {kind}, alpha double, score double"
+
+    def run(graph: Compact, _: Compact | None, clamps: dict) -> list[tuple]:
+        own = graph.cone(clamps)[0]
+        return [(n, a, r) for a in alphas for n, r in walk(own, clamps, a, tolerance, unknown).items()]
+
+    far_arcs = far = None
+    if small(arcs, max_arcs) and few(seeds):
+        out = by_broadcast(arcs, seeds, run, schema)
+    elif max_arcs:
+        out, far_arcs, far = by_piece(arcs, seeds, run, schema)
+    else:
+        out, far_arcs, far = None, arcs, seeds
+    if out is not None:
+        out = out.select("alpha", "iv_id", "node", (F.round("score", 9) + F.lit(0.0)).alias("score"))
+    if far is not None:
+        for a in alphas:
+            more = _joined_walk(far_arcs, far, a, tolerance, unknown).select(F.lit(a).alias("alpha"), "iv_id", "node", "score")
+            out = more if out is None else out.unionByName(more)
+    return out
+
+
+def _joined_walk(arcs: DataFrame, seeds: DataFrame, alpha: float, tolerance: float, unknown: str) -> DataFrame:
     own, _ = cones(arcs, seeds)
     a = own.where("m <> 3" if unknown == "drop" else "true").select("iv_id", "src", "dst", F.when(F.col("m") == 1, 1.0).otherwise(-1.0).alias("s"))
     deg = a.groupBy("iv_id", "src").agg(F.count("*").alias("deg"))
@@ -69,11 +95,10 @@ def random_walk(arcs: DataFrame, seeds: DataFrame, alpha: float = 0.85, toleranc
     return nodes.withColumn("r", F.lit(0.0)).unionByName(total).groupBy("iv_id", "node").agg((F.round(F.sum("r"), 9) + F.lit(0.0)).alias("score"))
 
 
-def alpha_sweep(arcs: DataFrame, seeds: DataFrame, alphas: list[float], **how) -> DataFrame:
-    """(alpha, iv_id, node, score) of a walk for each restart share."""
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, [random_walk(arcs, seeds, a, **how).select(F.lit(a).alias("alpha"), "iv_id", "node", "score") for a in alphas])
+def _stable_pair(j: np.ndarray) -> np.ndarray:
+    """Which two-by-two matrices have both eigenvalues' real parts below zero."""
+    half, det = (j[:, 0, 0] + j[:, 1, 1]) / 2, j[:, 0, 0] * j[:, 1, 1] - j[:, 0, 1] * j[:, 1, 0]
+    return half + np.sqrt(np.maximum(half * half - det, 0)) < -1e-9
 
 
 def monte_carlo(arcs: list[tuple], clamps: dict, draws: int, seed: int, unknown: str = "as_minus", most: int = 50) -> dict:
@@ -88,8 +113,13 @@ def monte_carlo(arcs: list[tuple], clamps: dict, draws: int, seed: int, unknown:
     kept = tried = 0
     if not n:
         return {}
+    # arcs between components don't change the eigenvalues
+    leads: dict = {}
+    for d, s, _ in inner:
+        leads.setdefault(s, []).append(d)
+    loops = [np.array(sorted(c)) for c in strong_components(range(n), lambda v: leads.get(v, ())) if len(c) > 1]
     while kept < draws and tried < draws * most:
-        size = min(256, draws * most - tried)
+        size = min(256, 2 * (draws - kept), draws * most - tried)
         tried += size
         j = np.zeros((size, n, n))
         j[:, np.arange(n), np.arange(n)] = -rng.uniform(0.2, 1.5, (size, n))
@@ -102,7 +132,13 @@ def monte_carlo(arcs: list[tuple], clamps: dict, draws: int, seed: int, unknown:
                     j[:, d, s] = strength
                 else:
                     b[:, d] += strength * s
-        stable = np.linalg.eigvals(j).real.max(axis=1) < -1e-9
+        stable = np.ones(size, bool)
+        for c in loops:
+            part = j[:, c[:, None], c[None, :]]
+            if len(c) == 2:
+                stable &= _stable_pair(part)
+            else:
+                stable[stable] = np.linalg.eigvals(part[stable]).real.max(axis=1) < -1e-9
         stable &= np.cumsum(stable) <= draws - kept
         kept += int(stable.sum())
         x = np.linalg.solve(j[stable], -b[stable][:, :, None])[:, :, 0]
@@ -113,11 +149,30 @@ def monte_carlo(arcs: list[tuple], clamps: dict, draws: int, seed: int, unknown:
 def sampled_signs(arcs: DataFrame, interventions: DataFrame, draws: int = 2_000, seed: int = 1, parts: int = 8, max_nodes: int = 400, unknown: str = "as_minus") -> DataFrame:
     """(iv_id, node, plus, minus, zero) over sampled stable systems of each intervention's cone.
 
-    Draws are dealt out over tasks by (intervention, part).  A cone of more
+    Draws are dealt out over tasks by (intervention, part), or, of many
+    interventions, by the piece of the graph they are on.  A cone of more
     than ``max_nodes`` nodes raises: a draw solves a dense system.
     """
     kind, iv = dict(arcs.dtypes)["src"], dict(interventions.dtypes)["iv_id"]
     arcs = store(arcs.select("src", "dst", "m"), "arcs")
+    schema = f"iv_id {iv}, node {kind}, plus long, minus long, zero long"
+    near = None
+    if not few(interventions):
+        # interventions enough for all tasks: each is drawn for where its piece is
+
+        def whole(graph: Compact, _: Compact | None, clamps: dict) -> list[tuple]:
+            cone = sorted(graph.cone(clamps)[0])
+            if (n := len({x for s, d, _ in cone for x in (s, d)})) > max_nodes:
+                raise ValueError(f"a cone of {n} nodes is larger than {max_nodes}")
+            out: dict = {}
+            for part in range(parts):
+                for x, c in monte_carlo(cone, clamps, draws // parts + (part < draws % parts), seed * 1_000 + part, unknown).items():
+                    out[x] = tuple(map(sum, zip(out.get(x, (0, 0, 0)), c)))
+            return [(x, *c) for x, c in out.items()]
+
+        near, arcs, interventions = by_piece(arcs, interventions, whole, schema, merged=False)
+        if interventions is None:
+            return near
     own, _ = cones(arcs, interventions)
     size = own.select("iv_id", F.explode(F.array("src", "dst")).alias("node")).groupBy("iv_id").agg(F.count_distinct("node").alias("n")).agg(F.max("n")).first()[0] or 0
     if size > max_nodes:
@@ -132,7 +187,9 @@ def sampled_signs(arcs: DataFrame, interventions: DataFrame, draws: int = 2_000,
         got = monte_carlo(arcs, clamps, draws // parts + (part < draws % parts), seed * 1_000 + part, unknown)
         return pd.DataFrame([(pdf.iv_id.iloc[0], n, *c) for n, c in got.items()], columns=["iv_id", "node", "plus", "minus", "zero"])
 
-    counts = dealt.groupBy("iv_id", "part").applyInPandas(run, f"iv_id {iv}, node {kind}, plus long, minus long, zero long")
+    counts = dealt.groupBy("iv_id", "part").applyInPandas(run, schema)
+    if near is not None:
+        counts = counts.unionByName(near)
     return counts.groupBy("iv_id", "node").agg(*[F.sum(c).alias(c) for c in ("plus", "minus", "zero")])
 
 
