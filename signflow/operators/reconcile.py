@@ -18,6 +18,33 @@ LABEL, LABEL_ONLY, IDENTIFIERS, FUZZY, SAME_QUALITY = 0.95, 0.84, 0.6, 0.86, 0.0
 REVIEWS = 5
 
 
+def _labels(proposed: DataFrame, catalog: DataFrame, synonyms: dict[str, str] | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Both tables with labels in normal form, the known ids, what else is proposed, and its best match of an equal label."""
+    p = store(proposed.select("id", "entity_iri", "quality_iri", normalise_label(F.col("label"), synonyms).alias("norm")), "proposed")
+    c = store(catalog.select(F.col("id").alias("match"), F.col("entity_iri").alias("ce"), F.col("quality_iri").alias("cq"), normalise_label(F.col("label"), synonyms).alias("cnorm")), "catalog")
+    known = p.join(c.select(F.col("match").alias("id")), "id", "left_semi").select("id", F.lit("existing").alias("status"), F.col("id").alias("match"), F.lit(1.0).alias("score"))
+    left = store(p.join(known.select("id"), "id", "left_anti"), "reconcile")
+    differs = F.coalesce(F.col("quality_iri") != F.col("cq"), F.lit(False))
+    # of a label and quality the first id is the best
+    first = c.groupBy("cnorm", "cq").agg(F.min("match").alias("match"))
+    label = store(_best(left.join(first, F.col("norm") == F.col("cnorm")).withColumn("score", F.when(differs, LABEL_ONLY).otherwise(LABEL))), "reconcile")
+    return p, c, known, left, label
+
+
+def _best(df: DataFrame) -> DataFrame:
+    return df.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b")).select("id", "b.match", (-F.col("b.s")).alias("score"))
+
+
+def _by_label(label: DataFrame) -> DataFrame:
+    return label.select("id", F.when(F.col("score") >= 0.9, "duplicate").otherwise("review").alias("status"), "match", "score")
+
+
+def sure(proposed: DataFrame, catalog: DataFrame, synonyms: dict[str, str] | None = None) -> DataFrame:
+    """The rows of ``classify`` that known ids and equal labels decide; like labels aren't searched."""
+    _, _, known, _, label = _labels(proposed, catalog, synonyms)
+    return known.unionByName(_by_label(label))
+
+
 def classify(proposed: DataFrame, catalog: DataFrame, synonyms: dict[str, str] | None = None, fuzzy: float = FUZZY) -> DataFrame:
     """(id, status, match, score) of proposed nodes (id, label, entity_iri, quality_iri) against a catalog of the same columns.
 
@@ -29,18 +56,13 @@ def classify(proposed: DataFrame, catalog: DataFrame, synonyms: dict[str, str] |
     Like labels meet on their rarest pairs of neighbouring letters (see
     ``candidates``); the ratio is worked out only for what bounds leave.
     """
-    p = store(proposed.select("id", "entity_iri", "quality_iri", normalise_label(F.col("label"), synonyms).alias("norm")), "proposed")
-    c = store(catalog.select(F.col("id").alias("match"), F.col("entity_iri").alias("ce"), F.col("quality_iri").alias("cq"), normalise_label(F.col("label"), synonyms).alias("cnorm")), "catalog")
-    known = p.join(c.select(F.col("match").alias("id")), "id", "left_semi").select("id", F.lit("existing").alias("status"), F.col("id").alias("match"), F.lit(1.0).alias("score"))
-    left = store(p.join(known.select("id"), "id", "left_anti"), "reconcile")
-    best = lambda df: df.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b")).select("id", "b.match", (-F.col("b.s")).alias("score"))
-    differs = F.coalesce(F.col("quality_iri") != F.col("cq"), F.lit(False))
-    label = store(best(left.join(c, F.col("norm") == F.col("cnorm")).withColumn("score", F.when(differs, LABEL_ONLY).otherwise(LABEL))), "reconcile")
+    p, c, known, left, label = _labels(proposed, catalog, synonyms)
     rest = left.join(label.select("id"), "id", "left_anti")
-    same = store(best(rest.join(c, F.col("entity_iri").eqNullSafe(F.col("ce")) & F.col("quality_iri").eqNullSafe(F.col("cq"))).withColumn("score", F.lit(IDENTIFIERS))), "reconcile")
+    first = c.groupBy("ce", "cq").agg(F.min("match").alias("match"))
+    same = store(_best(rest.join(first, F.col("entity_iri").eqNullSafe(F.col("ce")) & F.col("quality_iri").eqNullSafe(F.col("cq"))).withColumn("score", F.lit(IDENTIFIERS))), "reconcile")
     rest = store(rest.join(same.select("id"), "id", "left_anti"), "reconcile")
-    like = best(alike(rest, c, fuzzy))
-    out = known.unionByName(label.select("id", F.when(F.col("score") >= 0.9, "duplicate").otherwise("review").alias("status"), "match", "score"))
+    like = _best(alike(rest, c, fuzzy))
+    out = known.unionByName(_by_label(label))
     out = out.unionByName(same.select("id", F.lit("review").alias("status"), "match", "score")).unionByName(like.select("id", F.lit("review").alias("status"), "match", "score"))
     out = store(out, "reconcile")
     novel = p.join(out.select("id"), "id", "left_anti").select("id", F.lit("novel").alias("status"), F.lit(None).cast(dict(out.dtypes)["match"]).alias("match"), F.lit(0.0).alias("score"))
@@ -104,7 +126,12 @@ def alike(left: DataFrame, catalog: DataFrame, fuzzy: float = FUZZY) -> DataFram
             yield pdf.assign(ratio=[SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf.a, pdf.b)])
 
     near = pairs.mapInPandas(ratio, "a string, b string, ratio double").where(F.col("ratio") >= fuzzy)
-    j = left.join(near, F.col("norm") == F.col("a")).join(catalog, F.col("cnorm") == F.col("b"))
     score = F.round(F.when(F.col("quality_iri") == F.col("cq"), F.least(F.lit(1.0), F.col("ratio") + SAME_QUALITY)).otherwise(F.col("ratio")), 3)
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "match")
-    return j.select("id", "match", score.alias("score")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= REVIEWS).drop("k")
+    # rows of one label and quality score alike: of the catalog's the first ids count, and those proposed share the matches
+    of_label = Window.partitionBy("cnorm", "cq").orderBy("match")
+    kept = catalog.select("cnorm", "cq", "match").withColumn("k", F.row_number().over(of_label)).where(F.col("k") <= REVIEWS).drop("k")
+    j = left.select("norm", "quality_iri").distinct().join(near, F.col("norm") == F.col("a")).join(kept, F.col("cnorm") == F.col("b"))
+    w = Window.partitionBy("norm", "quality_iri").orderBy(F.desc("score"), "match")
+    top = j.select("norm", "quality_iri", "match", score.alias("score")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= REVIEWS).drop("k")
+    top = top.withColumnsRenamed({"norm": "n", "quality_iri": "q"})
+    return left.select("id", "norm", "quality_iri").join(top, (F.col("norm") == F.col("n")) & F.col("quality_iri").eqNullSafe(F.col("q"))).select("id", "match", "score")

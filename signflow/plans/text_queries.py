@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from signflow.functions import text as T
 from signflow.functions.storage import store
 from signflow.operators import gates as G
-from signflow.operators.reconcile import classify
+from signflow.operators.reconcile import classify, sure
 from signflow.sources import derived as D
 
 QUERIES: dict = {}
@@ -193,13 +193,13 @@ PROPOSED = """p as (select case when p_size < 8 then p_partkey else p_partkey +
 c as (select p_partkey as match, p_name || ' ' || p_brand as label, p_type || '!' as ce, p_brand as cq from part)"""
 
 
-def _reconciled(s, d):
+def _proposed(s, d):
     part = _part(s, d)
     catalog = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("label"), F.concat("p_type", F.lit("!")).alias("entity_iri"), F.col("p_brand").alias("quality_iri"))
     label = F.when(F.col("p_size") < 20, F.concat(F.regexp_replace("p_name", r"^(\w+) (\w+)$", "$2_$1"), F.lit(" "), "p_brand")).when(F.col("p_size") < 30, F.concat("p_name", F.lit("z "), "p_brand")).otherwise(F.concat(F.lit("quite another "), F.col("p_partkey").cast("string")))
     ident = F.when(F.col("p_size") < 8, F.col("p_partkey")).otherwise(F.col("p_partkey") + 1000000)
     proposed = part.select(ident.alias("id"), label.alias("label"), F.col("p_type").alias("entity_iri"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("Q").alias("quality_iri"))
-    return store(classify(proposed, catalog), "reconciled")
+    return proposed, catalog
 
 
 NORM = f"array_to_string(list_sort(list_filter(string_split({PLAIN.replace('(x,', '(label,')}, ' '), lambda w: w <> '' and w not in ({_IN(T.STOPWORDS)}))), ' ')"
@@ -211,10 +211,10 @@ select id, 'existing' as status, id as match, 1.0::double as score from known un
 select id, case when max(score) >= 0.9 then 'duplicate' else 'review' end, arg_min(match, (-score, match)), max(score)::double from hit group by id""")
 def reconcile_sure(s, d):
     """Known ids and equal labels."""
-    return _reconciled(s, d).where(F.col("status").isin("existing", "duplicate") | (F.col("score") == 0.84))
+    return sure(*_proposed(s, d))
 
 
 @query("reconcile")
 def reconcile(s, d):
     """All layers, like labels among them."""
-    return _reconciled(s, d)
+    return store(classify(*_proposed(s, d)), "reconciled")
